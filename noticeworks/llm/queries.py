@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from noticeworks.llm import mixing, quality, sharding, urls
+from noticeworks.llm import langid, minhash, mixing, packing, quality, sharding, urls
 
 QUERIES = {
+    "op1_pack": packing.op1_pack,
+    "op4_language": langid.op4_language,
     "op5_mix": mixing.op5_mix,
     "op6_shards": sharding.op6_shards,
     "op7_quality": quality.op7_quality,
     "op9_urls": urls.op9_urls,
+    "op10_minhash": minhash.op10_minhash,
 }
 
 ORACLES = {
