@@ -19,6 +19,8 @@ PAIRS, SIZE = 2048, 8192
 #: Rows learned from for each language, at most about; the sample is drawn by hash.
 PER_LANG = 400
 CENTROIDS = 4
+#: Shorter texts are far from every centroid for want of n-grams; distance rejects none of them.
+MIN_GRAMS = 200
 LETTER = re.compile(r"[A-Za-z]")
 
 #: ASCII that is not a letter reads as a space; other bytes stay.
@@ -73,13 +75,14 @@ class Model:
     idf: np.ndarray
     least: float
 
-    def score(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row of the nearest centroid, cosine) for each row of counts."""
+    def score(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of the nearest centroid, cosine, too far) for each row of counts."""
         x = counts.astype(np.float32) * self.idf
         norm = np.sqrt((x * x).sum(axis=1, dtype=np.float64))
         cos = (x @ self.centroids.T) / np.maximum(norm, 1e-12)[:, None]
         at = cos.argmax(axis=1)
-        return at, np.clip(cos[np.arange(len(at)), at], 0.0, 1.0)
+        best = np.clip(cos[np.arange(len(at)), at], 0.0, 1.0)
+        return at, best, (best < self.least) & (counts.sum(axis=1) >= MIN_GRAMS)
 
 
 def held_out() -> Column:
@@ -134,7 +137,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, k: int = CENTROIDS, margin: f
     The document frequencies are of all those rows. The centroids are of a sample by hash of about `per_lang` rows
     for each language (the documented bound: so many sparse count vectors of at most 8,192 entries reach the
     driver): `k` clusters and the mean. `least`, the rejection distance, is `margin` times the cosine that 99 of
-    100 sampled rows exceed.
+    100 sampled rows of `MIN_GRAMS` n-grams or more exceed.
     """
     train = docs.where("lang is not null and text is not null").where(~held_out())
     counts = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
@@ -150,12 +153,14 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, k: int = CENTROIDS, margin: f
         df[r["bucket"]] = r["df"]
     idf = (np.log((1 + df[SIZE]) / (1 + df[:SIZE])) + 1).astype(np.float32)
     rows: dict[str, list[np.ndarray]] = {}
+    long: list[tuple[str, int]] = []
     for r in learned.where("lang is not null").collect():
         x = np.zeros(SIZE, dtype=np.float32)
-        x[np.frombuffer(r["at"], dtype=np.int32)] = np.frombuffer(r["n"], dtype=np.int32)
+        x[np.frombuffer(r["at"], dtype=np.int32)] = n = np.frombuffer(r["n"], dtype=np.int32)
         x *= idf
         if norm := float(np.linalg.norm(x)):
             rows.setdefault(r["lang"], []).append(x / norm)
+            long.append((r["lang"], len(rows[r["lang"]]) - 1)) if n.sum() >= MIN_GRAMS else None
     langs: list[str] = []
     parts = []
     for lang in sorted(rows):
@@ -164,15 +169,16 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, k: int = CENTROIDS, margin: f
     if not parts:
         return None
     centroids = np.vstack(parts)
-    near = np.concatenate([(np.stack(x) @ centroids.T).max(axis=1) for x in rows.values()])
-    return Model(langs, centroids, idf, float(margin * np.quantile(near, 0.01)))
+    near = [float((centroids @ rows[lang][i]).max()) for lang, i in long]
+    return Model(langs, centroids, idf, float(margin * np.quantile(near, 0.01)) if near else 0.0)
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """`keep` columns of `docs` with lang_pred, score (cosine to the nearest centroid) and rejected.
 
-    Whole texts are compared. Null text or text without a letter: `und`, score 0, rejected. A text farther from
-    every centroid than the model's rejection distance is rejected too, and keeps its nearest language. Without a
+    Whole texts are compared. Null text or text without a letter: `und`, score 0, rejected. A text of `MIN_GRAMS`
+    n-grams or more that is farther from every centroid than the model's rejection distance is rejected too, and
+    keeps its nearest language. Without a
     model (nothing to learn from) all is `und`. Only text is an input of a prediction.
     """
     parts = None if model is None else (model.langs, model.centroids, model.idf, model.least)
@@ -184,12 +190,11 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
         for pdf in batches:
             texts = list(pdf["text"])
             ok = np.array([m is not None and has_letter(t) for t in texts], dtype=bool)
-            at, cos = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
+            at, cos, far = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
             if ok.any():
                 scored = [m.score(c) for c in grams([t for t, o in zip(texts, ok, strict=True) if o])]
-                at[ok], cos[ok] = np.concatenate([a for a, _ in scored]), np.concatenate([c for _, c in scored])
+                at[ok], cos[ok], far[ok] = (np.concatenate(c) for c in zip(*scored, strict=True))
             lang = [m.langs[a] if o else UND for a, o in zip(at, ok, strict=True)]
-            far = ~ok | (cos < (m.least if m is not None else 1.0))
             yield pdf[keep].assign(lang_pred=lang, score=cos, rejected=far)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, rejected boolean"
