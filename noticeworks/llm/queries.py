@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from noticeworks.llm import langid, minhash, mixing, packing, quality, sharding, urls
+from noticeworks.llm import langid, minhash, mixing, packing, quality, recompress, sharding, suffixes, urls
 
 QUERIES = {
     "op1_pack": packing.op1_pack,
+    "op3_substrings": recompress.op3_substrings,
     "op4_language": langid.op4_language,
     "op5_mix": mixing.op5_mix,
     "op6_shards": sharding.op6_shards,
     "op7_quality": quality.op7_quality,
+    "op8_suffixes": suffixes.op8_suffixes,
     "op9_urls": urls.op9_urls,
     "op10_minhash": minhash.op10_minhash,
 }
@@ -18,5 +20,6 @@ ORACLES = {
     "op5_mix": mixing.OP5_SQL,
     "op6_shards": sharding.OP6_SQL,
     "op7_quality": quality.OP7_SQL,
+    "op8_suffixes": suffixes.op8_suffixes,
     "op9_urls": urls.OP9_SQL,
 }
