@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from noticeworks.llm import langid, minhash, mixing, packing, quality, recompress, sharding, suffixes, urls
+from noticeworks.llm import hnsw, langid, minhash, mixing, packing, quality, recompress, sharding, suffixes, urls
 
 QUERIES = {
     "op1_pack": packing.op1_pack,
+    "op2_vectors": hnsw.op2_vectors,
     "op3_substrings": recompress.op3_substrings,
     "op4_language": langid.op4_language,
     "op5_mix": mixing.op5_mix,
