@@ -100,7 +100,7 @@ def _digest(t: bytes) -> str:
     return hashlib.sha256(b" ".join(t.split())).hexdigest()
 
 
-def _candidates(width: int, with_text: bool):
+def _candidates(width: int, with_text: bool, carry: list[str]):
     """Windows whose anchor is repeated; texts without one are finished."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,6 +128,7 @@ def _candidates(width: int, with_text: bool):
                     {
                         "id": part["id"].to_numpy(),
                         "doc_id": part["doc_id"].astype("Int64"),
+                        **{c: part[c].to_numpy() for c in carry},
                         "text": [None if d and not with_text else t for d, t in zip(done, part["text"], strict=True)],
                         "windows": keys,
                         "n_words": [len(t.split()) for t in texts[i:j]],
@@ -158,12 +159,12 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _remove(width: int, with_text: bool):
+def _remove(width: int, with_text: bool, carry: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = Powers()
         for pdf in batches:
             out = []
-            for doc, text, keys in zip(pdf["doc_id"], pdf["text"], pdf["keys"], strict=True):
+            for text, keys in zip(pdf["text"], pdf["keys"], strict=True):
                 t = as_bytes(text)
                 w = Words([t], powers)
                 n = len(w.hashes)
@@ -173,18 +174,20 @@ def _remove(width: int, with_text: bool):
                 words = t.split()
                 kept = b" ".join(x for x, g in zip(words, gone, strict=True) if not g) if gone.any() else b" ".join(words)
                 left = (text if not gone.any() else kept.decode("utf-8", "surrogatepass")) if with_text else None
-                out.append((doc, n, int(gone.sum()), hashlib.sha256(kept).hexdigest(), left))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "text"]).astype({"doc_id": "Int64"})
+                out.append((n, int(gone.sum()), hashlib.sha256(kept).hexdigest(), left))
+            found = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256", "text"])
+            own = {c: pdf[c].to_numpy() for c in carry}
+            yield pd.concat([pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), **own}).reset_index(drop=True), found], axis=1)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, text]) for each row of `docs` (doc_id, text).
+def remove_repeats(docs: DataFrame, width: int = WINDOW, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *carry, n_words, n_removed, kept_sha256[, text]) for each row of `docs` (doc_id, text).
 
     A word goes if a window of `width` consecutive words that covers it starts anywhere else too, in the same
     document included; windows are those of the input. With `with_text` the text is what stays: the text itself
-    if nothing went, else the kept words joined by one space.
+    if nothing went, else the kept words joined by one space. `carry` names further columns to keep.
 
     1. Every window has an anchor from recompression (see `anchors`), about one for eight words; a shuffle of
        their names tells which occur twice.
@@ -199,16 +202,19 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, with_text: bool = False
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.xxhash64("doc_id", "text").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = [f"_own_{k}" for k in range(len(carry))]
+    kinds = "".join(f"{k} {docs.schema[c].dataType.simpleString()}, " for c, k in zip(carry, own, strict=True))
+    docs = docs.select(F.xxhash64("doc_id", "text").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(k) for c, k in zip(carry, own, strict=True)], "text")
     names = gathered(repeated(docs.select("id", "text").mapInPandas(_send_anchors(width, 4 * n), PACKED), n))
-    schema = "id long, doc_id long, text string, windows binary, n_words long, kept_sha256 string"
-    seen = stage(docs.join(names, "id", "left").mapInPandas(_candidates(width, with_text), schema))
+    schema = f"id long, doc_id long, {kinds}text string, windows binary, n_words long, kept_sha256 string"
+    seen = stage(docs.join(names, "id", "left").mapInPandas(_candidates(width, with_text, own), schema))
     open_ = seen.where("windows is not null")
     again = gathered(repeated(open_.select("id", "windows").mapInPandas(_send_windows(4 * n), PACKED), n))
-    fields = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
-    cut = open_.select("id", "doc_id", "text").join(again, "id", "left").mapInPandas(_remove(width, with_text), fields)
-    rest = seen.where("windows is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", "text")
+    fields = f"doc_id long, {kinds}n_words long, n_removed long, kept_sha256 string, text string"
+    cut = open_.select("id", "doc_id", *own, "text").join(again, "id", "left").mapInPandas(_remove(width, with_text, own), fields)
+    rest = seen.where("windows is null").select("doc_id", *own, "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", "text")
     out = cut.union(rest)
+    out = out.select("doc_id", *[F.col(k).alias(c) for c, k in zip(carry, own, strict=True)], "n_words", "n_removed", "kept_sha256", "text")
     return out if with_text else out.drop("text")
 
 
