@@ -21,6 +21,9 @@ ROWS = 6
 TRIES = 512
 #: Bands of the longer signature for documents whose buckets stay open.
 SHARP_BANDS = 160
+#: Bits of the longer signature, one a bin, that a pair must mostly share before its full sets are fetched.
+BITS = 512
+BIT_COLUMNS = [f"b{k}" for k in range(BITS // 64)]
 
 
 def shingle_sets(texts: list[bytes], width: int, powers: Powers) -> Iterator[np.ndarray]:
@@ -109,7 +112,7 @@ def _sets(width: int):
 
 
 def _sharp(bands: int, rows: int):
-    """Band keys of a longer signature, from the sets."""
+    """Band keys and bits of a longer signature, from the sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins = bands * rows
@@ -121,7 +124,9 @@ def _sharp(bands: int, rows: int):
                 sets = [np.frombuffer(x, dtype=U) for x in part["shingles"]]
                 sig = signatures(sets, bins, tries).reshape(len(sets), bands, rows)
                 keys = mix((sig * c).sum(axis=2, dtype=U) + d).view(np.int64)
-                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), bands), "bk": keys.ravel()})
+                bits = np.packbits((mix(sig.reshape(len(sets), bins)[:, :BITS]) & U(1)).astype(np.uint8), axis=1).view(np.int64)
+                frame = {"id": np.repeat(part["id"].to_numpy(), bands), "bk": keys.ravel()}
+                yield pd.DataFrame(frame | {c: np.repeat(bits[:, k], bands) for k, c in enumerate(BIT_COLUMNS)})
 
     return run
 
@@ -139,29 +144,34 @@ def _links(percent: int):
     return run
 
 
+def _differing_bits(percent: int) -> int:
+    """Bits in which a pair at the threshold differs at most: six standard deviations above what is expected."""
+    p = (1 - percent / 100) / 2
+    return math.ceil(BITS * p + 6 * math.sqrt(BITS * p * (1 - p)))
+
+
 class _Finder:
-    """The state between rounds: pairs that were compared and components so far."""
+    """The state between rounds: the components so far."""
 
     def __init__(self, sets: DataFrame, percent: int) -> None:
         self.sets, self.percent = sets, percent
-        self.tested: DataFrame | None = None
         self.comps: DataFrame | None = None
 
     def open(self, members: DataFrame) -> DataFrame:
-        """Of (bk, id, n, c) the buckets whose members are in two components at least."""
+        """Of (bk, id, n, c, ...) the buckets whose members are in two components at least."""
         wide = members.groupBy("bk").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bk")
         return stage(members.join(wide, "bk"))
 
     def round(self, active: DataFrame, heads: DataFrame) -> DataFrame:
         """Compare the pivots `heads` with the other members of their buckets; the buckets that stay open, without them."""
-        heads = heads.select("bk", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("c").alias("pc"))
-        near = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * self.percent
-        pairs = active.join(heads, "bk").where((F.col("c") != F.col("pc")) & near)
-        pairs = pairs.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs)
-        self.tested = pairs if self.tested is None else self.tested.union(pairs)
+        bits = [c for c in BIT_COLUMNS if c in active.columns]
+        h = heads.select(F.col("bk").alias("hk"), F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("c").alias("pc"), *[F.col(c).alias(f"p{c}") for c in bits])
+        near = (F.col("bk") == F.col("hk")) & (F.col("c") != F.col("pc"))
+        near = near & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * self.percent)
+        if bits:
+            differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p{c}"))) for c in bits[1:]), F.bit_count(F.col(bits[0]).bitwiseXOR(F.col(f"p{bits[0]}"))))
+            near = near & (differ <= _differing_bits(self.percent))
+        pairs = active.join(h, near).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
         sa = self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
         sb = self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
         links = stage(pairs.join(sb, "b").join(sa, "a").mapInPandas(_links(self.percent), "a long, b long"))
@@ -170,10 +180,10 @@ class _Finder:
             if self.comps is not None:
                 edges = edges.union(self.comps.select("node", "component"))
             self.comps = stage(components(edges))
-        rest = active.join(heads.select("bk", F.col("pid").alias("id")), ["bk", "id"], "left_anti")
+        rest = active.join(heads.select("bk", "id"), ["bk", "id"], "left_anti")
         if self.comps is not None:
             rest = rest.drop("c").join(self.comps.withColumnRenamed("node", "id"), "id", "left")
-            rest = rest.select("bk", "id", "n", F.coalesce("component", "id").alias("c"))
+            rest = rest.select("bk", "id", "n", F.coalesce("component", "id").alias("c"), *bits)
         return self.open(rest)
 
 
@@ -190,8 +200,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = 80, ba
        are left out, the others are confirmed on their full sets.
     3. Links become components, and a bucket whose members are in one component is done. The members of the other
        buckets get a longer signature, 160 bands with more rows, which parts texts that merely share a passage.
-       In its buckets two pivots, then four, and so on are compared with the members of other components, until
-       no bucket is open: a pair that shares such a bucket is compared or already connected.
+       In its buckets four pivots, then sixteen, and so on are compared with the members of other components,
+       until no bucket is open: a pair that shares such a bucket is compared or already connected. Of 512 bits of
+       that signature a pair may differ in six standard deviations more than one at the threshold (1e-9).
 
     A pair at the threshold shares no bucket with a chance of 3e-7 at 0.85 (6e-5 at 0.8), and none of the longer
     ones with a chance of 4e-6 (1e-5).
@@ -220,13 +231,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = 80, ba
     if active.limit(1).count():
         sharp_rows = max(rows, round(math.log(0.075) / math.log(percent / 100)))
         again = active.select("id", "n", "c").distinct()
-        keys = sets.join(again.select("id"), "id", "left_semi").mapInPandas(_sharp(SHARP_BANDS, sharp_rows), "id long, bk long")
-        active = finder.open(again.join(keys, "id").select("bk", "id", "n", "c"))
-    pivots = 2
+        keys = sets.join(again.select("id"), "id", "left_semi").mapInPandas(_sharp(SHARP_BANDS, sharp_rows), f"id long, bk long, {', '.join(f'{c} long' for c in BIT_COLUMNS)}")
+        active = finder.open(again.join(keys, "id").select("bk", "id", "n", "c", *BIT_COLUMNS))
+    pivots = 4
     while active.limit(1).count():
         order = F.row_number().over(Window.partitionBy("bk").orderBy(F.xxhash64("id", "bk"), "id"))
         active = finder.round(active, active.withColumn("k", order).where(F.col("k") <= pivots))
-        pivots *= 2
+        pivots *= 4
     comps = finder.comps
     if comps is None:
         comps = docs.sparkSession.createDataFrame([], "node long, component long")
