@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("manifest",)
+MODULES = ("manifest", "feed", "versions", "matching", "analytics")
 
 
 def _modules() -> list:
