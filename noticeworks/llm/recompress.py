@@ -205,11 +205,11 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, with_text: bool = False
     own = [f"_own_{k}" for k in range(len(carry))]
     kinds = "".join(f"{k} {docs.schema[c].dataType.simpleString()}, " for c, k in zip(carry, own, strict=True))
     docs = docs.select(F.xxhash64("doc_id", "text").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(k) for c, k in zip(carry, own, strict=True)], "text")
-    names = gathered(repeated(docs.select("id", "text").mapInPandas(_send_anchors(width, 4 * n), PACKED), n))
+    names = gathered(repeated(docs.select("id", "text").mapInPandas(_send_anchors(width, 4 * n), PACKED), n), n)
     schema = f"id long, doc_id long, {kinds}text string, windows binary, n_words long, kept_sha256 string"
     seen = stage(docs.join(names, "id", "left").mapInPandas(_candidates(width, with_text, own), schema))
     open_ = seen.where("windows is not null")
-    again = gathered(repeated(open_.select("id", "windows").mapInPandas(_send_windows(4 * n), PACKED), n))
+    again = gathered(repeated(open_.select("id", "windows").mapInPandas(_send_windows(4 * n), PACKED), n), n)
     fields = f"doc_id long, {kinds}n_words long, n_removed long, kept_sha256 string, text string"
     cut = open_.select("id", "doc_id", *own, "text").join(again, "id", "left").mapInPandas(_remove(width, with_text, own), fields)
     rest = seen.where("windows is null").select("doc_id", *own, "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", "text")

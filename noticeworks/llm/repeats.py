@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from noticeworks.llm.hashing import U
 
@@ -71,16 +70,86 @@ class Sender:
         self.ids, self.keys, self.n = [], [], 0
 
 
-def by_id(ids: np.ndarray, keys: np.ndarray) -> Iterator[pd.DataFrame]:
-    """(id, keys binary), the keys of an id in one row."""
-    if len(ids):
-        order = np.argsort(ids, kind="stable")
-        ids, keys = ids[order], keys[order]
-        cut = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-        yield pd.DataFrame({"id": ids[np.append(0, cut)], "keys": [k.tobytes() for k in np.split(keys, cut)]})
+FOUND = "slot int, ids binary, items binary"
 
 
-def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class Slots:
+    """Collects items of ids (one or more 8-byte values each) and gives frames of `FOUND`, an id always in one slot.
+
+    A task sends a row for each slot and flush, not for each id, so rows do not grow with ids times tasks.
+    """
+
+    def __init__(self, slots: int) -> None:
+        self.slots, self.n = slots, 0
+        self.ids: list[np.ndarray] = []
+        self.items: list[np.ndarray] = []
+
+    def add(self, ids: np.ndarray, items: np.ndarray) -> Iterator[pd.DataFrame]:
+        if len(ids):
+            self.ids.append(ids)
+            self.items.append(items)
+            self.n += len(ids)
+        if self.n >= FLUSH:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pd.DataFrame]:
+        if self.n:
+            ids, items = np.concatenate(self.ids), np.concatenate(self.items)
+            slot = ((ids.view(U) >> U(32)) * U(self.slots) >> U(32)).astype(np.int32)
+            order = np.lexsort((ids, slot))
+            ids, items, slot = ids[order], items[order], slot[order]
+            cut = np.flatnonzero(slot[1:] != slot[:-1]) + 1
+            yield pd.DataFrame(
+                {
+                    "slot": slot[np.append(0, cut)],
+                    "ids": [x.tobytes() for x in np.split(ids, cut)],
+                    "items": [x.tobytes() for x in np.split(items, cut)],
+                }
+            )
+        self.ids, self.items, self.n = [], [], 0
+
+
+def _gather(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+
+        def done() -> Iterator[pd.DataFrame]:
+            ids = np.concatenate([np.frombuffer(i, dtype=np.int64) for i, _ in held])
+            items = np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(-1, width) for _, x in held])
+            order = np.argsort(ids, kind="stable")
+            ids, items = ids[order], items[order]
+            cut = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+            yield pd.DataFrame({"id": ids[np.append(0, cut)], "keys": [x.tobytes() for x in np.split(items, cut)]})
+
+        for pdf in batches:
+            for slot, ids, items in zip(pdf["slot"], pdf["ids"], pdf["items"], strict=True):
+                if slot != now and held:
+                    yield from done()
+                    held = []
+                now = slot
+                held.append((ids, items))
+        if held:
+            yield from done()
+
+    return run
+
+
+def gathered(found: DataFrame, partitions: int, width: int = 1) -> DataFrame:
+    """(id, keys): all items of an id from rows of `FOUND`, in one row; an id has at most its own occurrences."""
+    laid = found.repartition(partitions, "slot").sortWithinPartitions("slot")
+    return laid.mapInPandas(_gather(width), "id long, keys binary")
+
+
+def _repeated(slots: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = Slots(slots)
+        yield from _hits(batches, out)
+        yield from out.flush()
+
+    return run
+
+
+def _hits(batches: Iterator[pd.DataFrame], out: Slots) -> Iterator[pd.DataFrame]:
     now, k0, i0, marks = -1, [], [], []
 
     def done() -> Iterator[pd.DataFrame]:
@@ -94,7 +163,7 @@ def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hit[:-1] |= same
             if marks:
                 hit |= np.isin(keys, np.concatenate(marks))
-            yield from by_id(ids[hit], keys[hit])
+            yield from out.add(ids[hit], keys[hit])
 
     for pdf in batches:
         for bucket, known, k, i in zip(pdf["bucket"], pdf["known"], pdf["keys"], pdf["ids"], strict=True):
@@ -103,7 +172,7 @@ def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 now, k0, i0, marks = bucket, [], [], []
             keys = np.frombuffer(k, dtype=U)
             if known:
-                yield from by_id(np.frombuffer(i, dtype=np.int64), keys)
+                yield from out.add(np.frombuffer(i, dtype=np.int64), keys)
             elif len(i):
                 k0.append(keys)
                 i0.append(np.frombuffer(i, dtype=np.int64))
@@ -113,25 +182,18 @@ def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def repeated(sent: DataFrame, partitions: int) -> DataFrame:
-    """(id, keys) of the occurrences in `sent` (rows of `PACKED`) whose key occurs twice or more; an id has several rows.
+    """Rows of `FOUND` for the occurrences in `sent` (rows of `PACKED`) whose key occurs twice or more.
 
     One shuffle by ranges of keys; a bucket is a slice of the key space, so its size follows from the number of
     partitions, and a task holds one bucket at a time.
     """
     laid = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return laid.mapInPandas(_repeated, "id long, keys binary")
-
-
-def gathered(found: DataFrame) -> DataFrame:
-    """(id, keys array<binary>) with one row an id; an id has at most its own occurrences."""
-    return found.groupBy("id").agg(F.collect_list("keys").alias("keys"))
+    return laid.mapInPandas(_repeated(4 * partitions), FOUND)
 
 
-def key_set(blobs) -> np.ndarray:
-    """The sorted distinct keys of an array of binary lists; None gives none."""
-    if blobs is None or len(blobs) == 0:
-        return np.empty(0, dtype=U)
-    return np.unique(np.frombuffer(b"".join(blobs), dtype=U))
+def key_set(blob: bytes | None) -> np.ndarray:
+    """The sorted distinct keys of a binary list; None gives none."""
+    return np.unique(np.frombuffer(blob or b"", dtype=U))
 
 
 def among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from noticeworks.llm.common import stage
 from noticeworks.llm.hashing import Powers, U, as_bytes, chunks, mix, prefix_hash, span_hash
-from noticeworks.llm.repeats import among, by_id, gathered, key_set
+from noticeworks.llm.repeats import FOUND, Slots, among, gathered, key_set
 
 WIDTH = 400
 #: Leading bytes by which suffixes are compared; whole 8-byte words.
@@ -179,26 +179,32 @@ def _by_bucket(batches: Iterator[pd.DataFrame], done, known) -> Iterator[pd.Data
         yield from done(rows)
 
 
-def _sorted_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sorted_buckets(slots: int):
     """The names of leads that occur twice, by id."""
 
-    def done(rows: list) -> Iterator[pd.DataFrame]:
-        words, ids, mark = [], [], []
-        for i, d, _ in rows:
-            w = np.frombuffer(_spread(d), dtype=U).reshape(-1, LEAD // 8)
-            words.append(w)
-            mark.append(np.full(len(w), not len(i)))
-            ids.append(np.frombuffer(i, dtype=np.int64) if len(i) else np.zeros(len(w), dtype=np.int64))
-        w, i, m = np.concatenate(words), np.concatenate(ids), np.concatenate(mark)
-        order, equal = multikey_sort(w)
-        keep = order[equal]
-        keep = keep[~m[keep]]
-        yield from by_id(i[keep], lead_names(w[keep]))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = Slots(slots)
+
+        def done(rows: list) -> Iterator[pd.DataFrame]:
+            words, ids, mark = [], [], []
+            for i, d, _ in rows:
+                w = np.frombuffer(_spread(d), dtype=U).reshape(-1, LEAD // 8)
+                words.append(w)
+                mark.append(np.full(len(w), not len(i)))
+                ids.append(np.frombuffer(i, dtype=np.int64) if len(i) else np.zeros(len(w), dtype=np.int64))
+            w, i, m = np.concatenate(words), np.concatenate(ids), np.concatenate(mark)
+            order, equal = multikey_sort(w)
+            keep = order[equal]
+            keep = keep[~m[keep]]
+            yield from out.add(i[keep], lead_names(w[keep]))
+
+        def known(ids: bytes, data: bytes) -> Iterator[pd.DataFrame]:
+            yield from out.add(np.frombuffer(ids, dtype=np.int64), np.frombuffer(_spread(data), dtype=U))
 
-    def known(ids: bytes, data: bytes) -> Iterator[pd.DataFrame]:
-        yield from by_id(np.frombuffer(ids, dtype=np.int64), np.frombuffer(_spread(data), dtype=U))
+        yield from _by_bucket(batches, done, known)
+        yield from out.flush()
 
-    yield from _by_bucket(batches, done, known)
+    return run
 
 
 def _digest(t: bytes) -> str:
@@ -281,19 +287,11 @@ def _send_strings(width: int, buckets: int):
     return run
 
 
-def _ranges(place: np.ndarray) -> Iterator[pd.DataFrame]:
-    """(id, keys): ranges (first, last) of starts, the ranges of an id in one row."""
-    if len(place):
-        place = place[np.argsort(place[:, 0], kind="stable")]
-        cut = np.flatnonzero(place[1:, 0] != place[:-1, 0]) + 1
-        yield pd.DataFrame({"id": place[np.append(0, cut), 0], "keys": [x[:, 1:].tobytes() for x in np.split(place, cut)]})
-
-
-def _compare(width: int):
-    """Ranges of starts whose strings occur twice."""
+def _compare(width: int, slots: int):
+    """Ranges (first, last) of starts whose strings occur twice, by id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers = Powers()
+        powers, out = Powers(), Slots(slots)
 
         def done(rows: list) -> Iterator[pd.DataFrame]:
             names, owner, places, marks = [], [], [], []
@@ -332,12 +330,14 @@ def _compare(width: int):
             offset = np.zeros(len(place), dtype=np.int64)
             offset[1:] = np.cumsum(place[:-1, 2] - width + 1)
             o = own[start]
-            yield from _ranges(np.stack([place[o, 0], place[o, 1] + start - offset[o], place[o, 1] + stop - offset[o]], axis=1))
+            yield from out.add(place[o, 0], np.stack([place[o, 1] + start - offset[o], place[o, 1] + stop - offset[o]], axis=1))
 
         def known(_: bytes, data: bytes) -> Iterator[pd.DataFrame]:
-            yield from _ranges(np.frombuffer(data, dtype=np.int64).reshape(-1, 3))
+            place = np.frombuffer(data, dtype=np.int64).reshape(-1, 3)
+            yield from out.add(np.ascontiguousarray(place[:, 0]), place[:, 1:])
 
         yield from _by_bucket(batches, done, known)
+        yield from out.flush()
 
     return run
 
@@ -346,9 +346,9 @@ def _remove(width: int, with_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, text, blobs in zip(pdf["doc_id"], pdf["text"], pdf["keys"], strict=True):
+            for doc, text, keys in zip(pdf["doc_id"], pdf["text"], pdf["keys"], strict=True):
                 t = as_bytes(text)
-                ranges = np.frombuffer(b"".join(blobs) if blobs is not None else b"", dtype=np.int64).reshape(-1, 2)
+                ranges = np.frombuffer(keys or b"", dtype=np.int64).reshape(-1, 2)
                 step = np.zeros(len(t) + 1, dtype=np.int64)
                 np.add.at(step, ranges[:, 0], 1)
                 np.add.at(step, ranges[:, 1] + width, -1)
@@ -390,13 +390,13 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, with_text: bool =
     lead = np.sort(np.array([r[0] for r in sample.collect()], dtype=np.int64).view(U))
     splitters = np.unique(lead[np.arange(1, 4 * n) * len(lead) // (4 * n)]) if len(lead) else np.empty(0, dtype=U)
     laid = docs.select("id", "text").mapInPandas(_send_suffixes(width, splitters), SENT)
-    names = gathered(laid.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_sorted_buckets, "id long, keys binary"))
+    names = gathered(laid.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_sorted_buckets(4 * n), FOUND), n)
     schema = "id long, doc_id long, text string, points binary, n_bytes long, kept_sha256 string"
     seen = stage(docs.join(names, "id", "left").mapInPandas(_find(width), schema))
     open_ = seen.where("points is not null")
     laid = open_.select("id", "text", "points").mapInPandas(_send_strings(width, 4 * n), SENT)
-    again = laid.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_compare(width), "id long, keys binary")
-    again = gathered(again)
+    again = laid.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_compare(width, 4 * n), FOUND)
+    again = gathered(again, n, 2)
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     cut = open_.select("id", "doc_id", "text").join(again, "id", "left").mapInPandas(_remove(width, with_text), fields)
     none = F.lit(0).cast("long")
