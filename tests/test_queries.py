@@ -1,0 +1,35 @@
+"""Every query that has SQL gives DuckDB's rows on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from noticeworks.plans import registry
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES.split():
+        con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    return con
+
+
+def rows(table, columns):
+    return sorted([tuple("" if v is None else str(v) for v in r) for r in table], key=str)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_matches_duckdb(spark, duck, name):
+    df = registry.queries()[name](spark, SF)
+    want = duck.sql(registry.oracle_sql()[name])
+    cols = sorted(df.columns)
+    assert cols == sorted(want.columns)
+    got = [tuple(r[c] for c in cols) for r in df.collect()]
+    at = [want.columns.index(c) for c in cols]
+    assert rows(got, cols) == rows([tuple(r[i] for i in at) for r in want.fetchall()], cols)
