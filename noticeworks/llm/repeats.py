@@ -188,7 +188,7 @@ def repeated(sent: DataFrame, partitions: int) -> DataFrame:
     partitions, and a task holds one bucket at a time.
     """
     laid = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return laid.mapInPandas(_repeated(4 * partitions), FOUND)
+    return laid.mapInPandas(_repeated(partitions), FOUND)
 
 
 def key_set(blob: bytes | None) -> np.ndarray:

@@ -390,12 +390,12 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, with_text: bool =
     lead = np.sort(np.array([r[0] for r in sample.collect()], dtype=np.int64).view(U))
     splitters = np.unique(lead[np.arange(1, 4 * n) * len(lead) // (4 * n)]) if len(lead) else np.empty(0, dtype=U)
     laid = docs.select("id", "text").mapInPandas(_send_suffixes(width, splitters), SENT)
-    names = gathered(laid.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_sorted_buckets(4 * n), FOUND), n)
+    names = gathered(laid.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_sorted_buckets(n), FOUND), n)
     schema = "id long, doc_id long, text string, points binary, n_bytes long, kept_sha256 string"
     seen = stage(docs.join(names, "id", "left").mapInPandas(_find(width), schema))
     open_ = seen.where("points is not null")
     laid = open_.select("id", "text", "points").mapInPandas(_send_strings(width, 4 * n), SENT)
-    again = laid.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_compare(width, 4 * n), FOUND)
+    again = laid.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_compare(width, n), FOUND)
     again = gathered(again, n, 2)
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     cut = open_.select("id", "doc_id", "text").join(again, "id", "left").mapInPandas(_remove(width, with_text), fields)
