@@ -175,13 +175,14 @@ class _Finder:
         sa = self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
         sb = self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
         links = stage(pairs.join(sb, "b").join(sa, "a").mapInPandas(_links(self.percent), "a long, b long"))
-        if links.limit(1).count():
+        grown = links.limit(1).count() > 0
+        if grown:
             edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
             if self.comps is not None:
                 edges = edges.union(self.comps.select("node", "component"))
             self.comps = stage(components(edges))
         rest = active.join(heads.select("bk", "id"), ["bk", "id"], "left_anti")
-        if self.comps is not None:
+        if grown:  # else the components in `active` hold
             rest = rest.drop("c").join(self.comps.withColumnRenamed("node", "id"), "id", "left")
             rest = rest.select("bk", "id", "n", F.coalesce("component", "id").alias("c"), *bits)
         return self.open(rest)
