@@ -21,6 +21,5 @@ ORACLES = {
     "op5_mix": mixing.OP5_SQL,
     "op6_shards": sharding.OP6_SQL,
     "op7_quality": quality.OP7_SQL,
-    "op8_suffixes": suffixes.op8_suffixes,
     "op9_urls": urls.OP9_SQL,
 }
