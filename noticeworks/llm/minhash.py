@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +18,6 @@ BANDS = 32
 ROWS = 6
 #: Random bins that an empty bin tries in turn; after them it takes the next filled one.
 TRIES = 512
-#: Bands of the longer signature for documents whose buckets stay open.
-SHARP_BANDS = 160
-#: Bits of the longer signature, one a bin, that a pair must mostly share before its full sets are fetched.
-BITS = 512
-BIT_COLUMNS = [f"b{k}" for k in range(BITS // 64)]
 
 
 def shingle_sets(texts: list[bytes], width: int, powers: Powers) -> Iterator[np.ndarray]:
@@ -111,24 +105,31 @@ def _sets(width: int):
     return run
 
 
-def _sharp(bands: int, rows: int):
-    """Band keys and bits of a longer signature, from the sets."""
+def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each shingle of a set, with the set's size."""
+    for pdf in batches:
+        for i, j in chunks(list(pdf["shingles"])):
+            sets = [np.frombuffer(x, dtype=np.int64) for x in pdf["shingles"].iloc[i:j]]
+            n = [len(x) for x in sets]
+            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy()[i:j], n), "n": np.repeat(n, n), "bk": np.concatenate(sets)})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bins = bands * rows
-        tries = np.random.default_rng(8).integers(0, bins, size=(TRIES, bins))
-        c, d = salts(rows, 41), salts(bands, 43)
-        for pdf in batches:
-            for lo in range(0, len(pdf), 200):
-                part = pdf.iloc[lo : lo + 200]
-                sets = [np.frombuffer(x, dtype=U) for x in part["shingles"]]
-                sig = signatures(sets, bins, tries).reshape(len(sets), bands, rows)
-                keys = mix((sig * c).sum(axis=2, dtype=U) + d).view(np.int64)
-                bits = np.packbits((mix(sig.reshape(len(sets), bins)[:, :BITS]) & U(1)).astype(np.uint8), axis=1).view(np.int64)
-                frame = {"id": np.repeat(part["id"].to_numpy(), bands), "bk": keys.ravel()}
-                yield pd.DataFrame(frame | {c: np.repeat(bits[:, k], bands) for k, c in enumerate(BIT_COLUMNS)})
 
-    return run
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(bk, id, n, at, lead): the rarest shingles of each set of `sets` (id, shingles) that another set has too.
+
+    All sets order their shingles alike, rarest first; `at` is a shingle's place, from 0, in a set of `n`. Two sets
+    of the similarity share `percent` per cent of the larger one, so each has their first common shingle among its
+    first n - ceil(percent * n / 100) + 1: a pair that shares no bucket here is no link. In the smaller of the two
+    it stands among the first n - ceil(2 * percent * n / (100 + percent)) + 1, which `lead` marks. A set with
+    enough shingles of its own has no row.
+    """
+    all_ = stage(sets.mapInPandas(_spread, "id long, n long, bk long"))
+    often = all_.groupBy("bk").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    shared = all_.join(often, "bk").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "bk"))).alias("s"))
+    first = F.expr(f"cast(size(s) - ({percent} * n + 99) div 100 + 1 as int)")
+    rows = shared.withColumn("first", first).where("first > 0").select("id", "n", F.expr("n - size(s)").alias("own"), F.posexplode(F.expr("slice(s.bk, 1, first)")).alias("k", "bk"))
+    lead = F.expr(f"own + k + ({2 * percent} * n + {99 + percent}) div {100 + percent} <= n")
+    return rows.select("bk", "id", "n", (F.col("own") + F.col("k")).alias("at"), lead.alias("lead"))
 
 
 def _links(percent: int):
@@ -144,12 +145,6 @@ def _links(percent: int):
     return run
 
 
-def _differing_bits(percent: int) -> int:
-    """Bits in which a pair at the threshold differs at most: six standard deviations above what is expected."""
-    p = (1 - percent / 100) / 2
-    return math.ceil(BITS * p + 6 * math.sqrt(BITS * p * (1 - p)))
-
-
 class _Finder:
     """The state between rounds: the components so far."""
 
@@ -158,19 +153,19 @@ class _Finder:
         self.comps: DataFrame | None = None
 
     def open(self, members: DataFrame) -> DataFrame:
-        """Of (bk, id, n, c, ...) the buckets whose members are in two components at least."""
-        wide = members.groupBy("bk").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bk")
+        """Of (bk, id, n, at, lead, c) the buckets with a pivot to come whose members are in two components at least."""
+        wide = members.groupBy("bk").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("lead").alias("some")).where("lo <> hi and some").select("bk")
         return stage(members.join(wide, "bk"))
 
     def round(self, active: DataFrame, heads: DataFrame) -> DataFrame:
-        """Compare the pivots `heads` with the other members of their buckets; the buckets that stay open, without them."""
-        bits = [c for c in BIT_COLUMNS if c in active.columns]
-        h = heads.select(F.col("bk").alias("hk"), F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("c").alias("pc"), *[F.col(c).alias(f"p{c}") for c in bits])
+        """Compare the pivots `heads` with the other members of their buckets; the buckets that stay open, without them.
+
+        If a bucket is a pair's first common shingle, they share at most what each has from there on.
+        """
+        h = heads.select(F.col("bk").alias("hk"), F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("c").alias("pc"))
         near = (F.col("bk") == F.col("hk")) & (F.col("c") != F.col("pc"))
-        near = near & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * self.percent)
-        if bits:
-            differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p{c}"))) for c in bits[1:]), F.bit_count(F.col(bits[0]).bitwiseXOR(F.col(f"p{bits[0]}"))))
-            near = near & (differ <= _differing_bits(self.percent))
+        most = F.least(F.col("n") - F.col("at"), F.col("pn") - F.col("pat"))
+        near = near & (most * (100 + self.percent) >= (F.col("n") + F.col("pn")) * self.percent)
         pairs = active.join(h, near).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
         sa = self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
         sb = self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
@@ -184,7 +179,7 @@ class _Finder:
         rest = active.join(heads.select("bk", "id"), ["bk", "id"], "left_anti")
         if grown:  # else the components in `active` hold
             rest = rest.drop("c").join(self.comps.withColumnRenamed("node", "id"), "id", "left")
-            rest = rest.select("bk", "id", "n", F.coalesce("component", "id").alias("c"), *bits)
+            rest = rest.select("bk", "id", "n", "at", "lead", F.coalesce("component", "id").alias("c"))
         return self.open(rest)
 
 
@@ -200,13 +195,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = 80, ba
        hash, is paired with each other member: a star, never all pairs. Pairs whose set sizes rule the link out
        are left out, the others are confirmed on their full sets.
     3. Links become components, and a bucket whose members are in one component is done. The members of the other
-       buckets get a longer signature, 160 bands with more rows, which parts texts that merely share a passage.
-       In its buckets four pivots, then sixteen, and so on are compared with the members of other components,
-       until no bucket is open: a pair that shares such a bucket is compared or already connected. Of 512 bits of
-       that signature a pair may differ in six standard deviations more than one at the threshold (1e-9).
+       buckets, such as texts that merely share a passage, are told apart exactly: their rarest shingles become
+       their buckets (see `rare_shingles`), which every pair at the threshold shares. In these four pivots, then
+       sixteen, and so on, those with the fewest rarer shingles first, are compared with the members of other
+       components whose places in the bucket allow the similarity, until no pivot or one component is left.
 
-    A pair at the threshold shares no bucket with a chance of 3e-7 at 0.85 (6e-5 at 0.8), and none of the longer
-    ones with a chance of 4e-6 (1e-5).
+    A pair at the threshold shares no bucket of step 2 with a chance of 3e-7 at 0.85 (6e-5 at 0.8), if its sets
+    are large against the signature; step 3 loses none.
     Null, empty or blank text: no shingles, linked with nothing. Fewer words than `width`: one shingle. Null ids:
     a row of its own with null component, kept. Rows with one id are one node. An empty table gives no rows.
     """
@@ -226,18 +221,17 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = 80, ba
     active = stage(rows_.join(shared, "bk"))
     sets = stage(docs.join(active.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInPandas(_sets(width), "id long, shingles binary").dropDuplicates(["id"]))
     finder = _Finder(sets, percent)
-    active = active.withColumn("c", F.col("id"))
-    heads = active.groupBy("bk").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n", "c")).alias("p")).select("bk", "p.*")
+    active = active.withColumns({"at": F.lit(0).cast("long"), "lead": F.lit(True), "c": F.col("id")})
+    heads = active.groupBy("bk").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n", "at", "c")).alias("p")).select("bk", "p.*")
     active = finder.round(active, heads)
     if active.limit(1).count():
-        sharp_rows = max(rows, round(math.log(0.075) / math.log(percent / 100)))
-        again = active.select("id", "n", "c").distinct()
-        keys = sets.join(again.select("id"), "id", "left_semi").mapInPandas(_sharp(SHARP_BANDS, sharp_rows), f"id long, bk long, {', '.join(f'{c} long' for c in BIT_COLUMNS)}")
-        active = finder.open(again.join(keys, "id").select("bk", "id", "n", "c", *BIT_COLUMNS))
+        again = active.select("id", "c").distinct()
+        keys = rare_shingles(sets.join(again.select("id"), "id", "left_semi"), percent)
+        active = finder.open(keys.join(again, "id").select("bk", "id", "n", "at", "lead", "c"))
     pivots = 4
     while active.limit(1).count():
-        order = F.row_number().over(Window.partitionBy("bk").orderBy(F.xxhash64("id", "bk"), "id"))
-        active = finder.round(active, active.withColumn("k", order).where(F.col("k") <= pivots))
+        order = F.row_number().over(Window.partitionBy("bk").orderBy("at", F.xxhash64("id", "bk"), "id"))
+        active = finder.round(active, active.where("lead").withColumn("k", order).where(F.col("k") <= pivots))
         pivots *= 4
     comps = finder.comps
     if comps is None:
