@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from noticeworks.llm import hnsw, langid, minhash, mixing, packing, quality, recompress, sharding, suffixes, urls
+from noticeworks.llm import hnsw, langid, minhash, mixing, packing, quality, queries, recompress, sharding, suffixes, urls
 from noticeworks.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -95,6 +95,56 @@ def test_minhash(docs, corpus):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), comp[r["doc_id"]], comp[r["doc_id"]] == r["doc_id"])
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_rare_shingles_lose_no_pair(spark, percent):
+    r = np.random.default_rng(percent)
+    base = r.choice(400, 60, replace=False)
+    sets = {}
+    for i in range(60):  # near copies of one base, some with shared edits, and a few small sets
+        s = set(base.tolist()) - set(r.choice(base, int(r.integers(0, 9)), replace=False).tolist())
+        sets[i] = s | set((400 + r.choice(30, int(r.integers(0, 6)), replace=False)).tolist())
+    sets |= {100 + i: set(base[:8].tolist()) | {1000 + i % 2} for i in range(4)}
+    rows = [(i, np.array(sorted(s), dtype=np.int64).tobytes()) for i, s in sets.items()]
+    place = {}
+    for x in minhash.rare_shingles(spark.createDataFrame(rows, "id long, shingles binary"), percent).collect():
+        assert x["n"] == len(sets[x["id"]]) and x["bk"] in sets[x["id"]]
+        place.setdefault(x["bk"], []).append(x)
+    found = set()
+    for members in place.values():
+        for a in members:
+            for b in members:
+                most = min(a["n"] - a["at"], b["n"] - b["at"])
+                if a["id"] < b["id"] and (a["lead"] or b["lead"]) and most * (100 + percent) >= (a["n"] + b["n"]) * percent:
+                    found.add((a["id"], b["id"]))
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert links and links <= found
+
+
+def test_minhash_open_buckets(spark):
+    r = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(80):  # one to six edits each: many share buckets, only some are links
+        w = list(base)
+        for at in r.choice(150, int(r.integers(1, 7)), replace=False):
+            w[at] = f"e{r.integers(0, 40)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    comp = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    assert len(set(comp.values())) > 1
+    assert {x["doc_id"]: x["component_id"] for x in got} == comp
+
+
+def test_registered():
+    assert set(queries.ORACLES) <= set(queries.QUERIES) and all(isinstance(s, str) for s in queries.ORACLES.values())
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
 def test_packing(docs, corpus):
     encode = packing.encoder()
     exact = packing.encoder(ranks="")
