@@ -1,9 +1,10 @@
-"""Guarded writes and decisions over versions of the test tables."""
+"""Guarded writes and decisions over versions of the test tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from noticeworks.functions import relevance as R
 from noticeworks.operators import transitions as T
 from noticeworks.session import table
 
@@ -155,7 +156,25 @@ def r4_horizon(spark, sf):
     return e.join(h, F.col("user_id") == F.col("u")).where(due).select("event_id", "user_id")
 
 
-QUERIES = {f.__name__: f for f in (k2_transition, k3_found, k5_upsert, k6_leases, k7_advance, k9_cascade, k10_unexpired, k12_cache, v2_material_changes, v23_impact_axes, v10_open_evidence, v15_match_verdict, v17_link_records, v19_keep_reviewed, v21_decisions, v24_enrich, a5_distinct_list, a12_gates, a14_applied_health, r4_horizon)}
+def c17_relevance(spark, sf):
+    """Every order as a case, judged for its customer."""
+    o, c, li = table(spark, sf, "orders"), table(spark, sf, "customer"), table(spark, sf, "lineitem")
+    kids = li.groupBy("l_orderkey").agg(F.collect_set(F.col("l_suppkey") % 25).alias("states"), F.bool_or(F.col("l_returnflag") == "R").alias("signal"), F.bool_and(F.col("l_linestatus") == "F").alias("mismatch"))
+    first = F.substr("o_orderpriority", F.lit(1), F.lit(1))
+    scope = F.when(first == "1", "nationwide").when(first == "5", "unknown").otherwise("states")
+    chosen = F.when(F.col("c_acctbal") > 0, F.array(F.col("c_nationkey").cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    j = o.join(kids, F.col("o_orderkey") == F.col("l_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return j.select("o_orderkey", R.geographic(scope, F.col("states"), chosen).alias("geographic"), R.affects(scope, F.col("states"), chosen, F.col("signal"), F.col("mismatch")).alias("affects"))
+
+
+def c11_illness(spark, sf):
+    e = table(spark, sf, "events")
+    kind = F.when(F.col("event_type") == "error", "explicit_none").when(F.col("event_type") == "purchase", "reported_count").otherwise("unknown")
+    said = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", kind.alias("k"))), asc=False), lambda x: x["k"]).alias("k"))
+    return said.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), R.resolve_illness(F.col("k")).alias("status"))
+
+
+QUERIES = {f.__name__: f for f in (k2_transition, k3_found, k5_upsert, k6_leases, k7_advance, k9_cascade, k10_unexpired, k12_cache, v2_material_changes, v23_impact_axes, v10_open_evidence, v15_match_verdict, v17_link_records, v19_keep_reviewed, v21_decisions, v24_enrich, a5_distinct_list, a12_gates, a14_applied_health, r4_horizon, c17_relevance, c11_illness)}
 
 CHANGED = "WITH n AS (SELECT c_custkey + 10 AS c_custkey, c_nationkey, c_mktsegment FROM customer) "
 SIDES = """
@@ -244,4 +263,14 @@ SELECT o_orderpriority, count(*) AS n, count_if(o_orderstatus = 'F')::BIGINT AS
     "r4_horizon": """
 WITH h AS (SELECT user_id, greatest(min(CASE WHEN event_type = 'login' THEN ts END), min(CASE WHEN event_type = 'view' THEN ts END), min(CASE WHEN event_type = 'error' THEN ts END)) AS t FROM events GROUP BY 1)
 SELECT event_id, e.user_id FROM events e JOIN h USING (user_id) WHERE ts >= t AND ts >= TIMESTAMP '2024-01-30' - INTERVAL 20 DAY""",
+    "c17_relevance": """
+WITH k AS (SELECT l_orderkey, list(DISTINCT l_suppkey % 25) AS st, bool_or(l_returnflag = 'R') AS sig, bool_and(l_linestatus = 'F') AS mis FROM lineitem GROUP BY 1),
+j AS (SELECT o_orderkey, substr(o_orderpriority, 1, 1) AS p, list_contains(st, c_nationkey) AS hit, c_acctbal > 0 AS chose, sig, mis
+  FROM orders JOIN k ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey),
+g AS (SELECT *, CASE WHEN p = '1' THEN 'matches' WHEN p = '5' OR NOT chose THEN 'unknown' WHEN hit THEN 'matches' ELSE 'does_not_match' END AS geographic FROM j)
+SELECT o_orderkey, geographic, geographic <> 'does_not_match' AND NOT mis AND ((geographic = 'matches' AND chose) OR sig) AS affects FROM g""",
+    "c11_illness": """
+WITH e AS (SELECT user_id, ts::DATE AS d, ts, event_id, CASE event_type WHEN 'error' THEN 'none' WHEN 'purchase' THEN 'count' END AS k FROM events),
+g AS (SELECT user_id, d, arg_max(k, (ts, event_id)) FILTER (k IS NOT NULL) AS newest, count_if(k = 'count') AS reports FROM e GROUP BY 1, 2)
+SELECT user_id, strftime(d, '%Y-%m-%d') AS day, CASE WHEN newest IS NULL THEN 'unknown' WHEN newest = 'count' THEN 'reported_count' WHEN reports > 0 THEN 'reported_unspecified' ELSE 'explicit_none' END AS status FROM g""",
 }
