@@ -32,7 +32,7 @@ def strip_html(c: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Sentences: cut after `.`, `!` or `?` before a blank, and at line feeds; empty ones go."""
     marked = F.regexp_replace(c, r"([.!?]) +", "$1\n")
-    return F.filter(F.transform(F.split(marked, "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def search_text(c: Column) -> Column:

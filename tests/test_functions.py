@@ -43,3 +43,8 @@ def test_coalescing_counts_from_the_delivered_one(spark):
     df = df.withColumn("ts", F.timestamp_seconds(F.col("h") * 3600))
     got = dict(map(tuple, events.coalesce_updates(df, "c", "ts", "o").select("o", "suppressed").collect()))
     assert got == {1: False, 2: True, 3: False, 4: True, 5: False}
+
+
+def test_sentences_keep_digits_at_their_ends(spark):
+    df = spark.createDataFrame([("9 units. 1 of 21. 2 left in 32",)], "x string")
+    assert df.select(text.sentences(F.col("x"))).first()[0] == ["9 units.", "1 of 21.", "2 left in 32"]
