@@ -37,3 +37,28 @@ def notice_date(c: Column) -> Column:
     us = F.when(c.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.try_to_date(c, "MM/dd/yyyy"))
     flat = F.when(c.rlike(r"^\d{8}$"), F.try_to_date(c, "yyyyMMdd"))
     return F.coalesce(iso, us, flat)
+
+
+def recall_number(c: Column) -> Column:
+    """Struct (native_id, base_id): trimmed upper case, and the base of an expansion; null if it is the base or has none."""
+    native = F.upper(F.trim(c))
+    base = F.regexp_extract(native, r"^(PHA-\d{6,9}(?:-\d{1,2})?|\d{1,3}-\d{4})", 1)
+    return F.struct(native.alias("native_id"), F.when((base != "") & (base != native), base).alias("base_id"))
+
+
+def collision_base(slug: Column) -> Column:
+    """A slug of 20 characters or more without the number that sets it apart from an equal one; null without a number."""
+    base = F.regexp_extract(slug, r"^(.{20,})-\d{1,2}$", 1)
+    return F.when(base != "", base)
+
+
+def size_tokens(c: Column) -> Column:
+    """Distinct package sizes, in lower case without blanks, dots and dashes between number and unit: `12 oz.` -> `12oz` (I8)."""
+    found = F.regexp_extract_all(F.lower(c), F.lit(r"\b(\d+(?:\.\d+)?\s?-?\s?(?:fl\.?\s?oz|oz|lbs?|kg|g|ml|l|ct|count|pk|pack))\b(?!\w)"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda t: F.regexp_replace(F.regexp_replace(t, r"[\s-]+", ""), r"\.(?!\d)", "")))
+
+
+def unverified_sizes(claim: Column, printed: Column) -> Column:
+    """The sizes of a claim that a text does not print; empty if it prints all."""
+    none = F.array().cast("array<string>")
+    return F.array_except(F.coalesce(size_tokens(claim), none), F.coalesce(size_tokens(printed), none))

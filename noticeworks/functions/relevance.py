@@ -1,4 +1,4 @@
-"""Hazard words, personal relevance and report rules as Column expressions."""
+"""Hazard words, personal relevance and report rules as Column expressions."""
 
 from __future__ import annotations
 
@@ -131,3 +131,34 @@ def report_problem(active: Column, scope: Column, states: Column, retailers: Col
         F.when(retailer.isNotNull() & ~has(F.filter(retailers, lambda r: F.trim(r) != ""), retailer), "retailer_not_offered"),
         F.when(~F.coalesce(window.isin(*windows), F.lit(False)), "purchase_window_invalid"),
     )
+
+
+#: Official reasons that name a label, and those that name the product.
+LABEL_REASONS = ("Misbranding", "Mislabeling")
+RULE_REASONS = ("Misbranding", "Mislabeling", "Import Violation", "Produced Without Benefit of Inspection")
+PRODUCT_REASONS = ("Processing Defect", "Unfit for Human Consumption")
+
+
+def hazard_category(reasons: Column, text: Column, undeclared: Column, foreign: Column) -> Column:
+    """Hazard of a notice from its official reasons, with what the text states where they leave it open.
+
+    `undeclared` and `foreign`: whether the text states an undeclared allergen, and foreign material. An allergen may
+    take the place of a labelling reason, of contamination that the text does not explain, or of no reason at all.
+    """
+    why = F.coalesce(reasons, F.array().cast("array<string>"))
+    has = lambda *names: F.arrays_overlap(why, F.array(*[F.lit(n) for n in names]))
+    allergen = F.coalesce(undeclared, F.lit(False))
+    labels_only = F.size(F.array_except(why, F.array(*[F.lit(n) for n in LABEL_REASONS]))) == 0
+    return (
+        F.when(has("Unreported Allergens"), "allergen")
+        .when(has("Product Contamination") & pathogen(text).isNotNull(), "microbial_contamination")
+        .when(has("Product Contamination") & F.coalesce(foreign, F.lit(False)), "foreign_material")
+        .when(has("Product Contamination") & allergen & chemical_agent(text).isNull(), "allergen")
+        .when(has("Product Contamination"), "unknown")
+        .when(has("Insanitary Conditions"), "other_regulatory")
+        .when(has(*PRODUCT_REASONS), "product_integrity")
+        .when(has(*RULE_REASONS) & labels_only & allergen, "allergen")
+        .when(has(*RULE_REASONS), "other_regulatory")
+        .when((F.size(why) == 0) & allergen, "allergen")
+        .otherwise("unknown")
+    )

@@ -48,3 +48,20 @@ def test_coalescing_counts_from_the_delivered_one(spark):
 def test_sentences_keep_digits_at_their_ends(spark):
     df = spark.createDataFrame([("9 units. 1 of 21. 2 left in 32",)], "x string")
     assert df.select(text.sentences(F.col("x"))).first()[0] == ["9 units.", "1 of 21.", "2 left in 32"]
+
+
+def test_recall_numbers_and_sizes(spark):
+    assert tuple(one(spark, " 017-2026-exp1 ", identifiers.recall_number)) == ("017-2026-EXP1", "017-2026")
+    assert tuple(one(spark, "017-2026", identifiers.recall_number)) == ("017-2026", None)
+    assert tuple(one(spark, "PHA-01022024-01 (Original)", identifiers.recall_number)) == ("PHA-01022024-01 (ORIGINAL)", "PHA-01022024-01")
+    assert one(spark, "a-company-recalls-its-soup-0", identifiers.collision_base) == "a-company-recalls-its-soup"
+    assert one(spark, "omega-3", identifiers.collision_base) is None
+    assert one(spark, "12 oz. bag, 1.5-lb tray; 12oz cup of 4 grams", identifiers.size_tokens) == ["12oz", "1.5lb"]
+    assert one(spark, "12 oz and 2 lb", lambda c: identifiers.unverified_sizes(c, F.lit("a 12-oz bag"))) == ["2lb"]
+    assert one(spark, None, lambda c: identifiers.unverified_sizes(c, F.lit(None).cast("string"))) == []
+
+
+def test_images_go_to_one_row_each(spark):
+    rows = [(1, "a", "x", 1, 0.1), (1, "b", "x", 2, 0.9), (1, "b", "y", 2, 0.5), (1, "c", "y", 2, 0.4), (2, "a", "x", 2, 0.5), (2, None, "x", 1, 1.0)]
+    df = spark.createDataFrame(rows, "c long, r string, i string, k int, s double")
+    assert sorted(map(tuple, entity.allocate_images(df, "c", "r", "i", "k", "s").collect())) == [(1, "a", "x"), (1, "b", "y"), (2, "a", "x")]

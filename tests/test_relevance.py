@@ -66,3 +66,22 @@ def test_report_draft(spark):
     ]
     got = column(spark, e, rows, "active boolean, scope string, states array<string>, retailers array<string>, state string, retailer string, window string")
     assert got == [None, "case_not_active", "geography_unusable", "state_not_allowed", "retailer_not_offered", "purchase_window_invalid", "case_not_active"]
+
+
+def test_hazard_category(spark):
+    rows = [
+        (["Unreported Allergens"], "Salmonella", False, False),
+        (["Product Contamination"], "with Listeria", True, True),
+        (["Product Contamination"], "with plastic", True, True),
+        (["Product Contamination"], "with anchovy", True, False),
+        (["Product Contamination"], "with lead", True, False),
+        (["Insanitary Conditions", "Misbranding"], "", True, False),
+        (["Processing Defect"], "", False, False),
+        (["Misbranding"], "", True, False),
+        (["Misbranding", "Import Violation"], "", True, False),
+        ([], "", True, False),
+        (None, None, None, None),
+        (["Other"], "", True, False),
+    ]
+    got = column(spark, R.hazard_category(*[F.col(n) for n in "abcd"]), rows, "a array<string>, b string, c boolean, d boolean")
+    assert got == ["allergen", "microbial_contamination", "foreign_material", "allergen", "unknown", "other_regulatory", "product_integrity", "allergen", "other_regulatory", "allergen", "unknown", "unknown"]
