@@ -19,8 +19,10 @@ SHARD_ROWS = 16_000
 SLICE_ROWS = 2_000
 DEGREE = 16
 BEAM = 64
-#: Queries of a slice that are held against brute force, and the recall that they must reach.
+#: Queries of a slice that are held against brute force at a time, the true pairs outside the largest group that an
+#: audit must hold, and the recall that it must reach.
 AUDIT = 32
+AUDIT_PAIRS = 300
 RECALL = 0.99
 
 
@@ -166,19 +168,59 @@ def search(x: np.ndarray, layers: list[np.ndarray], level_top: np.ndarray, q: np
     return beam_search(x, layers[0], q, np.concatenate([entry, own[:, None].astype(np.int32)], axis=1), min(beam, len(x)))
 
 
+def _exact(x: np.ndarray, q: np.ndarray, at: np.ndarray, low: np.float32) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs of the queries `at` with a similarity of `low` or above: blocks of all against all."""
+    qs, rows = [at[:0]], [at[:0]]
+    for s in range(0, len(at), 256):
+        r, c = np.nonzero(q[at[s : s + 256]] @ x.T >= low)
+        qs.append(at[s : s + 256][r])
+        rows.append(c)
+    return np.concatenate(qs), np.concatenate(rows)
+
+
+def _groups(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
+    """For each pair (a, b) of queries below `n` and rows below `m`, its connected group."""
+    query, row = np.arange(n), np.full(m, n)
+    while True:
+        np.minimum.at(row, b, query[a])
+        new = query.copy()
+        np.minimum.at(new, a, row[b])
+        if (new == query).all():
+            return query[a]
+        query = new
+
+
 def links(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) pairs that the graph finds with a similarity near `least` or above.
+    """(query, row) pairs with a similarity near `least` or above, by the graph as far as its audit allows.
 
-    A beam that ends above the threshold is doubled for its query. Some queries are held against brute force; if
-    they miss too much, all beams are doubled and searched again, up to the whole shard.
+    Some queries are held against brute force, themselves not counted: more and more of them, until they have
+    AUDIT_PAIRS true pairs outside the largest group of pairs. If that takes all queries, their pairs are the answer.
+    The mean recall of the audited queries of a group, averaged over groups, must reach RECALL, as must the mean
+    over queries; else all beams are doubled and searched again. When beams near the shard's size still miss too
+    much, all queries are compared with all rows. A beam that ends above the threshold is doubled for its query.
     """
     low = np.float32(least - 1e-4)
-    top = np.flatnonzero((layers[-1] >= 0).any(axis=1))[:8] if len(x) > 1 else np.zeros(1, dtype=np.int64)
+    order = np.argsort(mix(np.arange(len(q), dtype=np.int64).view(U)), kind="stable")
+    ta, tb, audited = order[:0], order[:0], 0
+    while True:
+        more = order[audited : max(AUDIT, 2 * audited)]
+        a, b = _exact(x, q, more, low)
+        ta, tb, audited = np.concatenate([ta, a]), np.concatenate([tb, b]), audited + len(more)
+        if audited == len(q):
+            return ta, tb
+        other = own[ta] != tb
+        pa, pb = ta[other], tb[other]
+        group = _groups(pa, pb, len(q), len(x))
+        if len(group) and len(group) - np.bincount(group).max() >= AUDIT_PAIRS:
+            break
+    top = np.flatnonzero((layers[-1] >= 0).any(axis=1))[:8]
     top = top if len(top) else np.zeros(1, dtype=np.int64)
-    audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(np.int64))
-    truth = (q[audit] @ x.T >= low).sum()
+    true = np.bincount(pa, minlength=len(q))
+    counted = np.flatnonzero(true)
+    of = np.zeros(len(q), dtype=np.int64)
+    of[pa] = group
     first = BEAM
-    while True:
+    while first <= len(x) // 8:
         qs, rows = [], []
         todo, beam = np.arange(len(q)), first
         while len(todo):
@@ -189,9 +231,16 @@ def links(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, own: np.ndarra
             rows.append(ids[r, c])
             todo, beam = todo[full], beam * 2
         qa, ra = np.concatenate(qs), np.concatenate(rows)
-        if first >= len(x) or np.isin(qa, audit).sum() >= RECALL * truth:
+        found = np.bincount(qa[own[qa] != ra], minlength=len(q))[counted]
+        part = np.minimum(found / true[counted], 1.0)
+        each = np.bincount(of[counted], part, minlength=len(q))
+        size = np.bincount(of[counted], minlength=len(q))
+        if part.mean() >= RECALL and (each[size > 0] / size[size > 0]).mean() >= RECALL:
             return qa, ra
         first *= 2
+    rest = order[audited:]
+    a, b = _exact(x, q, rest, low)
+    return np.concatenate([ta, a]), np.concatenate([tb, b])
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -266,8 +315,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, shard_rows: int = SHAR
     vectors, each slice a task of its own, so a large label is many tasks. Found pairs are confirmed by their
     cosine in double precision and counted on both sides; components are unions of links.
 
-    The search is approximate: a slice is searched again with wider beams until 99 of 100 true pairs of its audited
-    queries are found. Null labels, null or zero vectors, and vectors with a null or non-finite component link with
+    The search is approximate where links are many: a slice is searched again with wider beams until its audit (see
+    `links`) is passed, and compared with the whole shard if none passes or the audit lacks pairs. Null labels, null or zero vectors, and vectors with a null or non-finite component link with
     nothing, not even with their copies. Vectors of other lengths are compared with their like only. Null ids link
     with nothing and have a null component. Rows with one id are one node. An empty table gives no rows.
     """

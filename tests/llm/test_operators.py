@@ -185,6 +185,62 @@ def test_vectors(spark):
     assert all(got[i] == 0 for i in range(100, 105))
 
 
+def unit(r, n, dim=16):
+    v = r.normal(size=(n, dim))
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
+def near(r, v, by=0.01):
+    v = v + r.normal(size=v.shape).astype(np.float32) * np.float32(by)
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
+def found_and_true(x, layers, q, own):
+    a, b = hnsw.links(x, layers, q, own, 0.93)
+    return set(zip(a.tolist(), b.tolist())), set(zip(*(i.tolist() for i in np.nonzero(q @ x.T >= np.float32(0.93)))))
+
+
+def test_links_of_rows_that_no_edge_reaches():
+    r = np.random.default_rng(4)
+    x = unit(r, 1500)
+    x = np.vstack([x, near(r, x)])
+    none = [np.full((len(x), 32), -1, dtype=np.int32)]
+    got, want = found_and_true(x, none, x, np.arange(len(x)))
+    assert len(want) >= 6000 and want <= got
+
+
+def test_links_where_they_are_rare():
+    r = np.random.default_rng(6)
+    x, q = unit(r, 3000), unit(r, 1000)
+    q[[7, 501, 777]] = near(r, x[[2000, 2500, 2999]])
+    none = [np.full((len(x), 32), -1, dtype=np.int32)]
+    got, want = found_and_true(x, none, q, np.full(len(q), -1))
+    assert {(7, 2000), (501, 2500), (777, 2999)} <= want <= got
+
+
+def test_links_outside_a_hot_group():
+    r = np.random.default_rng(8)
+    hot = near(r, np.repeat(unit(r, 1), 400, axis=0))
+    cold = unit(r, 800)
+    x = np.vstack([hot, cold, near(r, cold)])
+    edges = np.full((len(x), 32), -1, dtype=np.int32)
+    edges[:400] = (np.arange(400)[:, None] + 1 + np.arange(32)) % 400  # the hot rows are linked, the others are not
+    got, want = found_and_true(x, [edges], x, np.arange(len(x)))
+    assert want <= got
+
+
+def test_vectors_over_many_shards(spark):
+    r = np.random.default_rng(10)
+    base = unit(r, 500)
+    x = np.vstack([near(r, np.repeat(base[:1], 60, axis=0)), base, near(r, base[:120]), near(r, base[:60])])
+    rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {g["vec_id"]: g["n_links"] for g in hnsw.near_vectors(df, shard_rows=60).collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(axis=1) - 1
+    assert want.sum() > 0 and all(got[i] == want[i] for i in range(len(x)))
+
+
 def test_language(spark, docs):
     words = {"en": "the and with for thing house", "de": "der und mit für ding haus straße", "fr": "le et avec pour chose maison été"}
     r = np.random.default_rng(3)
