@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The named entities that are decoded.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&amp;": "&"}
+ENTITIES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "rsquo": "’", "lsquo": "‘", "rdquo": "”", "ldquo": "“",
+    "ndash": "–", "mdash": "—", "hellip": "…", "deg": "°", "amp": "&",
+}
+#: White space as the reference's engine has it; the first part lets most characters fail at once.
+SPACE = r"[[^!-~]&&[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]]"
+#: Abbreviations whose period ends no sentence.
+ABBREVIATIONS = (
+    "Inc Corp Co Ltd LLC L.L.C LLP No Nos vs etc Mr Mrs Ms Dr St Mt Ave Blvd U.S U.S.A D.C Ala Ariz Ark Calif Colo Conn Del Fla Ga Ill Ind Kan Ky La Mass Md "
+    "Mich Minn Miss Mo Mont Neb Nev Okla Ore Pa Tenn Tex Va Vt Wash Wis Wyo"
+).split()
 #: Letters with a mark and the letters that stay when the mark goes.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
@@ -14,25 +26,56 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 FIRM_ENDINGS = ("incorporated", "inc", "llc", "corporation", "corp", "company", "co", "ltd", "limited")
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """`f(c)` with `c` computed once, however often `f` names it."""
+    return F.transform(F.array(c), f)[0]
+
+
+def _replace_each(c: Column, mark: str, pattern: str, f: Callable[[Column], Column]) -> Column:
+    """`c` with every match of `pattern`, which holds `mark`, replaced by `f(match)`."""
+
+    def replaced(x: Column) -> Column:
+        hits = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+        parts = F.zip_with(F.split(x, pattern), hits, lambda part, hit: F.concat(part, F.coalesce(f(hit), F.lit(""))))
+        return F.when(F.contains(x, F.lit(mark)), F.array_join(parts, "")).otherwise(x)
+
+    return _once(c, replaced)
+
+
+def _character(base: int) -> Callable[[Column], Column]:
+    """What a numeric entity stands for; numbers that are no character stay."""
+
+    def decoded(whole: Column) -> Column:
+        code = F.regexp_replace(whole, r"^&#[xX]?0*|;$", "")
+        code = F.when(code == "", 0).when(F.length(code) <= 7, F.conv(code, base, 10).cast("int"))
+        char = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32")
+        return F.when((code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), char).otherwise(whole)
+
+    return decoded
+
+
 def decode_entities(c: Column) -> Column:
-    """Named entities; `&amp;` last, so that nothing is decoded twice."""
-    for name, value in ENTITIES.items():
-        c = F.regexp_replace(c, name, value)
-    return c
+    """Decimal, then hex, then named entities in any case, each in one pass; unknown names stay."""
+    names = F.create_map(*[F.lit(x) for name, value in ENTITIES.items() for x in (f"&{name};", value)])
+    c = _replace_each(c, "&#", r"&#\d+;", _character(10))
+    c = _replace_each(c, "&#", r"(?i)&#x[0-9a-f]+;", _character(16))
+    return _replace_each(c, "&", r"&[a-zA-Z]+;", lambda hit: F.coalesce(F.try_element_at(names, F.lower(hit)), hit))
 
 
 def strip_html(c: Column) -> Column:
     """Block ends become line feeds, other tags spaces; entities are decoded, runs of blanks collapse."""
-    c = F.regexp_replace(c, r"(?i)<(?:/p|/div|/li|/h[1-6]|br ?/?)>", "\n")
-    c = decode_entities(F.regexp_replace(c, r"<[^>]*>", " "))
-    c = F.regexp_replace(F.regexp_replace(c, r"[ \t\r]+", " "), r" ?\n ?", "\n")
-    return F.regexp_replace(F.regexp_replace(c, r"\n+", "\n"), r"^[ \n]+|[ \n]+$", "")
+    c = F.regexp_replace(c, r"(?i)<(?:br|/p|/li|/h[1-6])[^>]*>", "\n")
+    c = decode_entities(F.regexp_replace(c, r"<[^>]+>", " "))
+    c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), rf"{SPACE}*\n{SPACE}*", "\n")
+    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
 def sentences(c: Column) -> Column:
-    """Sentences: cut after `.`, `!` or `?` before a blank, and at line feeds; empty ones go."""
-    marked = F.regexp_replace(c, r"([.!?]) +", "$1\n")
-    return F.filter(F.transform(F.split(marked, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    """Sentences: cut at line feeds, after `.`, `!` or `?` before white space unless an abbreviation ends there, and before glued openers; empty ones go."""
+    short = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    marked = F.regexp_replace(c, rf"([.!?])(?<!(?<![A-Za-z0-9_])(?:{short})\.){SPACE}+", "$1\n")
+    marked = F.regexp_replace(marked, rf"([a-z]){SPACE}+(?=(?:There (?:have|has) been|Anyone concerned about)(?![A-Za-z0-9_]))", "$1\n")
+    return F.filter(F.transform(F.split(marked, "\n"), lambda s: F.regexp_replace(s, rf"\A{SPACE}+|{SPACE}+\z", "")), lambda s: s != "")
 
 
 def search_text(c: Column) -> Column:

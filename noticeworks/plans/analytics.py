@@ -116,7 +116,8 @@ def i1_gtin(spark, sf):
 
 
 def x2_strip_html(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.md5(text.strip_html(F.col("html"))).alias("digest"), F.size(text.sentences(text.strip_html(F.col("html")))).alias("n_sentences"))
+    t = table(spark, sf, "pages").select("page_id", text.strip_html(F.col("html")).alias("t"))
+    return t.select("page_id", F.md5("t").alias("digest"), F.size(text.sentences(F.col("t"))).alias("n_sentences"))
 
 
 def x9_firms(spark, sf):

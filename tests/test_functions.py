@@ -1,7 +1,11 @@
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
 from noticeworks.functions import classify, identifiers, text
 from noticeworks.operators import entity, events
+from noticeworks.plans import analytics
 
 
 def one(spark, value, f):
@@ -50,6 +54,55 @@ def test_sentences_keep_digits_at_their_ends(spark):
     assert df.select(text.sentences(F.col("x"))).first()[0] == ["9 units.", "1 of 21.", "2 left in 32"]
 
 
+BLANK = "\t\n\v\f\r                  　﻿"
+NAMES = dict(amp="&", lt="<", gt=">", quot='"', apos="'", nbsp=" ", rsquo="’", lsquo="‘", rdquo="”", ldquo="“", ndash="–", mdash="—", hellip="…", deg="°")
+SHORT = "Inc|Corp|Co|Ltd|LLC|L.L.C|LLP|No|Nos|vs|etc|Mr|Mrs|Ms|Dr|St|Mt|Ave|Blvd|U.S|U.S.A|D.C|Ala|Ariz|Ark|Calif|Colo|Conn|Del|Fla|Ga|Ill|Ind|Kan|Ky|La|Mass|Md|Mich|Minn|Miss|Mo|Mont|Neb|Nev|Okla|Ore|Pa|Tenn|Tex|Va|Vt|Wash|Wis|Wyo"
+HTML = [
+    "<p>It&#8217;s 40&DEG;F &mdash; &ldquo;hot&rdquo; &ndash; &lsquo;x&RSQUO;&hellip;</p>",
+    "&#x2014;&#X41;&#65;&#0066;&#x1F600;&#128512;&#1114112;&#99999999999999999999;&#xD800;&#65279;y&#38;lt;&amp;lt;&amp;amp;&bogus;&#;&#x;&#xffffffffff;",
+    'One<br class="a">two</p >three</li id=x>four</h3 >five</div>six<BR/>seven<>eight</pre>nine',
+    "Sold by Nueva Inc. in Ore. and U.S. stores. Next! Then? L.L.C. stays. Zinc. goes No. 5 etc. Too St. Mt. Capra. End",
+    "during surveillance activities There have been no reports Anyone concerned about it. There has beenx; a There has been",
+    "a   b. c.\r\nd\v\n\f e &nbsp; \n f!　g h. i﻿",
+    "cafÉInc. b _Inc. c -Inc. d Inc.\nE. 5.5 f...  g",
+    "", " \n ", "plain", None,
+]
+
+
+def plain_strip(h):
+    t = re.sub("(?i)<(br|/p|/li|/h[1-6])[^>]*>", "\n", h)
+    t = re.sub("<[^>]+>", " ", t)
+    char = lambda m, base: chr(n) if (n := int(m[1], base)) <= 0x10FFFF and not 0xD800 <= n <= 0xDFFF else m[0]
+    t = re.sub("&#([0-9]+);", lambda m: char(m, 10), t)
+    t = re.sub("(?i)&#x([0-9a-f]+);", lambda m: char(m, 16), t)
+    t = re.sub("&([a-zA-Z]+);", lambda m: NAMES.get(m[1].lower(), m[0]), t)
+    return re.sub(f"[{BLANK}]*\n[{BLANK}]*", "\n", re.sub("[ \t]+", " ", t)).strip(BLANK)
+
+
+def plain_sentences(t):
+    out, at = [], 0
+    for m in re.finditer(f"[{BLANK}]+", t):
+        before, after = t[: m.start()], t[m.end() :]
+        ends = before[-1:] in set(".!?") - {""} and not any(before.endswith(a + ".") and not re.search("[A-Za-z0-9_]$", before[: -len(a) - 1]) for a in SHORT.split("|"))
+        glued = re.search("[a-z]$", before) and re.match(r"(There (have|has) been|Anyone concerned about)(?![A-Za-z0-9_])", after)
+        if ends or glued or "\n" in m[0]:
+            out, at = [*out, t[at : m.start()]], m.end()
+    return [s.strip(BLANK) for s in [*out, t[at:]] if s.strip(BLANK)]
+
+
+def test_html_and_sentences_as_by_hand(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(HTML)), "page_id long, html string")
+    got = df.select("page_id", text.strip_html(F.col("html")).alias("t")).withColumn("s", text.sentences(F.col("t"))).collect()
+    for r in got:
+        want = None if HTML[r["page_id"]] is None else plain_strip(HTML[r["page_id"]])
+        assert (r["t"], r["s"]) == (want, want if want is None else plain_sentences(want))
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    for r in analytics.x2_strip_html(spark, str(tmp_path)).where("digest is not null").collect():
+        t = plain_strip(HTML[r["page_id"]])
+        assert (r["digest"], r["n_sentences"]) == (hashlib.md5(t.encode()).hexdigest(), len(plain_sentences(t)))
+    assert text.ABBREVIATIONS == SHORT.split("|") and text.ENTITIES == NAMES
+
+
 def test_recall_numbers_and_sizes(spark):
     assert tuple(one(spark, " 017-2026-exp1 ", identifiers.recall_number)) == ("017-2026-EXP1", "017-2026")
     assert tuple(one(spark, "017-2026", identifiers.recall_number)) == ("017-2026", None)
