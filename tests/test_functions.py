@@ -49,6 +49,27 @@ def test_coalescing_counts_from_the_delivered_one(spark):
     assert got == {1: False, 2: True, 3: False, 4: True, 5: False}
 
 
+def test_coalescing_with_retractions_and_backfills(spark):
+    rows = [(c, o, (o * 7 + c * 5) % 300, (o * c) % 6 == 1, [None, 10, 719, 720, 721, 5000][(o + c) % 6]) for c in (1, 2, 3, 4) for o in range(40)]
+    rows += [(None, 1, 0, False, None), (None, 2, 1, False, None), (None, 3, 2, True, None), (5, 1, 0, True, 721), (5, 2, 1, False, None)]
+    want, last = {}, {}
+    for c, o, h, retracted, age in sorted(rows, key=lambda r: (str(r[0]), r[2], r[1])):
+        if age is not None and age > 720:
+            want[c, o] = "backfill"
+        elif not retracted and c in last and h - last[c] <= 24:
+            want[c, o] = "coalesced"
+        else:
+            want[c, o], last[c] = None, h
+    df = spark.createDataFrame(rows, "c long, o long, h long, r boolean, age long").withColumn("ts", F.timestamp_seconds((F.col("h") + 10000) * 3600))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = events.coalesce_updates(df, "c", "ts", "o", retraction=F.col("r"), activity=F.timestamp_seconds((F.col("h") + 10000 - F.col("age")) * 3600)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows) and {(x["c"], x["o"]): x["reason"] for x in got} == want
+    assert all(x["suppressed"] == (x["reason"] is not None) for x in got) and set(want.values()) == {None, "backfill", "coalesced"}
+
+
 def test_sentences_keep_digits_at_their_ends(spark):
     df = spark.createDataFrame([("9 units. 1 of 21. 2 left in 32",)], "x string")
     assert df.select(text.sentences(F.col("x"))).first()[0] == ["9 units.", "1 of 21.", "2 left in 32"]
