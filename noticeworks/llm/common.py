@@ -18,14 +18,29 @@ def word_count(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one set here when it is unset (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("noticeworks.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session (tests) gets a temporary folder; on a cluster that is an error, since
+    executors would write to their own disks.
+    """
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("noticeworks.checkpoint.dir", folder)
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bounds the Arrow batches that Python workers get to `size` bytes, for texts and sets are wide rows; a smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+    if int(now.rstrip("kmg")) * unit > size:
+        spark.conf.set(key, str(size))
+
+
 def stage(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """`df` written as Parquet in the shared folder and read back.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
 U = np.uint64
@@ -12,8 +15,9 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Texts of about so many bytes are handled together.
-CHUNK = 1 << 21
+#: Texts of about so many bytes are handled together; longer ones piece by piece.
+CHUNK = 1 << 19
+GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,24 +79,43 @@ def chunks(texts: list[bytes], size: int = CHUNK):
         yield at, len(texts)
 
 
+def pieces(text: bytes, size: int = CHUNK) -> Iterator[bytes]:
+    """A text cut at white space into pieces of about `size` bytes; a longer word stays whole."""
+    at = 0
+    while at < len(text):
+        gap = GAP.search(text, at + size) if at + size < len(text) else None
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
 class Words:
-    """The words of some texts: byte spans, hashes, and the first word of each text (`first`, one more at the end)."""
+    """The words of some texts: their hashes, and the number of the first word of each text (`first`, one more at the end).
+
+    Only a piece of some CHUNK of bytes is spread out at a time, so a very long text costs 8 bytes a word.
+    """
 
     def __init__(self, texts: list[bytes], powers: Powers, lower: bool = False) -> None:
-        data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        if sum(map(len, texts)) <= 2 * CHUNK:
+            starts, self.hashes = self._hashed(b"\n".join(texts) + b"\n", powers, lower)
+            lens = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
+            self.first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lens)]))
+            return
+        parts = [[self._hashed(p + b"\n", powers, lower)[1] for p in pieces(t)] for t in texts]
+        self.hashes = np.concatenate([np.empty(0, dtype=U), *(h for part in parts for h in part)])
+        self.first = np.cumsum([0, *(sum(map(len, part)) for part in parts)])
+
+    @staticmethod
+    def _hashed(blob: bytes, powers: Powers, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(blob, dtype=np.uint8)
         if lower:
             data = LOWER[data]
-        self.data = data
         space = SPACE[data]
         edge = np.empty(len(data), dtype=bool)
         edge[0] = not space[0]
         np.not_equal(space[1:], space[:-1], out=edge[1:])
         at = np.flatnonzero(edge)
-        self.starts, self.ends = at[0::2], at[1::2]
-        lens = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-        begin = np.concatenate([[0], np.cumsum(lens)])
-        self.first = np.searchsorted(self.starts, begin)
-        self.hashes = span_hash(prefix_hash(data, powers), self.starts, self.ends, powers)
+        return at[0::2], span_hash(prefix_hash(data, powers), at[0::2], at[1::2], powers)
 
 
 def as_bytes(text) -> bytes:

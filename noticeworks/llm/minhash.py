@@ -6,16 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeworks.llm.common import stage
+from noticeworks.llm.common import small_batches, stage
 from noticeworks.llm.components import components
 from noticeworks.llm.hashing import Powers, U, Words, as_bytes, chunks, mix, salts
 
 SHINGLE = 5
 BANDS = 32
 ROWS = 6
+#: Bands and bins of a band of the signatures of step 3, and how many of them at most before the audit.
+DEEP = (64, 8)
+DEEP_ROUNDS = 3
 #: Random bins that an empty bin tries in turn; after them it takes the next filled one.
 TRIES = 512
 
@@ -63,11 +66,19 @@ def signatures(sets: list[np.ndarray], bins: int, tries: np.ndarray) -> np.ndarr
     return sig
 
 
+def band_keys(sets: list[np.ndarray], bands: int, rows: int, tries: np.ndarray) -> np.ndarray:
+    """(len(sets), bands): the key of each band of `rows` bins of the signatures."""
+    sig = signatures(sets, bands * rows, tries).reshape(len(sets), bands, rows)
+    return mix((sig * salts(rows, 23)).sum(axis=2, dtype=U) + salts(bands, 37)).view(np.int64)
+
+
+def _tries(bins: int) -> np.ndarray:
+    return np.random.default_rng(7).integers(0, bins, size=(TRIES, bins))
+
+
 def _sketch(width: int, bands: int, rows: int, least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers, bins = Powers(), bands * rows
-        tries = np.random.default_rng(7).integers(0, bins, size=(TRIES, bins))
-        c, d = salts(rows, 23), salts(bands, 37)
+        powers, tries = Powers(), _tries(bands * rows)
         for pdf in batches:
             for lo in range(0, len(pdf), 1000):
                 part = pdf.iloc[lo : lo + 1000]
@@ -75,14 +86,13 @@ def _sketch(width: int, bands: int, rows: int, least: int):
                 wide = [k for k, s in enumerate(sets) if len(s) >= least]
                 keys: list = [None] * len(sets)
                 if wide:
-                    sig = signatures([sets[k] for k in wide], bins, tries).reshape(len(wide), bands, rows)
-                    band = mix((sig * c).sum(axis=2, dtype=U) + d).view(np.int64)
-                    for k, b in zip(wide, band, strict=True):
+                    for k, b in zip(wide, band_keys([sets[k] for k in wide], bands, rows, tries), strict=True):
                         keys[k] = b
                 yield pd.DataFrame(
                     {
+                        "row": part["row"],
                         "doc_id": part["doc_id"].astype("Int64"),
-                        "n_shingles": np.fromiter((len(s) for s in sets), np.int64, len(sets)),
+                        "n": np.fromiter((len(s) for s in sets), np.int64, len(sets)),
                         "fp1": np.fromiter((mix(s ^ U(1)).sum(dtype=U).view(np.int64) for s in sets), np.int64, len(sets)),
                         "fp2": np.fromiter((mix(s + U(2)).sum(dtype=U).view(np.int64) for s in sets), np.int64, len(sets)),
                         "bands": keys,
@@ -98,9 +108,21 @@ def _sets(width: int):
         for pdf in batches:
             texts = [as_bytes(t) for t in pdf["text"]]
             for i, j in chunks(texts):
-                yield pd.DataFrame(
-                    {"id": pdf["doc_id"].iloc[i:j].to_numpy(), "shingles": [s.tobytes() for s in shingle_sets(texts[i:j], width, powers)]}
-                )
+                yield pd.DataFrame({"id": pdf["row"].iloc[i:j].to_numpy(), "shingles": [s.tobytes() for s in shingle_sets(texts[i:j], width, powers)]})
+
+    return run
+
+
+def _again(bands: int, rows: int, seed: int):
+    """Band keys of sets under another permutation: their hashes are mixed anew with `seed`."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tries = _tries(bands * rows)
+        for pdf in batches:
+            for lo in range(0, len(pdf), 500):
+                part = pdf.iloc[lo : lo + 500]
+                sets = [np.sort(mix(np.frombuffer(x, dtype=U) ^ U(seed))) for x in part["shingles"]]
+                yield pd.DataFrame({"id": part["id"], "n": [len(x) for x in sets], "bands": list(band_keys(sets, bands, rows, tries))})
 
     return run
 
@@ -138,7 +160,7 @@ def _links(percent: int):
             ok = []
             for x, y in zip(pdf["sa"], pdf["sb"], strict=True):
                 a, b = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
-                both = len(a) + len(b) - len(np.union1d(a, b))
+                both = len(np.intersect1d(a, b, assume_unique=True))
                 ok.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pdf.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
@@ -146,102 +168,156 @@ def _links(percent: int):
 
 
 class _Finder:
-    """The state between rounds: the components so far."""
+    """The sets of the candidates, and the components that their links have made so far."""
 
     def __init__(self, sets: DataFrame, percent: int) -> None:
         self.sets, self.percent = sets, percent
         self.comps: DataFrame | None = None
 
+    def confirm(self, pairs: DataFrame) -> bool:
+        """Hold candidate pairs (a, b) against their sets and add the links to the components; whether there are any."""
+        sa = self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+        sb = self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+        links = stage(pairs.distinct().join(sb, "b").join(sa, "a").mapInPandas(_links(self.percent), "a long, b long"))
+        if not links.limit(1).count():
+            return False
+        edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if self.comps is not None:
+            edges = edges.union(self.comps.select("node", "component"))
+        self.comps = stage(components(edges))
+        return True
+
+    def placed(self, members: DataFrame) -> DataFrame:
+        """`members` (id, ...) with the component `c` of each."""
+        if self.comps is None:
+            return members.withColumn("c", F.col("id"))
+        return members.join(self.comps.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+
+    def star(self, members: DataFrame, drawn: DataFrame) -> bool:
+        """Compare each of `members` (bk, id, n) with its bucket's pivot (bk, pid, pn) where the sizes allow a link."""
+        near = (F.col("id") != F.col("pid")) & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * self.percent)
+        return self.confirm(members.join(drawn, "bk").where(near).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")))
+
     def open(self, members: DataFrame) -> DataFrame:
-        """Of (bk, id, n, at, lead, c) the buckets with a pivot to come whose members are in two components at least."""
-        wide = members.groupBy("bk").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("lead").alias("some")).where("lo <> hi and some").select("bk")
-        return stage(members.join(wide, "bk"))
+        """(id, c) of the members (bk, id) of buckets that hold two components at least."""
+        placed = self.placed(members.select("bk", "id"))
+        wide = placed.groupBy("bk").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bk")
+        return stage(placed.join(wide, "bk").select("id", "c").distinct())
 
-    def round(self, active: DataFrame, heads: DataFrame) -> DataFrame:
-        """Compare the pivots `heads` with the other members of their buckets; the buckets that stay open, without them.
+    def audit(self, keys: DataFrame) -> None:
+        """Compare all members of the buckets of `keys` (bk, id, n, at, lead) that may be links and are in two components.
 
-        If a bucket is a pair's first common shingle, they share at most what each has from there on.
+        If a bucket is a pair's first common shingle, they share at most what each has from there on. Four pivots a
+        bucket, then sixteen and so on, until no bucket has a pivot and two components left.
         """
-        h = heads.select(F.col("bk").alias("hk"), F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("c").alias("pc"))
-        near = (F.col("bk") == F.col("hk")) & (F.col("c") != F.col("pc"))
-        most = F.least(F.col("n") - F.col("at"), F.col("pn") - F.col("pat"))
-        near = near & (most * (100 + self.percent) >= (F.col("n") + F.col("pn")) * self.percent)
-        pairs = active.join(h, near).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
-        sa = self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-        sb = self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        links = stage(pairs.join(sb, "b").join(sa, "a").mapInPandas(_links(self.percent), "a long, b long"))
-        grown = links.limit(1).count() > 0
-        if grown:
-            edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-            if self.comps is not None:
-                edges = edges.union(self.comps.select("node", "component"))
-            self.comps = stage(components(edges))
-        rest = active.join(heads.select("bk", "id"), ["bk", "id"], "left_anti")
-        if grown:  # else the components in `active` hold
-            rest = rest.drop("c").join(self.comps.withColumnRenamed("node", "id"), "id", "left")
-            rest = rest.select("bk", "id", "n", "at", "lead", F.coalesce("component", "id").alias("c"))
-        return self.open(rest)
+
+        def left(rows: DataFrame) -> DataFrame:
+            wide = rows.groupBy("bk").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("lead").alias("some")).where("lo <> hi and some").select("bk")
+            return stage(rows.join(wide, "bk"))
+
+        active, pivots = left(self.placed(keys)), 4
+        while active.limit(1).count():
+            order = F.row_number().over(Window.partitionBy("bk").orderBy("at", F.xxhash64("id", "bk"), "id"))
+            heads = active.where("lead").withColumn("k", order).where(F.col("k") <= pivots)
+            h = heads.select(F.col("bk").alias("hk"), F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("c").alias("pc"))
+            most = F.least(F.col("n") - F.col("at"), F.col("pn") - F.col("pat"))
+            near = (F.col("bk") == F.col("hk")) & (F.col("c") != F.col("pc")) & (most * (100 + self.percent) >= (F.col("n") + F.col("pn")) * self.percent)
+            grown = self.confirm(active.join(h, near).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")))
+            rest = active.join(heads.select("bk", "id"), ["bk", "id"], "left_anti")
+            active, pivots = left(self.placed(rest.drop("c")) if grown else rest), 4 * pivots
+
+
+def _drawn(members: DataFrame) -> DataFrame:
+    """(bk, pid, pn) of the buckets of `members` (bk, id, n, c) that hold two components: a pivot chosen by hash."""
+    pivot = F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("pid"), F.col("n").alias("pn")))
+    return members.groupBy("bk").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pivot.alias("p")).where("lo <> hi").select("bk", "p.pid", "p.pn")
+
+
+def row_key(*columns: str) -> Column:
+    """What tells rows of documents apart: a 64-bit hash of id and text."""
+    return F.xxhash64(*columns)
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of `docs` (doc_id, text).
+    """(row, doc_id, n_shingles, component_id, kept, first) for each row of `docs` (doc_id, text).
 
-    Documents are linked when their sets of `width`-word shingles have a Jaccard similarity of at least `percent`
-    per cent; component_id is the smallest doc_id that links reach, and kept marks its owner.
+    Rows are linked when their sets of `width`-word shingles have a Jaccard similarity of at least `percent`
+    per cent; component_id is the smallest doc_id that links reach, and kept marks its owner. `row` is the
+    `row_key` of (doc_id, text), and `first` is true for one of them in each component.
 
-    1. One pass makes a sketch a document: set size, a 128-bit fingerprint of the set, and band keys of its
+    1. One pass makes a sketch a row: set size, a 128-bit fingerprint of the set, and band keys of its
        one-permutation signature. Equal sets meet by fingerprint and go on as one representative.
-    2. Buckets of one representative are left out by an aggregation. In every other bucket one pivot, chosen by
-       hash, is paired with each other member: a star, never all pairs. Pairs whose set sizes rule the link out
-       are left out, the others are confirmed on their full sets.
-    3. Links become components, and a bucket whose members are in one component is done. The members of the other
-       buckets, such as texts that merely share a passage, are told apart exactly: their rarest shingles become
-       their buckets (see `rare_shingles`), which every pair at the threshold shares. In these four pivots, then
-       sixteen, and so on, those with the fewest rarer shingles first, are compared with the members of other
-       components whose places in the bucket allow the similarity, until no pivot or one component is left.
+    2. In every bucket of two representatives or more one pivot, chosen by hash, is paired with each other member:
+       a star, never all pairs. Pairs whose set sizes rule the link out are left out, the others are confirmed on
+       their full sets, which only the members of such buckets have. Links become components.
+    3. Members of buckets that still hold two components get a longer signature under another permutation, in
+       `DEEP` bands, and stars again; up to `DEEP_ROUNDS` times, as long as links are found.
+    4. What is open then (texts that share passages and are no links, mostly) is audited exactly, so that no link
+       is lost: their rarest shingles become buckets, which every pair at the threshold shares (see
+       `rare_shingles` and `_Finder.audit`).
 
     A pair at the threshold shares no bucket of step 2 with a chance of 3e-7 at 0.85 (6e-5 at 0.8), if its sets
-    are large against the signature; step 3 loses none.
-    Null, empty or blank text: no shingles, linked with nothing. Fewer words than `width`: one shingle. Null ids:
-    a row of its own with null component, kept. Rows with one id are one node. An empty table gives no rows.
+    are large against the signature, and none of step 3 with one of 2e-9 (8e-6).
+    Null, empty or blank text: no shingles, linked with nothing, kept and first. Fewer words than `width`: one
+    shingle. Each row is a document of its own: one id on several texts is compared text by text, null ids are
+    compared like others and count for no component_id (null if a component has no other); only rows equal in id
+    and text share a `row`. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(docs.sparkSession)
+    docs = docs.select(row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     # below this size two different sets cannot reach the similarity
     least = next(k for k in range(1, 1000) if 100 * k >= percent * (k + 1))
-    schema = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
-    sk = stage(docs.mapInPandas(_sketch(width, bands, rows, least), schema))
-    known = sk.where("n_shingles > 0 and doc_id is not null")
-    reps = known.groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    member = stage(known.select("doc_id", "n_shingles", "fp1", "fp2").join(reps, ["n_shingles", "fp1", "fp2"]).select("doc_id", "rep").distinct())
-    chosen = sk.where("bands is not null").join(
-        member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi"
-    )
-    rows_ = chosen.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bk"))
-    shared = rows_.groupBy("bk").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bk")
-    active = stage(rows_.join(shared, "bk"))
-    sets = stage(docs.join(active.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInPandas(_sets(width), "id long, shingles binary").dropDuplicates(["id"]))
+    sk = stage(docs.mapInPandas(_sketch(width, bands, rows, least), "row long, doc_id long, n long, fp1 long, fp2 long, bands array<long>"))
+    known = sk.where("n > 0").select("row", "doc_id", "n", "fp1", "fp2")
+    reps = known.groupBy("n", "fp1", "fp2").agg(F.min("row").alias("rep"))
+    member = stage(known.join(reps, ["n", "fp1", "fp2"]).select("row", "doc_id", "rep").distinct())
+    alone = member.where("row = rep").select("row").distinct()
+    in_band = sk.where("bands is not null").join(alone, "row", "left_semi").select(F.col("row").alias("id"), "n", F.explode("bands").alias("bk"), F.col("row").alias("c"))
+    drawn = stage(_drawn(in_band))
+    active = stage(in_band.join(drawn.select("bk"), "bk").select("bk", "id", "n").distinct())
+    needed = stage(active.select(F.col("id").alias("row")).distinct())
+    sets = stage(docs.select("row", "text").join(needed, "row", "left_semi").mapInPandas(_sets(width), "id long, shingles binary").dropDuplicates(["id"]))
     finder = _Finder(sets, percent)
-    active = active.withColumns({"at": F.lit(0).cast("long"), "lead": F.lit(True), "c": F.col("id")})
-    heads = active.groupBy("bk").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n", "at", "c")).alias("p")).select("bk", "p.*")
-    active = finder.round(active, heads)
-    if active.limit(1).count():
-        again = active.select("id", "c").distinct()
-        keys = rare_shingles(sets.join(again.select("id"), "id", "left_semi"), percent)
-        active = finder.open(keys.join(again, "id").select("bk", "id", "n", "at", "lead", "c"))
-    pivots = 4
-    while active.limit(1).count():
-        order = F.row_number().over(Window.partitionBy("bk").orderBy("at", F.xxhash64("id", "bk"), "id"))
-        active = finder.round(active, active.where("lead").withColumn("k", order).where(F.col("k") <= pivots))
-        pivots *= 4
-    comps = finder.comps
-    if comps is None:
-        comps = docs.sparkSession.createDataFrame([], "node long, component long")
-    final = member.join(comps, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("d"), F.coalesce("component", "rep").alias("c"))
-    out = sk.select("doc_id", "n_shingles").join(final.groupBy("d").agg(F.min("c").alias("c")), F.col("doc_id") == F.col("d"), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    finder.star(active, drawn)
+    left = finder.open(active)
+    for k in range(DEEP_ROUNDS):
+        if not left.limit(1).count():
+            break
+        deep = sets.join(left.select("id"), "id", "left_semi").mapInPandas(_again(*DEEP, 71 + k), "id long, n long, bands array<long>")
+        deep = stage(finder.placed(deep.select("id", "n", F.explode("bands").alias("bk"))))
+        drawn = stage(_drawn(deep))
+        active = stage(deep.join(drawn.select("bk"), "bk").select("bk", "id", "n"))
+        grown = finder.star(active, drawn)
+        left = finder.open(active)
+        if not grown:
+            break
+    if left.limit(1).count():
+        finder.audit(rare_shingles(sets.join(left.select("id"), "id", "left_semi"), percent))
+    placed = stage(finder.placed(member.withColumnRenamed("rep", "id")).select("row", "doc_id", "c"))
+    heads = placed.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("h"))
+    own = placed.join(heads.select("c", "component_id", F.col("h.row").alias("_first")), "c").groupBy(F.col("row").alias("_row")).agg(F.min("component_id").alias("_c"), F.min("_first").alias("_first"))
+    out = sk.select("row", "doc_id", F.col("n").alias("n_shingles")).join(own, F.col("row") == F.col("_row"), "left")
+    out = out.select("row", "doc_id", "n_shingles", F.when(F.col("_row").isNull(), F.col("doc_id")).otherwise(F.col("_c")).alias("component_id"), F.coalesce(F.col("_first") == F.col("row"), F.lit(True)).alias("first"))
+    return out.select("row", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "first")
+
+
+def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """`docs` with one row of each group of near duplicates, all columns kept.
+
+    The row stays whose doc_id is the smallest of its group (then the smallest row key); rows without a word are in
+    no group and stay. Of rows equal in id and text one stays, the least by a hash of all columns that are no maps.
+    Only keys of rows that go, or that are repeated, are joined to the documents.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), percent=percent)
+    verdict = found.groupBy(F.col("row").alias("_nw_row")).agg(F.bool_or("first").alias("_nw_first"), ((F.count(F.lit(1)) > 1) & (F.max("n_shingles") > 0)).alias("_nw_many"))
+    verdict = stage(verdict.where("_nw_many or not _nw_first"))
+    joined = docs.withColumn("_nw_key", row_key("doc_id", "text")).join(verdict, F.col("_nw_key") == F.col("_nw_row"), "left")
+    plain = joined.where("_nw_row is null").select(*docs.columns)
+    flat = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    twice = joined.where("_nw_first and _nw_many").groupBy("_nw_key").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*flat)).alias("_nw_one"))
+    return plain.union(twice.select("_nw_one.*"))
 
 
 def op10_minhash(spark, sf_dir: str) -> DataFrame:
     """Component and verdict of every document."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), percent=85)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
