@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from noticeworks.llm.common import stage
+from noticeworks.llm.common import small_batches, stage
 from noticeworks.llm.hashing import Powers, U, Words, as_bytes, chunks, mix, salts
 from noticeworks.llm.repeats import PACKED, Sender, among, gathered, key_set, repeated
 
@@ -18,17 +22,32 @@ WINDOW = 35
 C = salts(4, 101)
 
 
-def anchors(w: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(windows, which, anchor_text, anchor_key): for each window of `width` words of one text its anchor.
+@dataclass
+class Parsed:
+    """The windows of some texts as recompression sees them.
 
-    windows: first words; which: index of the anchor; for each anchor its text and its key.
+    starts: their first words; which: the anchor of each; text, key: text and name of each anchor; names: the names
+    of the windows (empty unless asked for).
+    """
+
+    starts: np.ndarray
+    which: np.ndarray
+    text: np.ndarray
+    key: np.ndarray
+    names: np.ndarray
+
+
+def parse(w: Words, width: int, named: bool = False) -> Parsed:
+    """Recompression of some texts, with what each window of `width` words of one text keeps of it.
 
     Symbols are words at first. A round names maximal runs of one word; the rounds after it name pairs: every
     symbol's own name makes it a left or a right one, and a left symbol followed by a right one becomes a pair. A
-    name is a hash of what it stands for, so equal content has one name in all tasks without a dictionary.
-    For each window the rounds keep the symbols that its own words decide: a run, a right symbol at its left end
-    and a left symbol at its right end might join with what lies outside, and are dropped. Equal windows keep equal
-    symbols. What a window holds before the round that leaves nothing, one or two symbols, is its anchor.
+    name is a hash of what it stands for, so equal content has one name in all tasks, everywhere, without a
+    dictionary. For each window the rounds keep the symbols that its own words decide: a run, a right symbol at its
+    left end and a left symbol at its right end might join with what lies outside, and are popped. Equal windows
+    keep equal symbols and pop equal ones. What a window holds before the round that leaves nothing, one or two
+    symbols of a high level, is its anchor; the popped symbols, in order, and the anchor spell its words, and their
+    names make the name of the window.
     """
     n, docs = len(w.hashes), len(w.first) - 1
     doc = np.repeat(np.arange(docs), np.diff(w.first))
@@ -37,47 +56,58 @@ def anchors(w: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     code = np.zeros(len(starts), dtype=np.int64)
     key = np.zeros(len(starts), dtype=U)
     if not len(starts):
-        return starts, code, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
-    names = w.hashes
+        return Parsed(starts, code, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U), key)
+    symbols = w.hashes
     new = np.ones(n, dtype=bool)
-    new[1:] = (names[1:] != names[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (symbols[1:] != symbols[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
     symbol = np.cumsum(new) - 1
     length = np.diff(np.append(at, n)).astype(U)
     left, right = symbol[starts] + 1, symbol[starts + width - 1]
+    spelt = np.zeros(len(starts), dtype=U)
+    if named:
+        begins = np.append(at, n)
+        inside = np.minimum(begins[left], starts + width) - starts  # of the first run
+        last = starts + width - np.maximum(begins[right], starts)
+        spelt = mix(mix(w.hashes[starts] * C[0] + inside.astype(U)) * C[1] + w.hashes[starts + width - 1] * C[2] + last.astype(U))
     dead = left >= right
     code[dead] = starts[dead]
     key[dead] = mix(w.hashes[starts[dead]] * C[0] + w.hashes[starts[dead] + width - 1] * C[1])
     alive = np.flatnonzero(~dead)
     left, right = left[alive], right[alive]
-    names, doc_of = np.where(length > 1, mix(names[at] * C[0] + length), names[at]), doc[at]
+    symbols, doc_of = np.where(length > 1, mix(symbols[at] * C[0] + length), symbols[at]), doc[at]
     level = 0
     while len(alive):
         level += 1
-        side = (mix(names + U(level)) & U(1)).astype(bool)
+        side = (mix(symbols + U(level)) & U(1)).astype(bool)
         l2, r2 = left + side[left], right - ~side[right - 1]
         dead = l2 >= r2
         a, b = left[dead], right[dead]
         where = alive[dead]
         code[where] = (level << 48) | (a << 1) | (b - a - 1)
-        key[where] = mix(names[a] * C[2] + names[b - 1] * C[3] * (b - a > 1).astype(U) + U(level))
-        pair = np.zeros(len(names), dtype=bool)
+        key[where] = mix(symbols[a] * C[2] + symbols[b - 1] * C[3] * (b - a > 1).astype(U) + U(level))
+        if named:
+            spelt[where] = mix(spelt[where] * C[3] + key[where])
+            for popped, name, c in ((~dead & (l2 > left), symbols[left], C[1]), (~dead & (r2 < right), symbols[right - 1], C[2])):
+                to = alive[popped]
+                spelt[to] = mix(spelt[to] * C[0] + name[popped] * c + U(level))
+        pair = np.zeros(len(symbols), dtype=bool)
         pair[:-1] = ~side[:-1] & side[1:] & (doc_of[1:] == doc_of[:-1])
-        new = np.ones(len(names), dtype=bool)
+        new = np.ones(len(symbols), dtype=bool)
         new[1:] = ~pair[:-1]
         at = np.flatnonzero(new)
         symbol = np.cumsum(new) - 1
         joined = pair[at]
-        following = names[np.minimum(at + 1, len(names) - 1)]
-        names, doc_of = np.where(joined, mix(names[at] * C[0] + following * C[1] + U(level)), names[at]), doc_of[at]
+        following = symbols[np.minimum(at + 1, len(symbols) - 1)]
+        symbols, doc_of = np.where(joined, mix(symbols[at] * C[0] + following * C[1] + U(level)), symbols[at]), doc_of[at]
         alive = alive[~dead]
         left, right = symbol[l2[~dead]], symbol[r2[~dead] - 1] + 1
     _, first, which = np.unique(code, return_index=True, return_inverse=True)
-    return starts, which, doc[starts[first]], key[first]
+    return Parsed(starts, which, doc[starts[first]], key[first], spelt)
 
 
-def window_keys(w: Words, starts: np.ndarray, width: int, powers: Powers) -> np.ndarray:
-    """Hashes of the windows of `width` words that begin at `starts`."""
+def window_checks(w: Words, starts: np.ndarray, width: int, powers: Powers) -> np.ndarray:
+    """Hashes of the words of the windows of `width` words that begin at `starts`, apart from their names."""
     powers.upto(len(w.hashes))
     sums = np.concatenate([np.zeros(1, dtype=U), np.cumsum(w.hashes * powers.up[: len(w.hashes)], dtype=U)])
     return mix((sums[starts + width] - sums[starts]) * powers.down[starts])
@@ -89,8 +119,8 @@ def _send_anchors(width: int, buckets: int):
         for pdf in batches:
             texts, ids = [as_bytes(t) for t in pdf["text"]], pdf["id"].to_numpy()
             for i, j in chunks(texts):
-                _, _, text, key = anchors(Words(texts[i:j], powers), width)
-                yield from out.add(ids[i:j][text], key)
+                p = parse(Words(texts[i:j], powers), width)
+                yield from out.add(ids[i:j][p.text], p.key)
         yield from out.flush()
 
     return run
@@ -100,52 +130,66 @@ def _digest(t: bytes) -> str:
     return hashlib.sha256(b" ".join(t.split())).hexdigest()
 
 
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    """The UTF-8 of each text; null has none."""
+    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
 def _candidates(width: int, with_text: bool, carry: list[str]):
-    """Windows whose anchor is repeated; texts without one are finished."""
+    """Texts that have a repeated anchor, with the starts of the windows that hold one, as ranges; the others are finished."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for pdf in batches:
-            texts = [as_bytes(t) for t in pdf["text"]]
+        for batch in batches:
+            texts, wanted = _texts(batch), batch.column("keys").to_pylist()
             for i, j in chunks(texts):
-                part = pdf.iloc[i:j]
-                some = [k for k, b in enumerate(part["keys"]) if b is not None and len(b)]
-                keys: list = [None] * (j - i)
+                some = [k for k in range(i, j) if wanted[k]]
+                ranges: list = [None] * (j - i)
                 if some:
-                    w = Words([texts[i + k] for k in some], powers)
-                    starts, which, text, key = anchors(w, width)
-                    hit = np.zeros(len(key), dtype=bool)
+                    w = Words([texts[k] for k in some], powers)
+                    p = parse(w, width)
+                    hit = np.zeros(len(p.key), dtype=bool)
                     for t, k in enumerate(some):
-                        own = text == t
-                        hit[own] = among(key[own], key_set(part["keys"].iloc[k]))
-                    starts = starts[hit[which]]
-                    found = window_keys(w, starts, width, powers)
-                    cut = np.searchsorted(starts, w.first[1:-1])
-                    for k, f in zip(some, np.split(found, cut), strict=True):
-                        keys[k] = f.tobytes() if len(f) else None
-                done = [x is None for x in keys]
-                yield pd.DataFrame(
-                    {
-                        "id": part["id"].to_numpy(),
-                        "doc_id": part["doc_id"].astype("Int64"),
-                        **{c: part[c].to_numpy() for c in carry},
-                        "text": [None if d and not with_text else t for d, t in zip(done, part["text"], strict=True)],
-                        "windows": keys,
-                        "n_words": [len(t.split()) for t in texts[i:j]],
-                        "kept_sha256": [_digest(t) if d else None for d, t in zip(done, texts[i:j], strict=True)],
-                    }
+                        own = p.text == t
+                        hit[own] = among(p.key[own], key_set(wanted[k]))
+                    starts = p.starts[hit[p.which]]
+                    for t, (k, s) in enumerate(zip(some, np.split(starts, np.searchsorted(starts, w.first[1:-1])), strict=True)):
+                        if len(s):
+                            s = s - w.first[t]
+                            cut = np.flatnonzero(np.diff(s) > 1)
+                            ranges[k - i] = np.stack([s[np.append(0, cut + 1)], s[np.append(cut, len(s) - 1)]], axis=1).tobytes()
+                done = np.array([x is None for x in ranges])
+                part = batch.slice(i, j - i)
+                text = part.column("text")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(part.column(c) for c in ["id", "doc_id", *carry]),
+                        text if with_text else pc.if_else(pa.array(done), pa.scalar(None, text.type), text),
+                        pa.array(ranges, pa.binary()),
+                        pa.array([len(t.split()) for t in texts[i:j]], pa.int64()),
+                        pa.array([_digest(t) if d else None for d, t in zip(done, texts[i:j], strict=True)], pa.string()),
+                    ],
+                    names=["id", "doc_id", *carry, "text", "ranges", "n_words", "kept_sha256"],
                 )
 
     return run
 
 
-def _send_windows(buckets: int):
+def _named(text: bytes, ranges: bytes, width: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(starts, names, checks, words): the candidate windows of a text, with the number of its words."""
+    w = Words([text], powers)
+    at = np.frombuffer(ranges, dtype=np.int64).reshape(-1, 2)
+    starts = np.concatenate([np.arange(a, b + 1) for a, b in at]) if len(at) else np.empty(0, dtype=np.int64)
+    return starts, parse(w, width, named=True).names[starts], window_checks(w, starts, width, powers), len(w.hashes)
+
+
+def _send_windows(width: int, buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = Sender(buckets)
+        powers, out = Powers(), Sender(buckets)
         for pdf in batches:
-            for i, k in zip(pdf["id"], pdf["windows"], strict=True):
-                key = np.frombuffer(k, dtype=U)
-                yield from out.add(np.full(len(key), i, dtype=np.int64), key)
+            for i, text, ranges in zip(pdf["id"], pdf["text"], pdf["ranges"], strict=True):
+                _, names, checks, _ = _named(as_bytes(text), ranges, width, powers)
+                yield from out.add(np.full(len(names), i, dtype=np.int64), names, checks)
         yield from out.flush()
 
     return run
@@ -160,24 +204,25 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
 
 
 def _remove(width: int, with_text: bool, carry: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for text, keys in zip(pdf["text"], pdf["keys"], strict=True):
-                t = as_bytes(text)
-                w = Words([t], powers)
-                n = len(w.hashes)
-                starts = np.arange(max(n - width + 1, 0))
-                starts = starts[among(window_keys(w, starts, width, powers), key_set(keys))]
-                gone = covered(starts, width, n)
+            texts = _texts(batch)
+            for t, ranges, keys in zip(texts, batch.column("ranges").to_pylist(), batch.column("keys").to_pylist(), strict=True):
                 words = t.split()
-                kept = b" ".join(x for x, g in zip(words, gone, strict=True) if not g) if gone.any() else b" ".join(words)
-                left = (text if not gone.any() else kept.decode("utf-8", "surrogatepass")) if with_text else None
-                out.append((n, int(gone.sum()), hashlib.sha256(kept).hexdigest(), left))
-            found = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256", "text"])
-            own = {c: pdf[c].to_numpy() for c in carry}
-            yield pd.concat([pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), **own}).reset_index(drop=True), found], axis=1)
+                if not keys:
+                    out.append((len(words), 0, _digest(t), None))
+                    continue
+                starts, names, _, _ = _named(t, ranges, width, powers)
+                gone = covered(starts[among(names, key_set(keys))], width, len(words))
+                kept = b" ".join(x for x, g in zip(words, gone, strict=True) if not g)
+                out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept))
+            n, removed, digest, kept = zip(*out, strict=True) if out else ((), (), (), ())
+            text = batch.column("text")
+            text = pc.coalesce(pa.array(kept, pa.binary()).cast(text.type), text) if with_text else pa.nulls(len(out), text.type)
+            found = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), text]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["doc_id", *carry]), *found], names=["doc_id", *carry, "n_words", "n_removed", "kept_sha256", "text"])
 
     return run
 
@@ -189,30 +234,32 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, with_text: bool = False
     document included; windows are those of the input. With `with_text` the text is what stays: the text itself
     if nothing went, else the kept words joined by one space. `carry` names further columns to keep.
 
-    1. Every window has an anchor from recompression (see `anchors`), about one for eight words; a shuffle of
-       their names tells which occur twice.
-    2. Texts with a repeated anchor hash those windows that hold one; a shuffle of the hashes tells which windows
-       occur twice. Other texts are finished.
-    3. Words covered by such windows go.
+    1. Every window has an anchor of high-level symbols from recompression (see `parse`), about one for eight words.
+       A Spark round tells which anchors occur twice anywhere.
+    2. A second round does so for the windows that hold such an anchor, each by its name, which spells the window in
+       symbols, and a check of its words, 128 bits in all.
+    3. Words covered by repeated windows go. Texts without a repeated anchor are finished after step 1.
 
-    Windows are compared by 64-bit hashes of all their words. Rows are known by a hash of id and text, so that
-    null ids, repeated rows (each an occurrence of its windows) and one id on several texts are kept apart. Null,
-    empty or short texts have no window and stay as they are (null text: no words, text null). An empty table
-    gives no rows.
+    Rows are known by a 64-bit hash of id and text, so that null ids, repeated rows (each an occurrence of its
+    windows) and one id on several texts are kept apart. Null, empty or short texts have no window and stay as they
+    are (null text: no words, text null). Carried columns may have any name and nulls. An empty table gives no rows.
+    A text is parsed whole: about 100 bytes a word.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = [f"_own_{k}" for k in range(len(carry))]
-    kinds = "".join(f"{k} {docs.schema[c].dataType.simpleString()}, " for c, k in zip(carry, own, strict=True))
-    docs = docs.select(F.xxhash64("doc_id", "text").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(k) for c, k in zip(carry, own, strict=True)], "text")
+    docs = docs.select(F.xxhash64("doc_id", "text").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(k) for c, k in zip(carry, own, strict=True)], F.col("text").cast("string").alias("text"))
+    base = [StructField(f.name, f.dataType) for f in docs.schema]
+    more = lambda **kinds: [StructField(k, t()) for k, t in kinds.items()]
     names = gathered(repeated(docs.select("id", "text").mapInPandas(_send_anchors(width, 4 * n), PACKED), n), n)
-    schema = f"id long, doc_id long, {kinds}text string, windows binary, n_words long, kept_sha256 string"
-    seen = stage(docs.join(names, "id", "left").mapInPandas(_candidates(width, with_text, own), schema))
-    open_ = seen.where("windows is not null")
-    again = gathered(repeated(open_.select("id", "windows").mapInPandas(_send_windows(4 * n), PACKED), n), n)
-    fields = f"doc_id long, {kinds}n_words long, n_removed long, kept_sha256 string, text string"
-    cut = open_.select("id", "doc_id", *own, "text").join(again, "id", "left").mapInPandas(_remove(width, with_text, own), fields)
-    rest = seen.where("windows is null").select("doc_id", *own, "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", "text")
+    fields = StructType([*base, *more(ranges=BinaryType, n_words=LongType, kept_sha256=StringType)])
+    seen = stage(docs.join(names, "id", "left").mapInArrow(_candidates(width, with_text, own), fields))
+    open_ = seen.where("ranges is not null")
+    again = gathered(repeated(open_.select("id", "text", "ranges").mapInPandas(_send_windows(width, 4 * n), PACKED), n), n)
+    fields = StructType([*base[1:-1], *more(n_words=LongType, n_removed=LongType, kept_sha256=StringType, text=StringType)])
+    cut = open_.select("id", "doc_id", *own, "text", "ranges").join(again, "id", "left").mapInArrow(_remove(width, with_text, own), fields)
+    rest = seen.where("ranges is null").select("doc_id", *own, "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", "text")
     out = cut.union(rest)
     out = out.select("doc_id", *[F.col(k).alias(c) for c, k in zip(carry, own, strict=True)], "n_words", "n_removed", "kept_sha256", "text")
     return out if with_text else out.drop("text")

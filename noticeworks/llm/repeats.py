@@ -1,4 +1,8 @@
-"""Which 64-bit keys occur twice or more, for keys held in binary lists by document."""
+"""Which keys occur twice or more, for keys held in binary lists by document.
+
+A key is 64 bits, by which it is dealt and sorted, and a 64-bit check of what it stands for (0 where none is needed):
+two occurrences are equal if both are.
+"""
 
 from __future__ import annotations
 
@@ -10,40 +14,55 @@ from pyspark.sql import DataFrame
 
 from noticeworks.llm.hashing import U
 
-PACKED = "bucket int, keys binary, ids binary, known boolean"
+PACKED = "bucket int, keys binary, checks binary, ids binary, known boolean"
 #: Occurrences that a task holds before it sends them.
 FLUSH = 1 << 20
 
 
-def packed(ids: np.ndarray, keys: np.ndarray, buckets: int, turn: int) -> pd.DataFrame:
-    """Rows of `PACKED` for occurrences (ids, keys).
+def by_key(keys: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, same): the keys in order, and which of them equals the one before it in that order, checks included."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    same = np.zeros(len(keys), dtype=bool)
+    same[1:] = k[1:] == k[:-1]
+    if checks is not None:
+        c = checks[order]
+        alike = same.copy()
+        alike[1:] &= c[1:] == c[:-1]
+        if (alike != same).any():  # one key for different things: those with equal checks must stand together
+            order = np.lexsort((checks, keys))
+            k, c = keys[order], checks[order]
+            alike[1:] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
+        same = alike
+    return order, same
+
+
+def packed(ids: np.ndarray, keys: np.ndarray, checks: np.ndarray | None, buckets: int, turn: int) -> pd.DataFrame:
+    """Rows of `PACKED` for occurrences (ids, keys, checks).
 
     Keys that this task has seen twice are known to be repeated: their occurrences go to any bucket, to be passed
     on, and one mark without ids goes to the key's bucket. So a key of very many documents does not meet in one
     task: each task sends one mark for it.
     """
-    order = np.argsort(keys, kind="stable")
+    order, same = by_key(keys, checks)
     keys, ids = keys[order], ids[order]
-    same = keys[1:] == keys[:-1]
-    twice = np.zeros(len(keys), dtype=bool)
-    twice[1:] |= same
-    twice[:-1] |= same
+    checks = None if checks is None else checks[order]
+    twice = same.copy()
+    twice[:-1] |= same[1:]
+    head = twice & ~same  # one of each repeated key
     rows = []
-    single_k, single_i = keys[~twice], ids[~twice]
-    marks = np.unique(keys[twice])
     # keys are sorted, so a bucket is a slice
     edges = (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(U)
-    a, b = np.searchsorted(single_k, edges), np.searchsorted(marks, edges)
-    for n, (k, i) in enumerate(zip(np.split(single_k, a), np.split(single_i, a), strict=True)):
-        if len(k):
-            rows.append((n, k.tobytes(), i.tobytes(), False))
-    for n, k in enumerate(np.split(marks, b)):
-        if len(k):
-            rows.append((n, k.tobytes(), b"", False))
+    part = lambda x, at: [b"" if x is None else p.tobytes() for p in np.split(x, at)] if x is not None else [b""] * buckets
+    for pick, with_ids in ((~twice, True), (head, False)):
+        at = np.searchsorted(keys[pick], edges)
+        for n, (k, c, i) in enumerate(zip(part(keys[pick], at), part(None if checks is None else checks[pick], at), part(ids[pick], at), strict=True)):
+            if len(k):
+                rows.append((n, k, c, i if with_ids else b"", False))
     for n, (k, i) in enumerate(zip(np.array_split(keys[twice], 8), np.array_split(ids[twice], 8), strict=True)):
         if len(k):
-            rows.append(((turn * 8 + n) % buckets, k.tobytes(), i.tobytes(), True))
-    return pd.DataFrame(rows, columns=["bucket", "keys", "ids", "known"])
+            rows.append(((turn * 8 + n) % buckets, k.tobytes(), b"", i.tobytes(), True))
+    return pd.DataFrame(rows, columns=["bucket", "keys", "checks", "ids", "known"])
 
 
 class Sender:
@@ -53,10 +72,13 @@ class Sender:
         self.buckets, self.turn, self.n = buckets, 0, 0
         self.ids: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
+        self.checks: list[np.ndarray] = []
 
-    def add(self, ids: np.ndarray, keys: np.ndarray) -> Iterator[pd.DataFrame]:
+    def add(self, ids: np.ndarray, keys: np.ndarray, checks: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
         self.ids.append(ids)
         self.keys.append(keys)
+        if checks is not None:
+            self.checks.append(checks)
         self.n += len(keys)
         if self.n >= FLUSH:
             yield from self.flush()
@@ -66,8 +88,9 @@ class Sender:
             if not self.turn:
                 self.turn = int(self.keys[0][0] % U(1 << 20)) if len(self.keys[0]) else 0
             self.turn += 1
-            yield packed(np.concatenate(self.ids), np.concatenate(self.keys), self.buckets, self.turn)
-        self.ids, self.keys, self.n = [], [], 0
+            checks = np.concatenate(self.checks) if self.checks else None
+            yield packed(np.concatenate(self.ids), np.concatenate(self.keys), checks, self.buckets, self.turn)
+        self.ids, self.keys, self.checks, self.n = [], [], [], 0
 
 
 FOUND = "slot int, ids binary, items binary"
@@ -150,34 +173,29 @@ def _repeated(slots: int):
 
 
 def _hits(batches: Iterator[pd.DataFrame], out: Slots) -> Iterator[pd.DataFrame]:
-    now, k0, i0, marks = -1, [], [], []
+    now, held = -1, []
 
     def done() -> Iterator[pd.DataFrame]:
-        if k0:
-            keys, ids = np.concatenate(k0), np.concatenate(i0)
-            order = np.argsort(keys, kind="stable")
-            keys, ids = keys[order], ids[order]
-            same = keys[1:] == keys[:-1]
-            hit = np.zeros(len(keys), dtype=bool)
-            hit[1:] |= same
-            hit[:-1] |= same
-            if marks:
-                hit |= np.isin(keys, np.concatenate(marks))
-            yield from out.add(ids[hit], keys[hit])
+        if held:
+            keys = np.concatenate([np.frombuffer(k, dtype=U) for k, _, _ in held])
+            checks = np.concatenate([np.frombuffer(c, dtype=U) for _, c, _ in held])
+            real = np.concatenate([np.full(len(k) // 8, len(i) > 0) for k, _, i in held])  # a mark has no id
+            ids = np.concatenate([np.frombuffer(i, dtype=np.int64) if len(i) else np.zeros(len(k) // 8, dtype=np.int64) for k, _, i in held])
+            order, same = by_key(keys, checks if len(checks) else None)
+            hit = same.copy()
+            hit[:-1] |= same[1:]
+            hit &= real[order]
+            yield from out.add(ids[order][hit], keys[order][hit])
 
     for pdf in batches:
-        for bucket, known, k, i in zip(pdf["bucket"], pdf["known"], pdf["keys"], pdf["ids"], strict=True):
+        for bucket, known, k, c, i in zip(pdf["bucket"], pdf["known"], pdf["keys"], pdf["checks"], pdf["ids"], strict=True):
             if bucket != now:
                 yield from done()
-                now, k0, i0, marks = bucket, [], [], []
-            keys = np.frombuffer(k, dtype=U)
+                now, held = bucket, []
             if known:
-                yield from out.add(np.frombuffer(i, dtype=np.int64), keys)
-            elif len(i):
-                k0.append(keys)
-                i0.append(np.frombuffer(i, dtype=np.int64))
+                yield from out.add(np.frombuffer(i, dtype=np.int64), np.frombuffer(k, dtype=U))
             else:
-                marks.append(keys)
+                held.append((k, c, i))
     yield from done()
 
 
