@@ -19,10 +19,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more); null ids stay."""
-    kept = minhash.near_duplicates(docs.select("doc_id", "text"), percent=80).where("kept and doc_id is not null").select("doc_id")
-    one = docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return one.union(docs.where("doc_id is null"))
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more).
+
+    Null ids and repeated ids are documents of their own; null, empty and blank texts stay. See `one_of_each`.
+    """
+    return minhash.one_of_each(docs, percent=80).select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
