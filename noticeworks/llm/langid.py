@@ -8,10 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from noticeworks.llm.common import stage
+from noticeworks.llm.common import small_batches, stage
 
 UND = "und"
 #: Two-byte grams take the first buckets, three-byte grams the others.
@@ -19,8 +21,9 @@ PAIRS, SIZE = 2048, 8192
 #: Rows learned from for each language, at most about; the sample is drawn by hash.
 PER_LANG = 400
 CENTROIDS = 4
-#: Shorter texts are far from every centroid for want of n-grams; distance rejects none of them.
-MIN_GRAMS = 200
+#: Bytes of the spans cut from sampled rows, by which the distance of short texts is learned, and the share of rows.
+CUTS = tuple(1 << k for k in range(2, 12))
+CUT_SHARE = 4
 LETTER = re.compile(r"[A-Za-z]")
 
 #: ASCII that is not a letter reads as a space; other bytes stay.
@@ -68,12 +71,16 @@ def _counts(texts: list[bytes]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Unit centroids (rows), the language of each, inverse document frequencies and the rejection distance."""
+    """Unit centroids (rows), the language of each, inverse document frequencies, and the rejection distance by length.
+
+    A text of 2**sizes[i] n-grams with a cosine below least[i] is too far; between sizes the bound is interpolated.
+    """
 
     langs: list[str]
     centroids: np.ndarray
     idf: np.ndarray
-    least: float
+    sizes: np.ndarray
+    least: np.ndarray
 
     def score(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of the nearest centroid, cosine, too far) for each row of counts."""
@@ -82,7 +89,22 @@ class Model:
         cos = (x @ self.centroids.T) / np.maximum(norm, 1e-12)[:, None]
         at = cos.argmax(axis=1)
         best = np.clip(cos[np.arange(len(at)), at], 0.0, 1.0)
-        return at, best, (best < self.least) & (counts.sum(axis=1) >= MIN_GRAMS)
+        bound = np.interp(np.log2(np.maximum(counts.sum(axis=1), 1)), self.sizes, self.least)
+        return at, best, best < bound
+
+
+def bounds(n: np.ndarray, cos: np.ndarray, share: float, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, least): for texts of known language with `n` n-grams and cosine `cos`, what all but a `share` of each
+    size class (a doubling of n) reach, times `margin`; longer texts never get a lower bound than shorter ones.
+
+    Classes too small to show that share have no bound of their own; if all are, one bound holds for all sizes."""
+    kind = np.log2(np.maximum(n, 1)).round().astype(np.int64)
+    sizes, rows = np.unique(kind, return_counts=True)
+    sizes = sizes[rows * share >= 0.5]
+    if not len(sizes):
+        return np.zeros(1), np.array([margin * cos.min()]) if len(cos) else np.zeros(1)
+    least = np.array([np.quantile(cos[kind == k], share, method="lower") for k in sizes])
+    return sizes.astype(np.float64), np.minimum.accumulate(least[::-1])[::-1] * margin
 
 
 def held_out() -> Column:
@@ -90,8 +112,33 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _cuts(text: str) -> list[str]:
+    """Spans of a text of about each of CUTS bytes that are shorter than it, from word starts all over it."""
+    found = []
+    for k, size in enumerate(CUTS):
+        if size >= len(text):
+            break
+        at = text.rfind(" ", 0, (len(text) - size) * (2 * k + 1) // (2 * len(CUTS)) + 1) + 1
+        found.append(text[at : at + size])
+    return found
+
+
 def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sampled rows as sparse counts; at the end in how many of the task's rows each bucket occurs."""
+    """Sampled rows, and spans of some of them, as sparse counts; at the end in how many of the task's rows each bucket occurs."""
+
+    def sparse(lang: list[str], counts: list[np.ndarray], whole: bool) -> pd.DataFrame:
+        none = [None] * len(lang)
+        return pd.DataFrame(
+            {
+                "lang": lang,
+                "whole": [whole] * len(lang),
+                "at": [np.flatnonzero(c).astype(np.int32).tobytes() for c in counts],
+                "n": [c[c > 0].astype(np.int32).tobytes() for c in counts],
+                "bucket": pd.array(none, dtype="Int32"),
+                "df": pd.array(none, dtype="Int64"),
+            }
+        )
+
     df, n = np.zeros(SIZE, dtype=np.int64), 0
     for pdf in batches:
         at = 0
@@ -101,20 +148,15 @@ def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = pdf.iloc[at : at + len(counts)]
             at += len(counts)
             rows = [(lang, c) for lang, pick, c in zip(part["lang"], part["pick"], counts, strict=True) if pick]
-            if not rows:
-                continue
-            yield pd.DataFrame(
-                {
-                    "lang": [lang for lang, _ in rows],
-                    "at": [np.flatnonzero(c).astype(np.int32).tobytes() for _, c in rows],
-                    "n": [c[c > 0].astype(np.int32).tobytes() for _, c in rows],
-                    "bucket": pd.array([None] * len(rows), dtype="Int32"),
-                    "df": pd.array([None] * len(rows), dtype="Int64"),
-                }
-            )
+            if rows:
+                yield sparse([lang for lang, _ in rows], [c for _, c in rows], True)
+        for lang, text in zip(pdf["lang"][pdf["cut"]], pdf["text"][pdf["cut"]], strict=True):
+            spans = [x for x in _cuts(text) if has_letter(x)]
+            if spans:
+                yield sparse([lang] * len(spans), [c for part in grams(spans) for c in part], False)
     seen = np.append(np.flatnonzero(df), SIZE)
     none = [None] * len(seen)
-    yield pd.DataFrame({"lang": none, "at": none, "n": none, "bucket": seen.astype(np.int32), "df": np.append(df[seen[:-1]], n)})
+    yield pd.DataFrame({"lang": none, "whole": none, "at": none, "n": none, "bucket": seen.astype(np.int32), "df": np.append(df[seen[:-1]], n)})
 
 
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -131,36 +173,41 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return np.vstack([c, first / max(float(np.linalg.norm(first)), 1e-12)]).astype(np.float32)
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, k: int = CENTROIDS, margin: float = 0.5) -> Model | None:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, k: int = CENTROIDS, share: float = 0.01, margin: float = 0.8) -> Model | None:
     """A model from the text and lang of the rows of `docs` that are not held out; None without any such row.
 
     The document frequencies are of all those rows. The centroids are of a sample by hash of about `per_lang` rows
     for each language (the documented bound: so many sparse count vectors of at most 8,192 entries reach the
-    driver): `k` clusters and the mean. `least`, the rejection distance, is `margin` times the cosine that 99 of
-    100 sampled rows of `MIN_GRAMS` n-grams or more exceed.
+    driver): `k` clusters and the mean. The rejection distance depends on a text's number of n-grams, since short
+    texts are far from everything: it is learned from the sampled rows and from spans of a quarter of them (see
+    `bounds`).
     """
+    small_batches(docs.sparkSession)
     train = docs.where("lang is not null and text is not null").where(~held_out())
     counts = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
     if not counts:
         return None
-    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    h = F.xxhash64("doc_id", "text")
+    u = F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
     spark = docs.sparkSession
     rates = spark.createDataFrame([(g, min(1.0, per_lang / n)) for g, n in counts.items()], "lang string, rate double")
-    picked = train.join(F.broadcast(rates), "lang").select("text", "lang", (u < F.col("rate")).alias("pick"))
-    learned = stage(picked.mapInPandas(_learn, "lang string, at binary, n binary, bucket int, df long"))
+    pick = u < F.col("rate")
+    picked = train.join(F.broadcast(rates), "lang").select("text", "lang", pick.alias("pick"), (pick & (F.pmod(F.shiftright(h, 32), F.lit(CUT_SHARE)) == 0)).alias("cut"))
+    learned = stage(picked.mapInPandas(_learn, "lang string, whole boolean, at binary, n binary, bucket int, df long"))
     df = np.zeros(SIZE + 1)
     for r in learned.where("bucket is not null").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
         df[r["bucket"]] = r["df"]
     idf = (np.log((1 + df[SIZE]) / (1 + df[:SIZE])) + 1).astype(np.float32)
     rows: dict[str, list[np.ndarray]] = {}
-    long: list[tuple[str, int]] = []
+    seen: list[tuple[np.ndarray, np.ndarray]] = []
     for r in learned.where("lang is not null").collect():
-        x = np.zeros(SIZE, dtype=np.float32)
-        x[np.frombuffer(r["at"], dtype=np.int32)] = n = np.frombuffer(r["n"], dtype=np.int32)
-        x *= idf
-        if norm := float(np.linalg.norm(x)):
-            rows.setdefault(r["lang"], []).append(x / norm)
-            long.append((r["lang"], len(rows[r["lang"]]) - 1)) if n.sum() >= MIN_GRAMS else None
+        at, n = np.frombuffer(r["at"], dtype=np.int32), np.frombuffer(r["n"], dtype=np.int32)
+        if len(at):
+            seen.append((at, n))
+            if r["whole"]:
+                x = np.zeros(SIZE, dtype=np.float32)
+                x[at] = n * idf[at]
+                rows.setdefault(r["lang"], []).append(x / np.linalg.norm(x))
     langs: list[str] = []
     parts = []
     for lang in sorted(rows):
@@ -169,41 +216,49 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, k: int = CENTROIDS, margin: f
     if not parts:
         return None
     centroids = np.vstack(parts)
-    near = [float((centroids @ rows[lang][i]).max()) for lang, i in long]
-    return Model(langs, centroids, idf, float(margin * np.quantile(near, 0.01)) if near else 0.0)
+    cos = [float((centroids[:, at] @ (n * idf[at])).max() / np.linalg.norm(n * idf[at])) for at, n in seen]
+    return Model(langs, centroids, idf, *bounds(np.array([n.sum() for _, n in seen]), np.array(cos), share, margin))
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """`keep` columns of `docs` with lang_pred, score (cosine to the nearest centroid) and rejected.
 
-    Whole texts are compared. Null text or text without a letter: `und`, score 0, rejected. A text of `MIN_GRAMS`
-    n-grams or more that is farther from every centroid than the model's rejection distance is rejected too, and
-    keeps its nearest language. Without a
-    model (nothing to learn from) all is `und`. Only text is an input of a prediction.
+    Whole texts are compared. Null text or text without a letter: `und`, score 0, rejected. A text that is farther
+    from every centroid than the model's rejection distance for its length is rejected too, and keeps its nearest
+    language. Without a model (nothing to learn from) all is `und`. Only text is an input of a prediction; kept
+    columns pass unchanged, whatever their names, types and nulls. An empty table gives no rows.
     """
-    parts = None if model is None else (model.langs, model.centroids, model.idf, model.least)
+    small_batches(docs.sparkSession)
+    parts = None if model is None else (model.langs, model.centroids, model.idf, model.sizes, model.least)
     shared = docs.sparkSession.sparkContext.broadcast(parts)
-    fields = [docs.schema[c] for c in keep]
+    own = [f"_own_{k}" for k in range(len(keep))]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = None if shared.value is None else Model(*shared.value)
-        for pdf in batches:
-            texts = list(pdf["text"])
+        for batch in batches:
+            texts = batch.column("_text").to_pylist()
             ok = np.array([m is not None and has_letter(t) for t in texts], dtype=bool)
             at, cos, far = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
             if ok.any():
                 scored = [m.score(c) for c in grams([t for t, o in zip(texts, ok, strict=True) if o])]
                 at[ok], cos[ok], far[ok] = (np.concatenate(c) for c in zip(*scored, strict=True))
-            lang = [m.langs[a] if o else UND for a, o in zip(at, ok, strict=True)]
-            yield pdf[keep].assign(lang_pred=lang, score=cos, rejected=far)
+            lang = pa.array([m.langs[a] if o else UND for a, o in zip(at, ok, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), lang, pa.array(cos), pa.array(far)], names=[*own, "lang_pred", "score", "rejected"])
+
+    rows = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(keep, own, strict=True)], F.col("text").cast("string").alias("_text"))
+    fields = StructType([*rows.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
+    return rows.mapInArrow(run, fields).select(*[F.col(o).alias(c) for c, o in zip(keep, own, strict=True)], "lang_pred", "score", "rejected")
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, rejected boolean"
-    cols = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*cols).mapInPandas(run, schema)
+def select_known(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of `docs` whose language is identified, all their columns as they are."""
+    found = identify(docs, model, docs.columns)
+    at = range(len(docs.columns))  # by place: a column of docs may be named like an output
+    return found.toDF(*[f"_c{k}" for k in at], "_lang", "_score", "_rejected").where("not _rejected").select(*[F.col(f"_c{k}").alias(c) for k, c in zip(at, docs.columns, strict=True)])
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:
-    """The language of every document."""
+    """The language of every document; null ids are learned from and judged like others."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("held_out", held_out())
     model = fit(docs)
