@@ -10,13 +10,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeworks.llm.common import stage
+from noticeworks.llm.common import small_batches, stage
 from noticeworks.llm.components import components
 from noticeworks.llm.hashing import U, mix
 
 #: Vectors of a shard, at most about; a task holds one shard and a slice of queries.
 SHARD_ROWS = 16_000
 SLICE_ROWS = 2_000
+#: Slices that ask one copy of a shard's graph, at most about.
+SLICES = 32
+#: Pairs that an audit holds; where there are more, brute force does not hold them.
+BULK = 1 << 21
 DEGREE = 16
 BEAM = 64
 #: Queries of a slice that are held against brute force at a time, the true pairs outside the largest group that an
@@ -190,24 +194,34 @@ def _groups(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
         query = new
 
 
-def links(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def link_blocks(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, own: np.ndarray, least: float, report: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, row) pairs with a similarity near `least` or above, by the graph as far as its audit allows.
 
     Some queries are held against brute force, themselves not counted: more and more of them, until they have
-    AUDIT_PAIRS true pairs outside the largest group of pairs. If that takes all queries, their pairs are the answer.
-    The mean recall of the audited queries of a group, averaged over groups, must reach RECALL, as must the mean
-    over queries; else all beams are doubled and searched again. When beams near the shard's size still miss too
-    much, all queries are compared with all rows. A beam that ends above the threshold is doubled for its query.
+    AUDIT_PAIRS true pairs outside the largest group of pairs. If that takes all queries, or BULK pairs, all are
+    compared by brute force. The mean recall of the audited queries of a group, averaged over groups, must reach
+    RECALL, as must the mean over queries; else all beams are doubled and searched again. When beams near the
+    shard's size still miss too much, all queries are compared with all rows. A beam that ends above the threshold is
+    doubled for its query, and a query whose beam nears the shard's size is compared with all rows. `report` gets
+    the audited pairs and how many of them the search found; pairs by brute force count in both.
     """
     low = np.float32(least - 1e-4)
     order = np.argsort(mix(np.arange(len(q), dtype=np.int64).view(U)), kind="stable")
+
+    def brute(at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for s in range(0, len(at), 256):
+            a, b = _exact(x, q, at[s : s + 256], low)
+            report[:] = report[0] + len(a), report[1] + len(a)
+            yield a, b
+
     ta, tb, audited = order[:0], order[:0], 0
     while True:
         more = order[audited : max(AUDIT, 2 * audited)]
         a, b = _exact(x, q, more, low)
         ta, tb, audited = np.concatenate([ta, a]), np.concatenate([tb, b]), audited + len(more)
-        if audited == len(q):
-            return ta, tb
+        if audited == len(q) or len(ta) > BULK:
+            yield from brute(order)
+            return
         other = own[ta] != tb
         pa, pb = ta[other], tb[other]
         group = _groups(pa, pb, len(q), len(x))
@@ -223,24 +237,45 @@ def links(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, own: np.ndarra
     while first <= len(x) // 8:
         qs, rows = [], []
         todo, beam = np.arange(len(q)), first
-        while len(todo):
+        while len(todo) and beam <= len(x) // 8:
             ids, sims = search(x, layers, top, q[todo], own[todo], beam)
-            full = (sims[:, -1] >= low) & (beam < len(x))
+            full = sims[:, -1] >= low
             r, c = np.nonzero((sims >= low) & ~full[:, None])
             qs.append(todo[r])
             rows.append(ids[r, c])
             todo, beam = todo[full], beam * 2
         qa, ra = np.concatenate(qs), np.concatenate(rows)
-        found = np.bincount(qa[own[qa] != ra], minlength=len(q))[counted]
+        hits = np.bincount(qa[own[qa] != ra], minlength=len(q))
+        hits[todo] = true[todo]  # compared with all rows below
+        found = hits[counted]
         part = np.minimum(found / true[counted], 1.0)
         each = np.bincount(of[counted], part, minlength=len(q))
         size = np.bincount(of[counted], minlength=len(q))
         if part.mean() >= RECALL and (each[size > 0] / size[size > 0]).mean() >= RECALL:
-            return qa, ra
+            report[:] = report[0] + int(true.sum()), report[1] + int(np.minimum(found, true[counted]).sum())
+            yield qa, ra
+            yield from brute(todo)
+            return
         first *= 2
-    rest = order[audited:]
-    a, b = _exact(x, q, rest, low)
-    return np.concatenate([ta, a]), np.concatenate([tb, b])
+    yield from brute(order)
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, head): the least node of the component of each node in the pairs (a, b), heads themselves left out."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    head = np.arange(len(ids))
+    while True:
+        least = np.minimum(head[u], head[v])
+        new = head.copy()
+        for to in (u, v, head[u], head[v]):
+            np.minimum.at(new, to, least)
+        new = new[new]
+        if (new == head).all():
+            break
+        head = new
+    some = head != np.arange(len(ids))
+    return ids[some], ids[head[some]]
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -261,32 +296,53 @@ def _index(pdf: pd.DataFrame) -> pd.DataFrame:
             "shard": [head["shard"]],
             "ids": [ids.tobytes()],
             "vectors": [v.tobytes()],
+            "weights": [pdf["n"].to_numpy(np.int64)[order].tobytes()],
             "layers": [[g.tobytes() for g in layers]],
         }
     )
 
 
+FOUND = "label long, a long, b long, links long, audited long, found long"
+
+
 def _ask(least: float):
+    """Rows of FOUND: for each query its links in a shard (by the vectors that a row stands for), edges that span what
+    is linked, and what the audit saw. An index comes before the slices of queries that ask it."""
+
+    def answer(label: int, index: tuple, qid: np.ndarray, qv: np.ndarray) -> Iterator[pd.DataFrame]:
+        ids, v, unit, weights, layers = index
+        at = np.argsort(ids)
+        pos = np.minimum(np.searchsorted(ids[at], qid), len(ids) - 1)
+        own = np.where(ids[at][pos] == qid, at[pos], -1)
+        links = np.zeros(len(qid), dtype=np.int64)
+        tree: tuple[np.ndarray, np.ndarray] = (ids[:0], ids[:0])
+        report = [0, 0]
+        for a, b in link_blocks(unit, layers, _unit(qv), own, least, report):
+            keep = own[a] != b
+            a, b = a[keep], b[keep]
+            for s in range(0, len(a), 1 << 15):
+                i, j = a[s : s + (1 << 15)], b[s : s + (1 << 15)]
+                x, y = qv[i], v[j]
+                ok = (x * y).sum(axis=1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)) >= least
+                np.add.at(links, i[ok], weights[j[ok]])
+                tree = spanning(np.concatenate([tree[0], qid[i[ok]]]), np.concatenate([tree[1], ids[j[ok]]]))
+        some = np.flatnonzero(links)
+        none = pd.array([None], dtype="Int64")
+        yield pd.DataFrame({"label": label, "a": qid[some], "b": none.repeat(len(some)), "links": links[some], "audited": 0, "found": 0})
+        yield pd.DataFrame({"label": label, "a": tree[0], "b": tree[1], "links": 0, "audited": 0, "found": 0})
+        yield pd.DataFrame({"label": [label], "a": none, "b": none, "links": [0], "audited": [report[0]], "found": [report[1]]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index: tuple = ()
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                ids, qid = np.frombuffer(r.ids, dtype=np.int64), np.frombuffer(r.q_ids, dtype=np.int64)
-                v, qv = np.frombuffer(r.vectors).reshape(len(ids), -1), np.frombuffer(r.q_vectors).reshape(len(qid), -1)
-                layers = [np.frombuffer(g, dtype=np.int32).reshape(len(ids), -1) for g in r.layers]
-                at = np.argsort(ids)
-                pos = np.minimum(np.searchsorted(ids[at], qid), len(ids) - 1)
-                own = np.where(ids[at][pos] == qid, at[pos], -1)
-                a, b = links(_unit(v), layers, _unit(qv), own, least)
-                keep = qid[a] != ids[b]
-                a, b = a[keep], b[keep]
-                out = []
-                for s in range(0, len(a), 1 << 15):
-                    x, y = qv[a[s : s + (1 << 15)]], v[b[s : s + (1 << 15)]]
-                    cos = (x * y).sum(axis=1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-                    out.append(cos >= least)
-                ok = np.concatenate(out) if out else np.zeros(0, dtype=bool)
-                x, y = qid[a[ok]], ids[b[ok]]
-                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+                ids = np.frombuffer(r.ids, dtype=np.int64)
+                v = np.frombuffer(r.vectors).reshape(len(ids), -1)
+                if r.kind:
+                    yield from answer(r.label, index, ids, v)
+                else:
+                    layers = [np.frombuffer(g, dtype=np.int32).reshape(len(ids), -1) for g in r.layers]
+                    index = ids, v, _unit(v), np.frombuffer(r.weights, dtype=np.int64), layers
 
     return run
 
@@ -299,27 +355,34 @@ def _slices(rows: int):
                 v = np.frombuffer(r.vectors).reshape(len(ids), -1)
                 for s in range(0, len(ids), rows):
                     yield pd.DataFrame(
-                        {"label": [r.label], "dim": [r.dim], "q_ids": [ids[s : s + rows].tobytes()], "q_vectors": [v[s : s + rows].tobytes()]}
+                        {"label": [r.label], "dim": [r.dim], "salt": [int(r.shard) * len(ids) + s // rows], "ids": [ids[s : s + rows].tobytes()], "vectors": [v[s : s + rows].tobytes()]}
                     )
 
     return run
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.93, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of `vectors` (vec_id, embedding, label).
+    """(vec_id, n_links, component_id, kept, audited_recall) for each row of `vectors` (vec_id, embedding, label).
 
     Vectors with equal labels, not null, and a cosine of at least `least` in double precision are linked.
 
     Equal vectors of a label go on as one, with their number. A label's vectors are dealt by hash into shards of
-    about `shard_rows`; a task builds the graph of one shard. Each shard is asked by every slice of its label's
-    vectors, each slice a task of its own, so a large label is many tasks. Found pairs are confirmed by their
-    cosine in double precision and counted on both sides; components are unions of links.
+    about `shard_rows`; a task builds the graph of one shard. Every slice of SLICE_ROWS queries goes to each shard
+    of its label; a shard's slices are salted into groups of about SLICES, each with a copy of the graph and a task
+    of its own, so a large label is many tasks and queries travel, not graphs. Found pairs are confirmed by their
+    cosine in double precision. Pairs do not leave the task: it gives the number of links of each query, and edges
+    that span what they link, at most one for each vector. Components are unions of these.
 
     The search is approximate where links are many: a slice is searched again with wider beams until its audit (see
-    `links`) is passed, and compared with the whole shard if none passes or the audit lacks pairs. Null labels, null or zero vectors, and vectors with a null or non-finite component link with
-    nothing, not even with their copies. Vectors of other lengths are compared with their like only. Null ids link
-    with nothing and have a null component. Rows with one id are one node. An empty table gives no rows.
+    `link_blocks`) is passed, and compared with the whole shard if none passes or the audit lacks pairs.
+    audited_recall is the share of the label's audited pairs that the search found (null: no pair was audited).
+    Null labels, null or zero vectors, and vectors with a null or non-finite component link with nothing, not even
+    with their copies. Vectors of other lengths are compared with their like only. Null ids link with nothing and
+    have a null component. Rows with one id are one node, whose links are those of its different vectors together.
+    An empty table gives no rows.
     """
+    spark = vectors.sparkSession
+    small_batches(spark)
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     good = (
         F.col("vec_id").isNotNull()
@@ -328,27 +391,39 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, shard_rows: int = SHAR
         & F.exists("embedding", lambda e: F.coalesce(e, F.lit(0.0)) != 0)
     )
     rows = v.where(F.coalesce(good, F.lit(False)))
-    alike = stage(rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("n")))
-    member = rows.join(alike.select(F.col("label").alias("l"), F.col("embedding").alias("e"), "id"), (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")))
-    member = stage(member.select("vec_id", "id").distinct())
-    one = alike.withColumn("dim", F.size("embedding")).dropDuplicates(["id", "label"])
-    sizes = one.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("k"))
-    dealt = one.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("k")))
-    schema = "label long, dim int, shard long, ids binary, vectors binary, layers array<binary>"
-    index = stage(dealt.select("label", "dim", "shard", "id", "embedding").groupBy("label", "dim", "shard").applyInPandas(_index, schema), "snappy")
-    slices = stage(index.select("label", "dim", "ids", "vectors").mapInPandas(_slices(SLICE_ROWS), "label long, dim int, q_ids binary, q_vectors binary"), "snappy")
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = slices.join(index, ["label", "dim"]).repartition(n, F.xxhash64("q_ids", "ids"))
-    pairs = stage(asked.mapInPandas(_ask(least), "a long, b long").distinct())
-    weight = alike.groupBy("id").agg(F.sum("n").alias("n"))
-    both = pairs.union(pairs.select("b", "a")).join(weight, F.col("b") == F.col("id")).groupBy("a").agg(F.sum("n").alias("others"))
-    comps = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    node = weight.join(both, F.col("id") == F.col("a"), "left").join(comps, F.col("id") == F.col("node"), "left")
-    node = node.select("id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    own = member.join(node, "id").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = v.select("vec_id").join(own.withColumnRenamed("vec_id", "o"), F.col("vec_id") == F.col("o"), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    alike = rows.groupBy("label", "embedding").agg(F.count_distinct("vec_id").alias("n"))
+    alike = stage(alike.select(F.monotonically_increasing_id().alias("id"), "label", "embedding", "n", F.size("embedding").alias("dim")))
+    member = rows.join(alike.select(F.col("label").alias("l"), F.col("embedding").alias("e"), "id", "n"), (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")))
+    member = stage(member.select("vec_id", "label", "id", "n").distinct())
+    sizes = alike.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = stage(sizes.select("label", "dim", F.ceil(F.col("rows") / shard_rows).alias("k"), F.ceil(F.col("rows") / (SLICE_ROWS * SLICES)).alias("groups")))
+    dealt = alike.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("k")))
+    schema = "label long, dim int, shard long, ids binary, vectors binary, weights binary, layers array<binary>"
+    index = stage(dealt.select("label", "dim", "shard", "id", "embedding", "n").groupBy("label", "dim", "shard").applyInPandas(_index, schema), "snappy")
+    slices = index.select("label", "dim", "shard", "ids", "vectors").mapInPandas(_slices(SLICE_ROWS), "label long, dim int, salt long, ids binary, vectors binary")
+    asks = slices.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, ["label", "dim"]).withColumn("group", F.pmod("salt", F.col("groups")))
+    asks = asks.withColumn("shard", F.explode(F.expr("sequence(0L, k - 1)")))
+    graphs = index.join(sizes, ["label", "dim"]).withColumn("group", F.explode(F.expr("sequence(0L, groups - 1)")))
+    at = ["label", "dim", "shard", "group"]
+    none = lambda t: F.lit(None).cast(t)
+    both = graphs.select(*at, F.lit(0).alias("kind"), "ids", "vectors", "weights", "layers").union(
+        asks.select(*at, F.lit(1).alias("kind"), "ids", "vectors", none("binary"), none("array<binary>"))
+    )
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = stage(both.repartition(n, *at).sortWithinPartitions(*at, "kind").mapInPandas(_ask(least), FOUND))
+    links = found.where("links > 0").groupBy("a").agg(F.sum("links").alias("links"))
+    # rows of one id are one node: edges run between classes, and between the classes of an id
+    ties = member.groupBy("vec_id").agg(F.min("id").alias("u"), F.max("id").alias("last"), F.count(F.lit(1)).alias("many")).where("many > 1").select("vec_id", "u")
+    edges = found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")).union(member.join(ties, "vec_id").select("u", F.col("id").alias("v")))
+    comps = components(edges)
+    placed = member.join(comps, F.col("id") == F.col("node"), "left").join(links, F.col("id") == F.col("a"), "left")
+    placed = stage(placed.select("vec_id", "label", F.coalesce("component", "id").alias("c"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    least_id = placed.groupBy("c").agg(F.min("vec_id").alias("component_id"))
+    own = placed.join(least_id, "c").groupBy(F.col("vec_id").alias("o")).agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    recall = found.groupBy(F.col("label").alias("l")).agg(F.try_divide(F.sum("found").cast("double"), F.sum("audited")).alias("audited_recall"))
+    out = v.select("vec_id", "label").join(own, F.col("vec_id") == F.col("o"), "left").join(recall, F.col("label") == F.col("l"), "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), "audited_recall")
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), "audited_recall")
 
 
 def op2_vectors(spark, sf_dir: str) -> DataFrame:
