@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -159,6 +160,13 @@ def test_packing(docs, corpus):
         at[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(at.values()) <= 1024 and len(at) <= -(-total // 1024) + 1
     assert {r["length"] for r in rows if r["piece"] > 0} <= {1024}
+    want = []
+    for d, t, *_ in corpus:
+        ids = [*encode(t or ""), 2]
+        ends = list(range(len(ids), 0, -1024))[::-1]
+        for k, (a, b) in enumerate(zip([0, *ends], ends)):
+            want.append((d, k, a, b - a, zlib.crc32(np.array(ids[a:b], dtype="<u4").tobytes())))
+    assert key(tuple(r)[:5] for r in packing.pack(docs).collect()) == key(want)
 
 
 def test_plan_keeps_every_piece():
@@ -196,8 +204,8 @@ def near(r, v, by=0.01):
 
 
 def found_and_true(x, layers, q, own):
-    a, b = hnsw.links(x, layers, q, own, 0.93)
-    return set(zip(a.tolist(), b.tolist())), set(zip(*(i.tolist() for i in np.nonzero(q @ x.T >= np.float32(0.93)))))
+    pairs = {(i, j) for a, b in hnsw.link_blocks(x, layers, q, own, 0.93, [0, 0]) for i, j in zip(a.tolist(), b.tolist())}
+    return pairs, set(zip(*(i.tolist() for i in np.nonzero(q @ x.T >= np.float32(0.93)))))
 
 
 def test_links_of_rows_that_no_edge_reaches():
@@ -239,6 +247,25 @@ def test_vectors_over_many_shards(spark):
     u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     want = (u @ u.T >= 0.93).sum(axis=1) - 1
     assert want.sum() > 0 and all(got[i] == want[i] for i in range(len(x)))
+    rows = hnsw.near_vectors(df, shard_rows=60).collect()
+    least = {i: i for i in range(len(x))}
+    for _ in range(len(x)):
+        new = {i: min(least[int(j)] for j in np.flatnonzero(u[i] @ u.T >= 0.93)) for i in least}
+        if new == least:
+            break
+        least = new
+    assert {r["vec_id"]: (r["component_id"], r["kept"]) for r in rows} == {i: (c, i == c) for i, c in least.items()}
+    assert all(r["audited_recall"] is None or r["audited_recall"] >= 0.9 for r in rows)
+
+
+def test_vectors_of_one_id(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (4, [-1.0, 0.0], 0), (4, [-1.0, 0.0], 0), (None, [1.0, 0.0], 0)]
+    got = key(tuple(r)[:4] for r in hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == key([(1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (4, 0, 4, True), (None, 0, None, True)])
+
+
+def test_vectors_empty(spark):
+    assert hnsw.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
 def test_language(spark, docs):
@@ -252,6 +279,67 @@ def test_language(spark, docs):
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[900]["rejected"]
 
 
+def test_language_rejects_by_length(spark):
+    words = {g: [w + x for w in t.split() for x in ("", "s", "er", "ing", "al")] for g, t in {"en": "the and with for thing house", "de": "der und mit für ding haus", "fr": "le et avec pour chose maison"}.items()}
+    r = np.random.default_rng(3)
+    rows = [(i, " ".join(r.choice(words[g], int(r.integers(20, 200)))), g) for i in range(600) for g in [["en", "de", "fr"][i % 3]]]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    clean = [(k * 100 + i, " ".join(r.choice(words["de"], k))) for k in (2, 5, 20, 100, 1000) for i in range(40)]
+    noise = [(k * 100 + i, " ".join("".join(r.choice(list("qxzjkwvyb"), 6)) for _ in range(k))) for k in (5, 20, 100, 1000) for i in range(40)]
+    rejected = lambda x: [g["rejected"] for g in langid.identify(spark.createDataFrame(x, "doc_id long, text string"), model, ["doc_id"]).collect()]
+    assert sum(rejected(clean)) <= 0.03 * len(clean)
+    assert sum(rejected(noise)) >= 0.95 * len(noise)
+
+
+def test_minhash_rows_of_one_id(spark):
+    r = np.random.default_rng(21)
+    say = lambda: [f"w{k}" for k in r.integers(0, 10**6, 60)]
+    a, b, c = (" ".join(say()) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, c), (4, c), (None, c + " z"), (None, a), (5, None), (6, " ")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    assert key((x["doc_id"], x["component_id"], x["kept"]) for x in got) == key(
+        [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (None, 4, False), (None, 1, False), (5, 5, True), (6, 6, True)]
+    )
+    kept = minhash.one_of_each(spark.createDataFrame([(*x, k) for k, x in enumerate(rows)], "doc_id long, text string, first int"), percent=85).collect()
+    assert key(tuple(x)[:2] for x in kept) == key([(1, a), (1, b), (4, c), (5, None), (6, " ")])
+
+
+def test_suffixes_across_buckets_and_blocks(spark, monkeypatch):
+    r = np.random.default_rng(17)
+    say = lambda n: bytes(r.integers(97, 105, n).astype(np.uint8)).decode()
+    indent = " " * 90  # many suffixes begin alike
+    passage, hot = say(1200), indent + say(500)
+    texts = [say(300) + passage + say(200), passage[300:] + say(900), "é" * 700, *(say(int(r.integers(0, 300))) + hot for _ in range(40)), *(indent + say(600) for _ in range(40)), say(9000)]
+    texts.append(texts[-1][1000:2500] + say(50) + texts[-1][1200:1900])
+    rows = list(enumerate(texts))
+    seqs = [t.encode() for t in texts]
+    want = key((i, len(s), sum(g), hashlib.sha256(bytes(b for b, x in zip(s, g) if not x)).hexdigest()) for (i, _), s, g in zip(rows, seqs, repeated(seqs, 400)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    assert key((x["doc_id"], x["n_bytes"], x["n_removed"], x["kept_sha256"]) for x in suffixes.remove_repeated_bytes(df).collect()) == want
+    # small blocks, small sorts, one splitter for each lead
+    p = [suffixes.Points([t], 400, suffixes.Powers()) for t in seqs]
+    monkeypatch.setattr(suffixes, "CHUNK", 500)
+    for t, whole in zip(seqs, p):
+        parts = suffixes.Points([t], 400, suffixes.Powers())
+        starts = lambda x: sorted((int(at), int(k)) for at, lo, hi in zip(x.at, x.lo, x.hi) for k in range(lo, hi + 1))
+        assert starts(parts) == starts(whole)
+        assert all(bytes(lead.astype(">u8").tobytes()) == t[at : at + suffixes.LEAD] for lead, at in zip(parts.leads, parts.at))
+
+
+def test_multikey_quicksort():
+    r = np.random.default_rng(0)
+    for m, k in ((0, 3), (1, 3), (200, 2), (3000, 3), (3000, 1 << 40)):
+        w = r.integers(0, k, size=(m, 9), dtype=np.uint64)
+        w[m // 2 :] = w[r.integers(0, max(m // 2, 1), m - m // 2)] if m > 1 else w[m // 2 :]
+        order, tie = suffixes.multikey_quicksort(w)
+        rows = [tuple(x) for x in w[order].tolist()]
+        assert rows == sorted(rows) and tie.tolist() == [i > 0 and rows[i] == rows[i - 1] for i in range(m)]
+        if m > 1:
+            at = w[order][[m // 3, m - 1]]
+            assert suffixes.cuts(w[order], at).tolist() == [sum(x <= tuple(q) for x in rows) for q in at.tolist()]
+            assert suffixes.cuts(w[order], at, False).tolist() == [sum(x < tuple(q) for x in rows) for q in at.tolist()]
+
+
 def test_mixing_and_shards(docs, corpus):
     got = mixing.mix(docs).collect()
     assert len(got) == len(corpus) and all(r["taken"] <= 3 * r["size"] for r in got)
