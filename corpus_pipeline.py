@@ -13,9 +13,11 @@ from noticeworks.llm.common import stage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified: those without a letter, or far from every language, go."""
-    model = langid.fit(docs.select("doc_id", "text", "lang"))
-    return langid.identify(docs, model, docs.columns).where(~F.col("rejected")).select(*docs.columns)
+    """Documents whose language is identified: those without a letter (null and empty texts too), or farther from every language than texts of their length are, go.
+
+    Repeated rows are judged alike; other columns pass unchanged.
+    """
+    return langid.select_known(docs, langid.fit(docs.select("doc_id", "text", "lang")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,19 +29,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without words of repeated 35-word windows; n_chars follows the text."""
+    """Texts without words of repeated 35-word windows; n_chars follows the text.
+
+    Null, empty and short texts stay as they are (n_chars of a null text is null), very long ones are read whole;
+    repeated rows are occurrences like others, so they lose their windows; other columns pass unchanged.
+    """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     cut = recompress.remove_repeats(docs, with_text=True, carry=others)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them."""
+    """Documents as often as the mixture takes them.
+
+    A null source is a source of its own; texts without words have size 0 and are taken like others of their source;
+    ties in size are broken by a seeded hash; a column named like an output of the mixture (size, source_size,
+    target, copies, taken) holds that output.
+    """
     return mixing.emit(mixing.mix(docs), docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 1,024 tokens."""
+    """The pieces of all documents with their places in sequences of 1,024 tokens.
+
+    Null and empty texts are the one end token; very long texts are cut into pieces; repeated rows are packed each.
+    """
     return packing.pack(docs)
 
 
@@ -51,7 +65,7 @@ STAGES = [
     ("sequences", sequences),
 ]
 
-#: SQL cannot express the stages; tests hold them against brute force.
+#: SQL cannot express the stages; tests/llm/test_pipeline.py holds each of them and the whole against brute force.
 ORACLE_SQL = None
 
 
