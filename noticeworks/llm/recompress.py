@@ -9,7 +9,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
@@ -36,6 +35,10 @@ class Parsed:
     key: np.ndarray
     names: np.ndarray
 
+    def named(self, starts: np.ndarray) -> np.ndarray:
+        """The names of the windows that begin at `starts`."""
+        return self.names[np.searchsorted(self.starts, starts)]
+
 
 def parse(w: Words, width: int, named: bool = False) -> Parsed:
     """Recompression of some texts, with what each window of `width` words of one text keeps of it.
@@ -160,11 +163,11 @@ def _candidates(width: int, with_text: bool, carry: list[str]):
                             ranges[k - i] = np.stack([s[np.append(0, cut + 1)], s[np.append(cut, len(s) - 1)]], axis=1).tobytes()
                 done = np.array([x is None for x in ranges])
                 part = batch.slice(i, j - i)
-                text = part.column("text")
+                kind = part.column("text").type
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(c) for c in ["id", "doc_id", *carry]),
-                        text if with_text else pc.if_else(pa.array(done), pa.scalar(None, text.type), text),
+                        part.column("text") if with_text else pa.array([None if d else t for d, t in zip(done, texts[i:j], strict=True)], pa.binary()).cast(kind),
                         pa.array(ranges, pa.binary()),
                         pa.array([len(t.split()) for t in texts[i:j]], pa.int64()),
                         pa.array([_digest(t) if d else None for d, t in zip(done, texts[i:j], strict=True)], pa.string()),
@@ -175,21 +178,24 @@ def _candidates(width: int, with_text: bool, carry: list[str]):
     return run
 
 
-def _named(text: bytes, ranges: bytes, width: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(starts, names, checks, words): the candidate windows of a text, with the number of its words."""
-    w = Words([text], powers)
-    at = np.frombuffer(ranges, dtype=np.int64).reshape(-1, 2)
-    starts = np.concatenate([np.arange(a, b + 1) for a, b in at]) if len(at) else np.empty(0, dtype=np.int64)
-    return starts, parse(w, width, named=True).names[starts], window_checks(w, starts, width, powers), len(w.hashes)
+def _named(texts: list[bytes], ranges: list[bytes], width: int, powers: Powers) -> tuple[np.ndarray, ...]:
+    """(text, start, name, check) of the candidate windows of some texts, given as ranges of starts in each."""
+    w = Words(texts, powers)
+    at = [np.frombuffer(r, dtype=np.int64).reshape(-1, 2) for r in ranges]
+    text = np.repeat(np.arange(len(at)), [int((a[:, 1] - a[:, 0] + 1).sum()) for a in at])
+    starts = np.concatenate([np.empty(0, dtype=np.int64), *(np.arange(a, b + 1) for x in at for a, b in x.tolist())])
+    base = starts + w.first[text]
+    return text, starts, parse(w, width, named=True).named(base), window_checks(w, base, width, powers)
 
 
 def _send_windows(width: int, buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers, out = Powers(), Sender(buckets)
         for pdf in batches:
-            for i, text, ranges in zip(pdf["id"], pdf["text"], pdf["ranges"], strict=True):
-                _, names, checks, _ = _named(as_bytes(text), ranges, width, powers)
-                yield from out.add(np.full(len(names), i, dtype=np.int64), names, checks)
+            texts, ids, ranges = [as_bytes(t) for t in pdf["text"]], pdf["id"].to_numpy(), list(pdf["ranges"])
+            for i, j in chunks(texts):
+                text, _, names, checks = _named(texts[i:j], ranges[i:j], width, powers)
+                yield from out.add(ids[i:j][text], names, checks)
         yield from out.flush()
 
     return run
@@ -208,19 +214,21 @@ def _remove(width: int, with_text: bool, carry: list[str]):
         powers = Powers()
         for batch in batches:
             out = []
-            texts = _texts(batch)
-            for t, ranges, keys in zip(texts, batch.column("ranges").to_pylist(), batch.column("keys").to_pylist(), strict=True):
-                words = t.split()
-                if not keys:
-                    out.append((len(words), 0, _digest(t), None))
-                    continue
-                starts, names, _, _ = _named(t, ranges, width, powers)
-                gone = covered(starts[among(names, key_set(keys))], width, len(words))
-                kept = b" ".join(x for x, g in zip(words, gone, strict=True) if not g)
-                out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept))
+            texts, ranges, keys = _texts(batch), batch.column("ranges").to_pylist(), batch.column("keys").to_pylist()
+            for i, j in chunks(texts):
+                text, starts, names, _ = _named(texts[i:j], ranges[i:j], width, powers)
+                cut = np.searchsorted(text, np.arange(j - i + 1))
+                for k, t in enumerate(texts[i:j]):
+                    words, part = t.split(), slice(cut[k], cut[k + 1])
+                    gone = covered(starts[part][among(names[part], key_set(keys[i + k]))], width, len(words))
+                    if gone.any():
+                        kept = b" ".join(x for x, g in zip(words, gone, strict=True) if not g)
+                        out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept))
+                    else:
+                        out.append((len(words), 0, _digest(t), None))
             n, removed, digest, kept = zip(*out, strict=True) if out else ((), (), (), ())
-            text = batch.column("text")
-            text = pc.coalesce(pa.array(kept, pa.binary()).cast(text.type), text) if with_text else pa.nulls(len(out), text.type)
+            kind = batch.column("text").type
+            text = pa.array([t if k is None else k for k, t in zip(kept, texts, strict=True)], pa.binary()).cast(kind) if with_text else pa.nulls(len(out), kind)
             found = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), text]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["doc_id", *carry]), *found], names=["doc_id", *carry, "n_words", "n_removed", "kept_sha256", "text"])
 
