@@ -18,7 +18,7 @@ BANDS = 32
 ROWS = 6
 #: Bands and bins of a band of the signatures of step 3, and how many of them at most before the audit.
 DEEP = (64, 8)
-DEEP_ROUNDS = 3
+DEEP_ROUNDS = 1
 #: Random bins that an empty bin tries in turn; after them it takes the next filled one.
 TRIES = 512
 
@@ -194,8 +194,8 @@ class _Finder:
         return members.join(self.comps.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
     def star(self, members: DataFrame, drawn: DataFrame) -> bool:
-        """Compare each of `members` (bk, id, n) with its bucket's pivot (bk, pid, pn) where the sizes allow a link."""
-        near = (F.col("id") != F.col("pid")) & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * self.percent)
+        """Compare each of `members` (bk, id, n, c) with its bucket's pivot (bk, pid, pn, pc) of another component where the sizes allow a link."""
+        near = (F.col("c") != F.col("pc")) & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * self.percent)
         return self.confirm(members.join(drawn, "bk").where(near).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")))
 
     def open(self, members: DataFrame) -> DataFrame:
@@ -207,15 +207,15 @@ class _Finder:
     def audit(self, keys: DataFrame) -> None:
         """Compare all members of the buckets of `keys` (bk, id, n, at, lead) that may be links and are in two components.
 
-        If a bucket is a pair's first common shingle, they share at most what each has from there on. Four pivots a
-        bucket, then sixteen and so on, until no bucket has a pivot and two components left.
+        If a bucket is a pair's first common shingle, they share at most what each has from there on. Eight pivots a
+        bucket, then 64 and so on, until no bucket has a pivot and two components left.
         """
 
         def left(rows: DataFrame) -> DataFrame:
             wide = rows.groupBy("bk").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("lead").alias("some")).where("lo <> hi and some").select("bk")
             return stage(rows.join(wide, "bk"))
 
-        active, pivots = left(self.placed(keys)), 4
+        active, pivots = left(self.placed(keys)), 8
         while active.limit(1).count():
             order = F.row_number().over(Window.partitionBy("bk").orderBy("at", F.xxhash64("id", "bk"), "id"))
             heads = active.where("lead").withColumn("k", order).where(F.col("k") <= pivots)
@@ -224,13 +224,13 @@ class _Finder:
             near = (F.col("bk") == F.col("hk")) & (F.col("c") != F.col("pc")) & (most * (100 + self.percent) >= (F.col("n") + F.col("pn")) * self.percent)
             grown = self.confirm(active.join(h, near).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")))
             rest = active.join(heads.select("bk", "id"), ["bk", "id"], "left_anti")
-            active, pivots = left(self.placed(rest.drop("c")) if grown else rest), 4 * pivots
+            active, pivots = left(self.placed(rest.drop("c")) if grown else rest), 8 * pivots
 
 
 def _drawn(members: DataFrame) -> DataFrame:
-    """(bk, pid, pn) of the buckets of `members` (bk, id, n, c) that hold two components: a pivot chosen by hash."""
-    pivot = F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("pid"), F.col("n").alias("pn")))
-    return members.groupBy("bk").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pivot.alias("p")).where("lo <> hi").select("bk", "p.pid", "p.pn")
+    """(bk, pid, pn, pc) of the buckets of `members` (bk, id, n, c) that hold two components: a pivot chosen by hash."""
+    pivot = F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("c").alias("pc")))
+    return members.groupBy("bk").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pivot.alias("p")).where("lo <> hi").select("bk", "p.pid", "p.pn", "p.pc")
 
 
 def row_key(*columns: str) -> Column:
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = 80, ba
     alone = member.where("row = rep").select("row").distinct()
     in_band = sk.where("bands is not null").join(alone, "row", "left_semi").select(F.col("row").alias("id"), "n", F.explode("bands").alias("bk"), F.col("row").alias("c"))
     drawn = stage(_drawn(in_band))
-    active = stage(in_band.join(drawn.select("bk"), "bk").select("bk", "id", "n").distinct())
+    active = stage(in_band.join(drawn.select("bk"), "bk").select("bk", "id", "n", "c").distinct())
     needed = stage(active.select(F.col("id").alias("row")).distinct())
     sets = stage(docs.select("row", "text").join(needed, "row", "left_semi").mapInPandas(_sets(width), "id long, shingles binary").dropDuplicates(["id"]))
     finder = _Finder(sets, percent)
@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = 80, ba
         deep = sets.join(left.select("id"), "id", "left_semi").mapInPandas(_again(*DEEP, 71 + k), "id long, n long, bands array<long>")
         deep = stage(finder.placed(deep.select("id", "n", F.explode("bands").alias("bk"))))
         drawn = stage(_drawn(deep))
-        active = stage(deep.join(drawn.select("bk"), "bk").select("bk", "id", "n"))
+        active = stage(deep.join(drawn.select("bk"), "bk"))
         grown = finder.star(active, drawn)
         left = finder.open(active)
         if not grown:
