@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Units of package sizes.
+SIZE_UNITS = ("floz", "oz", "lb", "lbs", "kg", "g", "ml", "l", "ct", "count", "pk", "pack")
+#: Forms of a notice's number with and without its expansion, and of a slug with a number at its end.
+NUMBER_FORM = r"^(PHA-\d{6,9}(?:-\d{1,2})?|\d{1,3}-\d{4})"
+SLUG_FORM = r"^(.{20,})-\d{1,2}$"
 
 def gtin_check_digit(body: Column) -> Column:
     """The last digit that makes `body` a GTIN: weights 3, 1, 3, ... from the right."""
@@ -26,11 +31,6 @@ def gtin_key(code: Column) -> Column:
     return F.when(F.coalesce(valid, F.lit(False)), F.lpad(digits, 14, "0"))
 
 
-def base_number(c: Column) -> Column:
-    """Notice number without its expansion suffix: 017-2026-EXP1 -> 017-2026."""
-    return F.regexp_extract(c, r"^([0-9]+-[0-9]+)", 1)
-
-
 def notice_date(c: Column) -> Column:
     """The first form that parses: yyyy-MM-dd, MM/dd/yyyy, yyyyMMdd; null for impossible dates."""
     iso = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substr(c, F.lit(1), F.lit(10)), "yyyy-MM-dd"))
@@ -42,20 +42,26 @@ def notice_date(c: Column) -> Column:
 def recall_number(c: Column) -> Column:
     """Struct (native_id, base_id): trimmed upper case, and the base of an expansion; null if it is the base or has none."""
     native = F.upper(F.trim(c))
-    base = F.regexp_extract(native, r"^(PHA-\d{6,9}(?:-\d{1,2})?|\d{1,3}-\d{4})", 1)
+    base = F.regexp_extract(native, NUMBER_FORM, 1)
     return F.struct(native.alias("native_id"), F.when((base != "") & (base != native), base).alias("base_id"))
 
 
 def collision_base(slug: Column) -> Column:
     """A slug of 20 characters or more without the number that sets it apart from an equal one; null without a number."""
-    base = F.regexp_extract(slug, r"^(.{20,})-\d{1,2}$", 1)
+    base = F.regexp_extract(slug, SLUG_FORM, 1)
     return F.when(base != "", base)
 
 
 def size_tokens(c: Column) -> Column:
-    """Distinct package sizes, in lower case without blanks, dots and dashes between number and unit: `12 oz.` -> `12oz` (I8)."""
-    found = F.regexp_extract_all(F.lower(c), F.lit(r"\b(\d+(?:\.\d+)?\s?-?\s?(?:fl\.?\s?oz|oz|lbs?|kg|g|ml|l|ct|count|pk|pack))\b(?!\w)"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda t: F.regexp_replace(F.regexp_replace(t, r"[\s-]+", ""), r"\.(?!\d)", "")))
+    """Distinct package sizes, in lower case without what joins number and unit: `12 oz.` -> `12oz` (I8).
+
+    A size is a number and the word after it, if that is a unit; `fl oz` is one word.
+    """
+    t = F.regexp_replace(F.lower(c), r"\bfl[. ]*oz\b", "floz")
+    pair = r"(?<![0-9a-z_.])([0-9]+(?:\.[0-9]+)?)[ -]{0,2}([a-z]+)(?![0-9_])"
+    numbers, units = (F.regexp_extract_all(t, F.lit(pair), F.lit(k)) for k in (1, 2))
+    sizes = F.filter(F.arrays_zip(numbers.alias("n"), units.alias("u")), lambda p: p["u"].isin(*SIZE_UNITS))
+    return F.array_distinct(F.transform(sizes, lambda p: F.concat(p["n"], p["u"])))
 
 
 def unverified_sizes(claim: Column, printed: Column) -> Column:

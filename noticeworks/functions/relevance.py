@@ -50,24 +50,45 @@ def pathogen(text: Column) -> Column:
     return first_named(text, PATHOGENS)
 
 
-def chemical_agent(text: Column) -> Column:
-    """A named chemical, else a gated one that the text calls the contaminant: contaminated with it, its contamination, or may contain it."""
+#: Word pairs that announce a contaminant a few words on, and words that part two things named.
+ANNOUNCING = ("contaminated with", "contaminated by", "contamination with", "contamination by", *(f"{may} {has}" for may in ("may", "might", "could", "possibly") for has in ("contain", "contains")))
+PARTING = ("or", "and")
+#: Words that may stand between the announcement and the agent, and between the agent and its contamination.
+WORDS_AFTER, WORDS_BEFORE = 3, 2
+
+
+def _announced(words: Column, agent: str) -> Column:
+    """Whether the words of one clause call `agent` the contaminant: an announcing pair shortly before it, or a form of `contaminate` shortly after it and nothing else named between."""
+
+    def at(i: Column) -> Column:
+        lead = F.slice(words, F.greatest(i - WORDS_AFTER - 2, F.lit(0)) + 1, F.least(i, F.lit(WORDS_AFTER + 2)))
+        pairs = F.zip_with(lead, F.slice(lead, F.lit(2), F.greatest(F.size(lead) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+        after = F.slice(words, i + 2, F.lit(WORDS_BEFORE + 1))
+        first = F.array_position(F.transform(after, lambda w: F.when(w.startswith("contamin"), "c").when(w.isin(*PARTING), "p").otherwise("")), F.lit("c")).cast("int")
+        open_ = ~F.arrays_overlap(F.slice(after, F.lit(1), F.greatest(first - 1, F.lit(0))), F.array(*[F.lit(w) for w in PARTING]))
+        return F.arrays_overlap(pairs, F.array(*[F.lit(p) for p in ANNOUNCING])) | ((first > 0) & open_)
+
+    places = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: F.get(words, i) == agent)
+    return F.exists(places, lambda i: F.coalesce(at(i), F.lit(False)))
 
-    def stated(agent: str) -> Column:
-        after = rf"contaminat(?:ed|ion)\s+(?:with|by)\s+(?:\w+[\s,]+){{0,3}}{agent}\b"
-        before = rf"{agent}\s+(?:(?!(?:or|and)\b)\w+\s+){{0,2}}contamin"
-        may = rf"(?:may|might|could|possibly)\s+contains?\s+(?:[\w-]+\s+){{0,3}}{agent}\b"
-        return text.rlike(rf"(?i)\b(?:{after}|{before}|{may})")
 
+def chemical_agent(text: Column) -> Column:
+    """A named chemical, else a gated one that a clause of the text calls the contaminant."""
+    clauses = F.transform(F.split(F.lower(text), r"[^a-z0-9_\s,-]+"), lambda c: F.regexp_extract_all(c, F.lit(r"[a-z0-9_-]+"), F.lit(0)))
+    stated = lambda agent: F.exists(clauses, lambda words: _announced(words, agent))
     return F.coalesce(first_named(text, CHEMICALS), *[F.when(stated(a), a) for a in GATED_CHEMICALS])
 
 
 def allergen_tokens(agent: Column) -> Column:
-    """Sorted families named after `undeclared`; empty for any other statement, for null and for unknown words."""
-    body = F.regexp_extract(agent, r"(?is)^undeclared\s+(.+)$", 1)
-    words = F.transform(F.split(F.lower(body), r",|\band/or\b|\band\b|\bor\b"), lambda w: F.regexp_replace(F.trim(w), r"[.\s]+$", ""))
-    families = [F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in ws])), name) for name, ws in sorted(ALLERGEN_FAMILIES.items())]
-    return F.coalesce(F.array_compact(F.array(*families)), F.array().cast("array<string>"))
+    """Sorted families named after `undeclared`; empty for any other statement, for null and for unknown words.
+
+    The words are a list whose items end at a comma, a slash, `and` or `or`; an item counts if all of it is a word of a family.
+    """
+    words = F.split(F.trim(F.regexp_replace(F.lower(agent), "[,/]", " | ")), r"\s+")
+    stops = F.transform(words, lambda w: F.when(w.isin(*PARTING), "|").otherwise(w))
+    items = F.transform(F.split(F.array_join(F.slice(stops, F.lit(2), F.greatest(F.size(stops) - 1, F.lit(0))), " "), "[|]"), lambda w: F.rtrim(F.trim(w), F.lit(". ")))
+    families = [F.when(F.arrays_overlap(items, F.array(*[F.lit(w) for w in ws])), name) for name, ws in sorted(ALLERGEN_FAMILIES.items())]
+    return F.coalesce(F.when(words[0] == "undeclared", F.array_compact(F.array(*families))), F.array().cast("array<string>"))
 
 
 def in_display_order(categories: Column, order: tuple[str, ...] = CATEGORIES) -> Column:
@@ -133,32 +154,42 @@ def report_problem(active: Column, scope: Column, states: Column, retailers: Col
     )
 
 
-#: Official reasons that name a label, and those that name the product.
+#: Official reasons, the evidence that a row asks for besides, and the hazard; the first row that holds decides.
+#: Reasons: any of them; none: the notice states no reason. Evidence: all of it; `-` before a name: not so.
+HAZARD_TABLE = (
+    (("Unreported Allergens",), (), "allergen"),
+    (("Product Contamination",), ("pathogen",), "microbial_contamination"),
+    (("Product Contamination",), ("foreign",), "foreign_material"),
+    (("Product Contamination",), ("allergen", "-chemical"), "allergen"),
+    (("Product Contamination",), (), "unknown"),
+    (("Insanitary Conditions",), (), "other_regulatory"),
+    (("Processing Defect", "Unfit for Human Consumption"), (), "product_integrity"),
+    (("Misbranding", "Mislabeling"), ("labels_only", "allergen"), "allergen"),
+    (("Misbranding", "Mislabeling", "Import Violation", "Produced Without Benefit of Inspection"), (), "other_regulatory"),
+    ((), ("allergen",), "allergen"),
+)
+#: Reasons that name a label and nothing else.
 LABEL_REASONS = ("Misbranding", "Mislabeling")
-RULE_REASONS = ("Misbranding", "Mislabeling", "Import Violation", "Produced Without Benefit of Inspection")
-PRODUCT_REASONS = ("Processing Defect", "Unfit for Human Consumption")
 
 
 def hazard_category(reasons: Column, text: Column, undeclared: Column, foreign: Column) -> Column:
-    """Hazard of a notice from its official reasons, with what the text states where they leave it open.
+    """Hazard of a notice by HAZARD_TABLE, unknown where no row holds.
 
-    `undeclared` and `foreign`: whether the text states an undeclared allergen, and foreign material. An allergen may
-    take the place of a labelling reason, of contamination that the text does not explain, or of no reason at all.
+    `undeclared` and `foreign`: whether the text states an undeclared allergen, and foreign material; null is false.
     """
     why = F.coalesce(reasons, F.array().cast("array<string>"))
-    has = lambda *names: F.arrays_overlap(why, F.array(*[F.lit(n) for n in names]))
-    allergen = F.coalesce(undeclared, F.lit(False))
-    labels_only = F.size(F.array_except(why, F.array(*[F.lit(n) for n in LABEL_REASONS]))) == 0
-    return (
-        F.when(has("Unreported Allergens"), "allergen")
-        .when(has("Product Contamination") & pathogen(text).isNotNull(), "microbial_contamination")
-        .when(has("Product Contamination") & F.coalesce(foreign, F.lit(False)), "foreign_material")
-        .when(has("Product Contamination") & allergen & chemical_agent(text).isNull(), "allergen")
-        .when(has("Product Contamination"), "unknown")
-        .when(has("Insanitary Conditions"), "other_regulatory")
-        .when(has(*PRODUCT_REASONS), "product_integrity")
-        .when(has(*RULE_REASONS) & labels_only & allergen, "allergen")
-        .when(has(*RULE_REASONS), "other_regulatory")
-        .when((F.size(why) == 0) & allergen, "allergen")
-        .otherwise("unknown")
-    )
+    named = lambda names: F.array(*[F.lit(n) for n in names])
+    evidence = {
+        "pathogen": pathogen(text).isNotNull(),
+        "chemical": chemical_agent(text).isNotNull(),
+        "allergen": F.coalesce(undeclared, F.lit(False)),
+        "foreign": F.coalesce(foreign, F.lit(False)),
+        "labels_only": F.size(F.array_except(why, named(LABEL_REASONS))) == 0,
+    }
+    out = F.lit("unknown")
+    for names, asked, hazard in reversed(HAZARD_TABLE):
+        holds = F.arrays_overlap(why, named(names)) if names else F.size(why) == 0
+        for a in asked:
+            holds = holds & (~evidence[a[1:]] if a.startswith("-") else evidence[a])
+        out = F.when(holds, hazard).otherwise(out)
+    return out

@@ -84,15 +84,21 @@ def search_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(low, r"[^a-z0-9]+", " "))
 
 
-def matches_search(text: Column, code: Column, query: str) -> Column:
-    """Every token of the query is part of `text`, or `code` holds it; an empty query matches nothing."""
-    tokens = [t for t in query.lower().split() if t]
-    if not tokens:
-        return F.lit(False)
-    found = F.contains(text, F.lit(tokens[0]))
-    for t in tokens[1:]:
-        found = found & F.contains(text, F.lit(t))
-    return F.coalesce(F.contains(code, F.lit(query)) | found, F.lit(False))
+def ensure_sentence(c: Column) -> Column:
+    """Trimmed, with a full stop unless a closing mark ends it; blank stays blank."""
+    t = F.trim(c)
+    return F.when((t == "") | t.rlike("[.!?\"”')\\]]$"), t).otherwise(F.concat(t, F.lit(".")))
+
+
+def join_sentences(c: Column) -> Column:
+    """An array of sentences as one text, blank ones left out."""
+    return F.array_join(F.filter(F.transform(c, ensure_sentence), lambda s: s != ""), " ")
+
+
+def clean_display(c: Column) -> Column:
+    """Blanks collapsed, none before punctuation, repeated full stops once."""
+    c = F.regexp_replace(c, rf"(?:{SPACE})+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r" +([.,;:!?])", "$1"), r"\.{2,}", "."))
 
 
 def firm_name(c: Column) -> Column:
@@ -106,12 +112,6 @@ def tokens(c: Column, least: int = 3) -> Column:
     return F.array_distinct(F.filter(F.split(search_text(c), " "), lambda t: F.length(t) >= least))
 
 
-def jaccard_at_least(a: Column, b: Column, percent: int) -> Column:
-    """Integers only: 100 * |a and b| >= percent * |a or b|, false if either is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return (F.size(a) > 0) & (F.size(b) > 0) & (both * 100 >= (F.size(a) + F.size(b) - both) * percent)
-
-
 def fnv1a(c: Column) -> Column:
     """32-bit FNV-1a over UTF-16 code units in 8 hex digits."""
     units = F.transform(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from noticeworks.functions import classify, text
+from noticeworks.functions import classify, search
 from noticeworks.session import table
 
 NOW = "2024-01-30"
@@ -53,14 +53,14 @@ def t5_nulls_first(spark, sf):
 
 def x8_search(spark, sf):
     p = table(spark, sf, "part")
-    t = text.search_text(F.concat_ws(" ", "p_name", "p_type"))
-    return p.where(text.matches_search(t, F.col("p_brand"), "part 1")).select("p_partkey", t.alias("search_text"))
+    body, codes = search.entry([F.col("p_name"), F.col("p_type")], [F.concat_ws(" ", "p_brand", F.lpad(F.col("p_partkey").cast("string"), 8, "0"))])
+    return p.where(search.matches(body, codes, search.parse_query("ring small"))).select("p_partkey", body.alias("search_text"))
 
 
 def p9_category_filter(spark, sf):
     p = table(spark, sf, "part")
-    cats = F.split("p_type", " ")
-    keep = F.coalesce(F.arrays_overlap(cats, F.array(F.lit("STEEL"), F.lit("BRASS"), F.lit("small"))), F.lit(False))
+    cats = F.when(F.col("p_size") % 3 != 0, F.array("p_type", F.substring_index("p_name", " ", -1)))
+    keep = F.coalesce(F.arrays_overlap(cats, F.array(F.lit("PROMO"), F.lit("ring"), F.lit("gone"))), F.lit(False))
     return p.where(keep).select("p_partkey", F.array_join(cats, "|").alias("categories"))
 
 
@@ -96,9 +96,11 @@ SELECT user_id, strftime(greatest(a, p), '%Y-%m-%d') AS activity_day,
 SELECT c_custkey, last FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS last FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey
 ORDER BY last ASC NULLS FIRST, c_custkey LIMIT 50""",
     "x8_search": """
-WITH t AS (SELECT p_partkey, p_brand, trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')) AS search_text FROM part)
-SELECT p_partkey, search_text FROM t WHERE contains(p_brand, 'part 1') OR (contains(search_text, 'part') AND contains(search_text, '1'))""",
-    "p9_category_filter": "SELECT p_partkey, replace(p_type, ' ', '|') AS categories FROM part WHERE list_has_any(string_split(p_type, ' '), ['STEEL','BRASS','small'])",
+WITH t AS (SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')) AS search_text FROM part)
+SELECT p_partkey, search_text FROM t WHERE contains(search_text, 'ring') AND contains(search_text, 'small')""",
+    "p9_category_filter": """
+SELECT p_partkey, p_type || '|' || string_split(p_name, ' ')[-1] AS categories FROM part
+WHERE p_size % 3 <> 0 AND (p_type = 'PROMO' OR string_split(p_name, ' ')[-1] = 'ring')""",
     "w7_ready_preview": """
 WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END, o_orderkey) AS rn FROM orders)
 SELECT o_custkey, o_orderkey, CASE WHEN rn <= 3 THEN 'readable' ELSE 'locked' END AS state FROM r WHERE rn <= 4""",

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("manifest", "feed", "versions", "matching", "transitions", "analytics")
+MODULES = ("manifest", "feed", "reading", "sync", "versions", "matching", "transitions", "analytics")
 
 
 def _modules() -> list:
