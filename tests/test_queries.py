@@ -5,7 +5,6 @@ import os
 import duckdb
 import pytest
 
-from noticeworks.llm import queries as corpus
 from noticeworks.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -34,15 +33,3 @@ def test_matches_duckdb(spark, duck, name):
     got = [tuple(r[c] for c in cols) for r in df.collect()]
     at = [want.columns.index(c) for c in cols]
     assert rows(got, cols) == rows([tuple(r[i] for i in at) for r in want.fetchall()], cols)
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(corpus.ORACLES))
-def test_corpus_matches_duckdb(spark, duck, name):
-    df = corpus.QUERIES[name](spark, SF)
-    want = duck.sql(corpus.ORACLES[name])
-    cols = sorted(df.columns)
-    assert cols == sorted(want.columns)
-    got = [tuple(r[c] for c in cols) for r in df.collect()]
-    at = [want.columns.index(c) for c in cols]
-    assert rows(got, cols) == rows([tuple(r[i] for i in at) for r in want.fetchall()], cols)
