@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark deletes the shuffle files of a query when it ends, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def word_count(text: Column) -> Column:
@@ -45,11 +47,16 @@ def stage(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """`df` written as Parquet in the shared folder and read back.
 
     It cuts the lineage at a durable table: a lost executor costs a read, not the work before it, and what is
-    read more than once is computed once.
+    read more than once is computed once. The shuffle files of the write go as it ends: the table stands for them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/noticeworks/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
