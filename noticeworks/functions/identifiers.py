@@ -68,3 +68,34 @@ def unverified_sizes(claim: Column, printed: Column) -> Column:
     """The sizes of a claim that a text does not print; empty if it prints all."""
     none = F.array().cast("array<string>")
     return F.array_except(F.coalesce(size_tokens(claim), none), F.coalesce(size_tokens(printed), none))
+
+
+#: Digits of a barcode, and what stands between two identifiers of a list.
+BARCODE_DIGITS = (8, 12, 13, 14)
+SEPARATORS = r"[,;&•·\n]|\b(?i:and|or)\b|(?<=\s)\+|\+(?=\s)"
+
+
+def split_identifiers(c: Column) -> Column:
+    """The identifiers of one field in their order: cut at separators and at two or more blanks, empty ones go."""
+    marked = F.regexp_replace(F.regexp_replace(c, SEPARATORS, "\u0001"), r"\s{2,}", "\u0001")
+    parts = F.transform(F.split(marked, "\u0001"), lambda p: F.regexp_replace(F.regexp_replace(p, r"\s+", " "), r"^[ +]+|[ +]+$", ""))
+    return F.filter(parts, lambda p: p != "")
+
+
+def barcode(c: Column) -> Column:
+    """The digits of a barcode printed with blanks and hyphens; null for anything else.
+
+    Of several parts, one that is a barcode by itself is the barcode; else all digits are read as one.
+    """
+    trimmed = F.trim(F.regexp_replace(c, r"\s+", " "))
+    digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
+    whole = F.filter(F.transform(F.split(trimmed, " "), digits), lambda d: F.length(d).isin(*BARCODE_DIGITS))
+    read = F.coalesce(F.get(whole, 0), digits(trimmed))
+    return F.when(trimmed.rlike("^[0-9 -]+$") & F.length(read).isin(*BARCODE_DIGITS), read)
+
+
+def barcodes(c: Column) -> Column:
+    """The distinct barcodes of a cell, first seen first; a slash before a blank separates too."""
+    bare = lambda p: F.regexp_replace(F.regexp_replace(p, "^[^0-9]+", ""), r"[^0-9\s-]+$", "")
+    found = F.transform(split_identifiers(F.regexp_replace(c, r"/(?=\s)", ",")), lambda p: barcode(bare(p)))
+    return F.array_distinct(F.array_compact(found))
