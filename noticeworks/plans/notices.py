@@ -1,12 +1,13 @@
-"""Approved notices, facts, expansions, states and barcodes."""
+"""Approved notices, facts, expansions, states and barcodes."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from noticeworks.functions import geography, identifiers
+from noticeworks.operators import decisions as D
 from noticeworks.operators import notices as N
-from noticeworks.plans.decided import _turn, pick
+from noticeworks.plans.decided import NOW, _turn, pick
 from noticeworks.session import table
 
 PLACES = (
@@ -62,6 +63,15 @@ def a18_facts(spark, sf):
     return out.select("case_id", "concept", "place", *[F.array_join(c, "|").alias(c) for c in ("shown", "raw", "keys")], "is_batch")
 
 
+def c22_next(spark, sf):
+    e, k = table(spark, sf, "events"), F.col("event_id")
+    expires = F.when(k % 4 != 0, F.col("ts") + F.expr("INTERVAL 20 DAYS"))
+    since = F.when(k % 19 != 0, F.lit("2024-01-10").cast("timestamp"))
+    seen = F.when(k % 7 != 0, k % 2 != 0)
+    n = D.next_entitlement(pick(k, "active", "inactive", None), expires, since, seen, F.when(k % 5 != 0, F.col("ts")), F.lit(NOW).cast("timestamp"))
+    return e.select("event_id", n.alias("n")).select("event_id", "n.*")
+
+
 def p16_approved(spark, sf):
     o, k = table(spark, sf, "orders"), F.col("o_orderkey")
     notices = o.select(
@@ -115,7 +125,7 @@ def i3_barcodes(spark, sf):
     return p.select("p_partkey", F.array_join(identifiers.barcodes(F.col("t")), "|").alias("codes"))
 
 
-QUERIES = {f.__name__: f for f in (a18_facts, p16_approved, v3_expansions, x20_states, x21_state, i11_order, i3_barcodes)}
+QUERIES = {f.__name__: f for f in (a18_facts, c22_next, p16_approved, v3_expansions, x20_states, x21_state, i11_order, i3_barcodes)}
 
 ORACLES = {
     "a18_facts": f"""
@@ -130,6 +140,14 @@ ORACLES = {
           string_agg(CAST(m AS VARCHAR), '|' ORDER BY late, pos, m) AS keys,
           concept = 'lot' AND EXISTS (SELECT 1 FROM f WHERE f.case_id = v.case_id AND f.concept = 'lot' AND f.says_batch) AS is_batch
         FROM v GROUP BY case_id, concept""",
+    "c22_next": f"""
+        WITH e AS (
+          SELECT event_id AS k, ts, event_id % 2 <> 0 AND event_id % 7 <> 0 AS act, TIMESTAMP '{NOW}' AS now,
+            event_id % 3 = 0 AND event_id % 19 <> 0 AND (event_id % 4 = 0 OR ts + INTERVAL 20 DAY > TIMESTAMP '{NOW}') AS running
+          FROM events)
+        SELECT k AS event_id, CASE WHEN act THEN 'active' ELSE 'inactive' END AS status, CASE WHEN act AND k % 5 <> 0 THEN ts END AS expires_at,
+          now AS checked_at, CASE WHEN act THEN CASE WHEN running THEN TIMESTAMP '2024-01-10' ELSE now END END AS entitled_since
+        FROM e""",
     "p16_approved": """
         SELECT o_orderkey AS id, o_orderpriority AS publisher, CAST(o_orderdate AS DATE) AS notice_date, CAST(l_shipdate AS DATE) AS approved_at
         FROM orders JOIN lineitem ON l_orderkey = o_orderkey
