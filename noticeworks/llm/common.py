@@ -57,7 +57,18 @@ def stage(df: DataFrame, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._nw_path = path
+    return out
+
+
+def drop_stage(*staged: DataFrame) -> None:
+    """Delete staged tables once what was made from them is staged itself; a frame that is none is left alone."""
+    for df in staged:
+        path = getattr(df, "_nw_path", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ranked(df: DataFrame, by: list[str], order: list, rank: str = "_rank", codec: str = "zstd") -> DataFrame:
