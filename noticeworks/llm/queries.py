@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noticeworks.llm import hnsw, langid, minhash, mixing, packing, quality, recompress, sharding, suffixes, urls
+from noticeworks.llm import ballmeans, blocklstm, hnsw, langid, minhash, mixing, packing, quality, recompress, sharding, suffixes, urls, wavelet
 
 QUERIES = {
     "op1_pack": packing.op1_pack,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_suffixes": suffixes.op8_suffixes,
     "op9_urls": urls.op9_urls,
     "op10_minhash": minhash.op10_minhash,
+    "op11_search": wavelet.op11_search,
+    "op12_pages": blocklstm.op12_pages,
+    "op13_clusters": ballmeans.op13_clusters,
 }
 
 ORACLES = {
@@ -22,4 +25,7 @@ ORACLES = {
     "op6_shards": sharding.OP6_SQL,
     "op7_quality": quality.OP7_SQL,
     "op9_urls": urls.OP9_SQL,
+    "op11_search": wavelet.OP11_SQL,
+    "op12_pages": blocklstm.OP12_SQL,
+    "op13_clusters": ballmeans.OP13_SQL,
 }
