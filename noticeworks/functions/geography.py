@@ -64,27 +64,18 @@ DC District of Columbia
 PR Puerto Rico""".split("\n")
 )
 
-#: What may stand between two codes of a list.
-LINK = r" *(?:,|and|or|&) *(?:and +)?"
-#: Names as they are read from left to right: pairs and the capital first, longer names before the names in them.
-NAMED = (
-    r"\b(?:North|South) +and +(?:North|South) +(?:Carolina|Dakota)\b|\bWashington,? +D\.? ?C\.?(?![A-Za-z])|\b(?:"
-    + "|".join(sorted(STATES.values(), key=len, reverse=True))
-    + r")\b"
-)
-ADDRESS = r", +([A-Z]{2})(?![A-Za-z])(?! +[A-Z][a-z])"
-RUN = rf"\b[A-Z]{{2}}\b(?:{LINK}\b[A-Z]{{2}}\b)+"
-LONE = rf"\b(?:in|to|throughout|across|within) +([A-Z]{{2}})\b(?!{LINK}[A-Z]{{2}}\b)(?! +[A-Z][a-z])"
+#: What may link two codes of a list; a second "and" may follow.
+LINKS = (",", "and", "or", "&")
+#: Words of place before a code that stands alone.
+PLACING = ("in", "to", "throughout", "across", "within")
+#: Words that two names share, as in "North and South Carolina".
+SIDES, SHARED = ("North", "South"), ("Carolina", "Dakota")
 
 
 def _names() -> Column:
     return F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])
 
 
-def _all(c: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
-
-
 def state_of(token: Column) -> Column:
     """The state that a name in any case or a postal code in capitals stands for; null for anything else."""
     t = F.regexp_replace(F.regexp_replace(token, rf"\A{SPACE}+|{SPACE}+\z", ""), r"[.,;]+\z", "")
@@ -106,20 +97,54 @@ def state_names(codes: Column) -> Column:
 def states_in(text: Column) -> Column:
     """The states that a text names, in order; empty where it names none, null for a null text.
 
-    Names count where no longer name holds them. A code counts after a comma, in a list that holds nothing but
-    codes, or alone after a word of place; not before a capitalised word, where it is a direction.
+    The text is read as tokens: words (with the periods inside of D.C.), commas and other signs. A name is the longest
+    run of up to three tokens that is one, so that no shorter name inside of it counts; "North and South Carolina" and
+    "Washington, D.C." are read whole. A code is a token of two capitals that stands behind a comma, in a list of codes
+    that are all states, or alone behind a word of place; before a capitalised word it is a direction or a name.
     """
-    c = F.regexp_replace(text, SPACE, " ")
-
-    def of_name(hit: Column) -> Column:
-        word = F.split(hit, " +")
-        pair = F.transform(F.array(word[0], word[2]), lambda side: F.concat_ws(" ", side, word[3]))
-        return F.when(hit.rlike("^(?:North|South) +and "), pair).when(hit.rlike("^Washington.+C"), F.array(F.lit("District of Columbia"))).otherwise(F.array(hit))
-
-    def of_run(hit: Column) -> Column:
-        found = F.transform(_all(hit, "[A-Z]{2}"), lambda code: F.try_element_at(_names(), code))
-        return F.when(F.forall(found, lambda s: s.isNotNull()), found).otherwise(F.array().cast("array<string>"))
-
-    single = F.transform(F.concat(_all(c, ADDRESS, 1), _all(c, LONE, 1)), lambda code: F.try_element_at(_names(), code))
-    found = F.concat(F.flatten(F.transform(_all(c, NAMED), of_name)), F.flatten(F.transform(_all(c, RUN), of_run)), F.array_compact(single))
-    return F.array_sort(F.array_distinct(found))
+    t = F.regexp_extract_all(F.regexp_replace(text, SPACE, " "), F.lit(r"D\. ?C\.?(?![A-Za-z])|[A-Za-z]+|[0-9]+|[^A-Za-z0-9 ]"), F.lit(0))
+    names = F.create_map(*[F.lit(x) for n in STATES.values() for x in (n, n)])
+    at = F.sequence(F.lit(0), F.size(t) - 1)
+    tok = lambda i: F.coalesce(F.get(t, i), F.lit(""))
+    joined = lambda i, n: F.array_join(F.slice(t, i + 1, F.lit(n)), " ")
+    code = lambda i: tok(i).rlike("^[A-Z]{2}$")
+    capital = lambda i: tok(i).rlike("^[A-Z][a-z]")
+    state = lambda i: F.try_element_at(_names(), tok(i))
+    none = F.array().cast("array<string>")
+
+    def longest(i: Column) -> Column:
+        return F.when(F.try_element_at(names, joined(i, 3)).isNotNull(), 3).when(F.try_element_at(names, joined(i, 2)).isNotNull(), 2).when(F.try_element_at(names, tok(i)).isNotNull(), 1).otherwise(0)
+
+    def named(i: Column) -> Column:
+        held = (F.when(i >= 1, longest(i - 1)).otherwise(0) > 1) | (F.when(i >= 2, longest(i - 2)).otherwise(0) > 2)
+        after = F.when(tok(i + 1) == ",", tok(i + 2)).otherwise(tok(i + 1))
+        capital_city = (tok(i) == "Washington") & F.regexp_replace(after, "[. ]", "").isin("DC")
+        pair = tok(i).isin(*SIDES) & (tok(i + 1) == "and") & tok(i + 2).isin(*SIDES) & tok(i + 3).isin(*SHARED)
+        both = F.array(F.concat_ws(" ", tok(i), tok(i + 3)), F.concat_ws(" ", tok(i + 2), tok(i + 3)))
+        one = F.when((longest(i) > 0) & ~held, F.array(F.try_element_at(names, joined(i, longest(i)))))
+        return F.when(capital_city, F.array(F.lit("District of Columbia"))).when(pair, both).otherwise(F.coalesce(one, none))
+
+    def linked(i: Column) -> Column:
+        """How many tokens stand between the code at i and the one that a link joins to it; 0: none does."""
+        two = tok(i + 1).isin(*LINKS) & (tok(i + 2) == "and") & code(i + 3)
+        return F.when(tok(i + 1).isin(*LINKS) & code(i + 2), 2).when(two, 3).otherwise(0)
+
+    def step(acc: Column, i: Column) -> Column:
+        """Codes of the run that goes on, and of the runs that have ended."""
+        run = F.concat(acc["run"], F.array(i))
+        more = F.struct(acc["done"].alias("done"), run.alias("run"))
+        over = F.struct(F.concat(acc["done"], F.array(run)).alias("done"), F.array().cast("array<int>").alias("run"))
+        return F.when(~code(i), acc).when(linked(i) > 0, more).otherwise(over)
+
+    empty = F.struct(F.array().cast("array<array<int>>").alias("done"), F.array().cast("array<int>").alias("run"))
+    runs = F.aggregate(at, empty, step, lambda acc: acc["done"])
+
+    def of_run(run: Column) -> Column:
+        found = F.transform(run, state)
+        first = F.get(run, 0)
+        alone = F.when(tok(first - 1).isin(*PLACING) & ~capital(first + 1), F.array_compact(found)).otherwise(none)
+        return F.when(F.size(run) > 1, F.when(F.forall(found, lambda x: x.isNotNull()), found).otherwise(none)).otherwise(alone)
+
+    address = F.transform(F.filter(at, lambda i: code(i) & (tok(i - 1) == ",") & ~capital(i + 1)), state)
+    found = F.concat(F.flatten(F.transform(at, named)), F.flatten(F.transform(runs, of_run)), F.array_compact(address))
+    return F.when(F.size(t) == 0, none).otherwise(F.array_sort(F.array_distinct(found)))

@@ -70,32 +70,52 @@ def unverified_sizes(claim: Column, printed: Column) -> Column:
     return F.array_except(F.coalesce(size_tokens(claim), none), F.coalesce(size_tokens(printed), none))
 
 
-#: Digits of a barcode, and what stands between two identifiers of a list.
+#: Digits of a barcode; signs and words that stand between two identifiers of a list.
 BARCODE_DIGITS = (8, 12, 13, 14)
-SEPARATORS = r"[,;&•·\n]|\b(?i:and|or)\b|(?<=\s)\+|\+(?=\s)"
+LIST_SIGNS, LIST_WORDS = ",;&•·\n", ("and", "or")
+CUT = "\u0001"
 
 
 def split_identifiers(c: Column) -> Column:
-    """The identifiers of one field in their order: cut at separators and at two or more blanks, empty ones go."""
-    marked = F.regexp_replace(F.regexp_replace(c, SEPARATORS, "\u0001"), r"\s{2,}", "\u0001")
-    parts = F.transform(F.split(marked, "\u0001"), lambda p: F.regexp_replace(F.regexp_replace(p, r"\s+", " "), r"^[ +]+|[ +]+$", ""))
-    return F.filter(parts, lambda p: p != "")
+    """The identifiers of one field in their order.
+
+    Signs of a list, two or more blanks, the words of a list and a plus sign at the edge of a word end an identifier;
+    the words between two ends are one, joined by a blank. Empty ones go.
+    """
+    marked = F.translate(F.regexp_replace(c, r"[^\S\n]{2,}|\s*\n\s*", CUT), LIST_SIGNS, CUT * len(LIST_SIGNS))
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(marked, r"\s", " "), CUT, f" {CUT} ")), " +")
+
+    def word(w: Column) -> Column:
+        core = F.ltrim(F.rtrim(w, F.lit("+")), F.lit("+"))
+        edge = lambda there: F.when(there, F.lit(f" {CUT} ")).otherwise(F.lit(""))
+        kept = F.when(F.lower(core).isin(*LIST_WORDS), F.lit(CUT)).otherwise(core)
+        return F.concat(edge(F.startswith(w, F.lit("+"))), kept, edge(F.endswith(w, F.lit("+"))))
+
+    parts = F.split(F.array_join(F.transform(words, word), " "), CUT)
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def barcode(c: Column) -> Column:
     """The digits of a barcode printed with blanks and hyphens; null for anything else.
 
-    Of several parts, one that is a barcode by itself is the barcode; else all digits are read as one.
+    The first of its blank-separated groups that has the digits of a barcode, else all of them together if they have.
     """
-    trimmed = F.trim(F.regexp_replace(c, r"\s+", " "))
-    digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
-    whole = F.filter(F.transform(F.split(trimmed, " "), digits), lambda d: F.length(d).isin(*BARCODE_DIGITS))
-    read = F.coalesce(F.get(whole, 0), digits(trimmed))
-    return F.when(trimmed.rlike("^[0-9 -]+$") & F.length(read).isin(*BARCODE_DIGITS), read)
+    groups = F.split(F.trim(c), r"\s+")
+    readings = F.transform(F.concat(groups, F.array(F.array_join(groups, ""))), lambda g: F.translate(g, "-", ""))
+    only = F.forall(groups, lambda g: g.rlike("^[0-9-]+$"))
+    return F.when(only, F.get(F.filter(readings, lambda d: F.length(d).isin(*BARCODE_DIGITS)), 0))
 
 
 def barcodes(c: Column) -> Column:
-    """The distinct barcodes of a cell, first seen first; a slash before a blank separates too."""
-    bare = lambda p: F.regexp_replace(F.regexp_replace(p, "^[^0-9]+", ""), r"[^0-9\s-]+$", "")
-    found = F.transform(split_identifiers(F.regexp_replace(c, r"/(?=\s)", ",")), lambda p: barcode(bare(p)))
-    return F.array_distinct(F.array_compact(found))
+    """The distinct barcodes of a cell, first seen first; a slash before a blank separates too.
+
+    Words without a digit at the ends of an identifier, such as its label, are left out.
+    """
+    parts = split_identifiers(F.regexp_replace(c, r"/\s", ", "))
+
+    def digits_only(p: Column) -> Column:
+        first = F.regexp_instr(p, F.lit("[0-9]"))
+        tail = F.regexp_extract(p, r"[^0-9\s-]*$", 0)
+        return F.substring(p, first, F.length(p) - first + 1 - F.length(tail))
+
+    return F.array_distinct(F.array_compact(F.transform(parts, lambda p: barcode(digits_only(p)))))

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from noticeworks.functions.text import search_text
+from noticeworks.functions.text import plain_text, search_text
 
 #: Label words that people type before a code.
 LABELS = ("upc", "gtin", "ean", "sku", "lot", "lots", "batch", "batches", "case", "code", "codes", "est", "establishment", "item", "number", "no")
-#: Fixed value: digits that make a candidate.
+#: What may stand behind a label, and inside of a code; digits that make a candidate.
+LABEL_SIGNS = " \t\r\n#:.=-"
+CODE_SIGNS = "-./#"
 CODE_DIGITS = 4
 
 
@@ -43,21 +44,26 @@ class Query:
 
 
 def parse_query(raw: str) -> Query | None:
-    """A query literal, read on the driver; None for a blank one, which searches nothing."""
+    """A query literal, read on the driver; None for a blank one, which searches nothing.
+
+    Words that only label a code are passed over, with the blanks and signs behind them, as long as they come first.
+    What is left is an identifier if it begins with a letter or digit, has four digits, and only signs that
+    codes are printed with.
+    """
     raw = raw.strip()
     if not raw:
         return None
-    label = re.compile(rf"^(?:{'|'.join(LABELS)})\b[\s#:.=-]*", re.IGNORECASE)
-    rest, before = raw, None
-    while rest != before:
-        rest, before = label.sub("", rest), rest
-    coded = len(re.findall("[0-9]", rest)) >= CODE_DIGITS and re.fullmatch(r"[0-9A-Za-z][0-9A-Za-z\s\-./#]*", rest)
-    tokens = re.sub("[^a-z0-9]+", " ", _plain(raw.lower())).split()
-    return Query(tuple(tokens), re.sub("[^0-9A-Za-z]", "", rest).upper() if coded else None)
-
-
-def _plain(s: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", s) if not 0x300 <= ord(c) <= 0x36F)
+    rest = raw
+    for word in re.finditer(r"\w+", raw):
+        between = raw[len(raw) - len(rest) : word.start()]
+        if word[0].lower() not in LABELS or between.strip(LABEL_SIGNS):
+            break
+        rest = raw[word.end() :].lstrip(LABEL_SIGNS)
+        if not rest or not rest[0].isalnum():
+            break
+    plain = [ch for ch in rest if ch.isascii() and ch.isalnum()]
+    coded = bool(plain) and rest[0] == plain[0] and sum(ch.isdigit() for ch in plain) >= CODE_DIGITS and all(ch in plain or ch.isspace() or ch in CODE_SIGNS for ch in rest)
+    return Query(tuple(plain_text(rest).split()), "".join(plain).upper() if coded else None)
 
 
 def matches(text: Column, codes: Column, query: Query) -> Column:

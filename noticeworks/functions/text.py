@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -19,9 +21,17 @@ ABBREVIATIONS = (
     "Inc Corp Co Ltd LLC L.L.C LLP No Nos vs etc Mr Mrs Ms Dr St Mt Ave Blvd U.S U.S.A D.C Ala Ariz Ark Calif Colo Conn Del Fla Ga Ill Ind Kan Ky La Mass Md "
     "Mich Minn Miss Mo Mont Neb Nev Okla Ore Pa Tenn Tex Va Vt Wash Wis Wyo"
 ).split()
-#: Letters with a mark and the letters that stay when the mark goes.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Marks that a decomposed letter carries.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def _decomposed() -> tuple[str, str]:
+    """Letters that decompose into one of a-z or 0-9 and marks, and what stays of each; all of them, by Unicode's own rule."""
+    found = [(c, d[0]) for c in map(chr, range(0x80, 0x10000)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii() and d[0].isalnum() and all(m in MARKS for m in d[1:])]
+    return "".join(c for c, _ in found), "".join(p for _, p in found)
+
+
+MARKED, PLAIN = _decomposed()
 #: Corporate endings of firm names.
 FIRM_ENDINGS = ("incorporated", "inc", "llc", "corporation", "corp", "company", "co", "ltd", "limited")
 
@@ -80,10 +90,16 @@ def sentences(c: Column) -> Column:
 
 def search_text(c: Column) -> Column:
     """Lower case without marks; anything but a-z and 0-9 becomes one blank."""
-    low = F.translate(F.lower(c), MARKED, PLAIN)
+    low = F.lower(F.translate(c, MARKED + MARKS, PLAIN))
     return F.trim(F.regexp_replace(low, r"[^a-z0-9]+", " "))
 
 
+def plain_text(s: str) -> str:
+    """What `search_text` makes of a literal."""
+    low = s.translate(str.maketrans(MARKED, PLAIN, MARKS)).lower()
+    return " ".join(re.findall("[a-z0-9]+", low))
+
+
 def ensure_sentence(c: Column) -> Column:
     """Trimmed, with a full stop unless a closing mark ends it; blank stays blank."""
     t = F.trim(c)

@@ -10,38 +10,6 @@ from noticeworks.operators import notices as N
 from noticeworks.plans.decided import NOW, _turn, pick
 from noticeworks.session import table
 
-PLACES = (
-    "Sold in West Virginia and Ohio.",
-    "North and South Carolina, Washington, D.C. and Kansas",
-    "Shipped to stores in CA, NV and AZ",
-    "Made in Portland, OR 97201; not in NE Ohio",
-    "Sold in TX",
-    "Codes AB, CA and lots in or me",
-    "Virginia Beach, Arkansas and Washington state",
-    "",
-    None,
-)
-FOUND = (
-    "Ohio|West Virginia", "District of Columbia|Kansas|North Carolina|South Carolina", "Arizona|California|Nevada", "Ohio|Oregon", "Texas",
-    "California", "Arkansas|Virginia|Washington", "", None,
-)
-TOKENS = ("ohio", "NY", "ny", " New York. ", "in", "PR;", "XX", None)
-STATE = ("Ohio", "New York", None, "New York", None, "Puerto Rico", None, None)
-CODES = ("TX|CA|TX", "WY|AL|ZZ", "", "PR|DC|NY")
-CODE_NAMES = ("California|Texas", "Alabama|Wyoming", "", "District of Columbia|New York|Puerto Rico")
-CELLS = (
-    "6 28634 44216 6",
-    "UPC 012345678905 / 067890123452",
-    "2 041548816678",
-    "8500 0123 and 850001234567; 850001234567",
-    "lot 12345",
-    "01234567 & 0-41548-81667-8 + 12345678901234",
-    "",
-    None,
-)
-BARCODES = (
-    "628634442166", "012345678905|067890123452", "041548816678", "85000123|850001234567", "", "01234567|041548816678|12345678901234", "", None,
-)
 PRIORITY = ("upc", "lot", "best_by")
 
 
@@ -105,27 +73,87 @@ def v3_expansions(spark, sf):
     return N.expansion_events(records, known, events)
 
 
+CODES_BY_NAME = sorted(geography.STATES, key=geography.STATES.get)
+
+
+def _nth(values, i):
+    return F.get(F.array(*[F.lit(v) for v in values]), (i % len(values)).cast("int"))
+
+
+def _places(spark, sf):
+    """Parts with three states, and a text that names them in one of several ways, or misleads."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    code = [_nth(CODES_BY_NAME, k * m + d) for m, d in ((1, 0), (7, 3), (11, 5))]
+    name = [_nth([geography.STATES[c] for c in CODES_BY_NAME], k * m + d) for m, d in ((1, 0), (7, 3), (11, 5))]
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    texts = (
+        say(F.initcap("p_name"), " sold in ", name[0], " and ", name[1], "."),
+        say("Shipped to stores in ", code[0], ", ", code[1], " and ", code[2]),
+        say("Made in Portland, ", code[0], " 97201; not in QX ", F.col("p_name")),
+        say(F.col("p_name"), " sold in ", code[0]),
+        say("Sold near QX, ", code[0], " and lots ", code[1], "9"),
+        say("North and South Dakota, Washington, D.C.; ", name[0]),
+        say("within ", code[0], " Foods or ", F.lower(name[1]), "town"),
+    )
+    return p.select("p_partkey", *[c.alias(f"c{i}") for i, c in enumerate(code)], pick(k, *texts, "").alias("t"))
+
+
 def x20_states(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", pick(F.col("p_partkey"), *PLACES).alias("t"))
-    return p.select("p_partkey", F.array_join(geography.states_in(F.col("t")), "|").alias("states"))
+    return _places(spark, sf).select("p_partkey", F.array_join(geography.states_in(F.col("t")), "|").alias("states"))
 
 
 def x21_state(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", pick(F.col("p_partkey"), *TOKENS).alias("t"))
-    return p.select("p_partkey", geography.state_of(F.col("t")).alias("state"))
+    p = _places(spark, sf)
+    t = pick(F.col("p_partkey"), F.col("c0"), F.lower("c0"), F.concat(F.lit(" "), _nth(sorted(geography.STATES.values()), F.col("p_partkey")), F.lit(".\n")), F.col("t"))
+    return p.select("p_partkey", geography.state_of(t).alias("state"))
 
 
 def i11_order(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", F.split(pick(F.col("p_partkey"), *CODES), r"\|").alias("c"))
-    return p.select("p_partkey", F.array_join(geography.state_names(F.col("c")), "|").alias("names"))
+    p = _places(spark, sf)
+    return p.select("p_partkey", F.array_join(geography.state_names(F.array("c1", "c0", F.lit("ZZ"), "c2", "c0", F.lit(None))), "|").alias("names"))
+
+
+def _codes(spark, sf):
+    """Parts with three codes of 12, 13 and 8 digits, and a cell that prints them in one of several ways."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey").cast("string")
+    a, b, c = F.lpad(k, 12, "4"), F.lpad(k, 13, "9"), F.lpad(k, 8, "5")
+    spaced = F.concat_ws(" ", F.substring(a, 1, 1), F.substring(a, 2, 5), F.substring(a, 7, 5), F.substring(a, 12, 1))
+    cells = (
+        F.concat(F.lit("UPC: "), spaced),
+        F.concat(F.lit("UPC "), a, F.lit(" / "), b, F.lit(" (case)")),
+        F.concat(F.lit("2 "), a),
+        F.concat(F.regexp_replace(c, "^(.{4})", "$1 "), F.lit(" AND "), a, F.lit("; "), a),
+        F.concat(F.lit("lot "), F.substring(a, 8, 5)),
+        F.concat(c, F.lit(" & "), F.regexp_replace(b, "^(.)(.{6})", "$1-$2-"), F.lit(" + "), a, F.lit("\n"), b, F.lit("  "), c),
+    )
+    return p.select("p_partkey", pick(F.col("p_partkey"), *cells, "").alias("t"))
 
 
 def i3_barcodes(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", pick(F.col("p_partkey"), *CELLS).alias("t"))
-    return p.select("p_partkey", F.array_join(identifiers.barcodes(F.col("t")), "|").alias("codes"))
+    return _codes(spark, sf).select("p_partkey", F.array_join(identifiers.barcodes(F.col("t")), "|").alias("codes"))
+
+
+def v16_same_event(spark, sf):
+    """Records of one firm, with texts of their own, judged pair by pair."""
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    product = F.concat(pick(F.col("o_custkey"), "ring", "bolt", "widget"), F.lit(" number "), (F.col("o_custkey") % 9).cast("string"), F.lit(" soup"))
+    plain = F.concat(F.lit("Acme Recalls "), product)
+    title = F.when(k % 5 == 0, F.concat(F.lit("Acme Expands Recall of "), product, F.lit(" Due to Milk"))).when(k % 5 == 1, F.concat(F.lit("Updated – "), plain)).otherwise(plain)
+    extra = F.when(k % 3 == 0, "alpha beta gamma delta epsilon zeta theta kappa lambda sigma").when(k % 3 == 1, "alpha beta gamma").otherwise("")
+    upc = F.concat(F.lit("UPC 0 "), F.lpad((F.col("o_custkey") + k % 2).cast("string"), 5, "1"), F.lit(" 22222 3"))
+    body = F.concat_ws(" ", F.when(k % 7 == 0, "This updated press release includes news."), F.lit("one two three four five six seven eight nine ten firm said it was told of milk in its soup"), extra, upc)
+    ids = F.array(F.when(k % 11 == 0, F.concat(F.lit("acme-company-recalls-its-soup-"), F.col("o_custkey").cast("string"), F.lit("-0"))).otherwise(F.concat(F.lit("acme-company-recalls-its-soup-"), F.col("o_custkey").cast("string"))))
+    hazard = F.when(k % 13 > 1, "allergen").otherwise("unknown")
+    agency = F.when(F.col("o_custkey") % 4 == 0, "FSIS").otherwise("FDA")
+    r = o.select(F.col("o_custkey").alias("firm"), F.col("o_orderpriority").alias("prio"), k.alias("id"), F.struct(title.alias("title"), body.alias("body"), hazard.alias("hazard"), F.to_date("o_orderdate").alias("published"), ids.alias("source_ids"), agency.alias("agency")).alias("r"))
+    later = r.select("firm", "prio", F.col("id").alias("other"), F.col("r").alias("s"))
+    pairs = r.join(later, ["firm", "prio"]).where("id < other").withColumn("signals", D.event_signals("r", "s"))
+    return pairs.select("id", "other", D.duplicate_verdict("signals").alias("verdict"))
+
 
+QUERIES = {f.__name__: f for f in (a18_facts, c22_next, p16_approved, v3_expansions, x20_states, x21_state, i11_order, i3_barcodes, v16_same_event)}
 
-QUERIES = {f.__name__: f for f in (a18_facts, c22_next, p16_approved, v3_expansions, x20_states, x21_state, i11_order, i3_barcodes)}
+PLACES_SQL = "WITH n AS (SELECT [" + ", ".join(f"'{geography.STATES[c]}'" for c in CODES_BY_NAME) + "] AS n), s AS (SELECT p_partkey, n[(p_partkey % 52) + 1] AS n0, n[((p_partkey * 7 + 3) % 52) + 1] AS n1, n[((p_partkey * 11 + 5) % 52) + 1] AS n2 FROM part, n)"
 
 ORACLES = {
     "a18_facts": f"""
@@ -161,8 +189,22 @@ ORACLES = {
           printf('%08x', list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, len(mark) + 1), lambda i: ord(substr(mark, i::INT, 1))::HUGEINT)),
             lambda h, c: (xor(h::BIGINT, c::BIGINT)::HUGEINT * 16777619) % 4294967296)::BIGINT) AS fingerprint
         FROM n""",
-    "x20_states": f"SELECT p_partkey, {_turn('p_partkey', *FOUND)} AS states FROM part",
-    "x21_state": f"SELECT p_partkey, {_turn('p_partkey', *STATE)} AS state FROM part",
-    "i11_order": f"SELECT p_partkey, {_turn('p_partkey', *CODE_NAMES)} AS names FROM part",
-    "i3_barcodes": f"SELECT p_partkey, {_turn('p_partkey', *BARCODES)} AS codes FROM part",
+    "x20_states": f"""{PLACES_SQL} SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN join_set([n0, n1]) WHEN 1 THEN join_set([n0, n1, n2]) WHEN 2 THEN n0 WHEN 3 THEN n0 WHEN 4 THEN n0
+  WHEN 5 THEN join_set(['North Dakota', 'South Dakota', 'District of Columbia', n0]) ELSE '' END AS states FROM s""".replace("join_set(", "array_to_string(list_sort(list_distinct(").replace("])", "])), '|')"),
+    "x21_state": f"{PLACES_SQL} SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN n0 WHEN 2 THEN n0 END AS state FROM s",
+    "i11_order": f"{PLACES_SQL} SELECT p_partkey, array_to_string(list_sort(list_distinct([n0, n1, n2])), '|') AS names FROM s",
+    "i3_barcodes": """WITH c AS (SELECT p_partkey, lpad(p_partkey::VARCHAR, 12, '4') AS a, lpad(p_partkey::VARCHAR, 13, '9') AS b, lpad(p_partkey::VARCHAR, 8, '5') AS c FROM part)
+SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN a WHEN 1 THEN a || '|' || b WHEN 2 THEN a WHEN 3 THEN c || '|' || a WHEN 5 THEN c || '|' || b || '|' || a ELSE '' END AS codes FROM c""",
+    "v16_same_event": """
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p, o_orderdate::DATE AS d,
+    ['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'firm', 'said', 'was', 'told', 'milk', 'its', 'soup', 'upc', '22222']
+    || [lpad((o_custkey + o_orderkey % 2)::VARCHAR, 5, '1')] || CASE WHEN o_orderkey % 7 = 0 THEN ['this', 'updated', 'press', 'release', 'includes', 'news'] ELSE [] END
+    || CASE o_orderkey % 3 WHEN 0 THEN ['alpha', 'beta', 'gamma', 'delta', 'epsilon', 'zeta', 'theta', 'kappa', 'lambda', 'sigma'] WHEN 1 THEN ['alpha', 'beta', 'gamma'] ELSE [] END AS w FROM orders),
+b AS (SELECT x.k AS id, y.k AS other, (x.k % 13 > 1) = (y.k % 13 > 1) AS hazard, abs(x.d - y.d) AS days, (x.k % 11 = 0) <> (y.k % 11 = 0) AS slug, x.c % 4 <> 0 AS fda,
+    len(list_intersect(x.w, y.w)) / len(list_distinct(x.w || y.w)) AS j, x.k % 5 > 0 AND y.k % 5 > 0 OR x.k % 5 = 0 AND y.k % 5 = 0 AS title,
+    x.k % 5 = 0 OR y.k % 5 = 0 AS grown, x.k % 2 = y.k % 2 AS upc, x.k % 7 = 0 OR y.k % 7 = 0 AS revised
+  FROM o x JOIN o y ON x.c = y.c AND x.p = y.p AND x.k < y.k)
+SELECT id, other, CASE
+  WHEN hazard AND (slug AND days <= 180 AND j >= 0.6 OR fda AND grown AND days <= 120 AND j >= 0.45 OR fda AND revised AND days <= 120 AND upc AND j >= 0.8) THEN 'deterministic'
+  WHEN hazard AND days <= 180 AND (slug OR fda AND grown OR fda AND revised AND upc OR title AND j >= 0.6) THEN 'review' ELSE 'distinct' END AS verdict FROM b""",
 }

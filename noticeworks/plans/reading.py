@@ -195,8 +195,9 @@ def x6_codes(spark, sf):
 
 def x7_search(spark, sf):
     p = table(spark, sf, "part")
-    body, codes = search.entry([F.col("p_name"), F.col("p_brand"), F.col("p_type")], [F.concat(F.lit("LOT "), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))])
-    asked = {"code": "UPC code # 00001", "words": "Red brand 2", "blank": "  ", "mixed": "lot: 0123"}
+    told = F.when(F.col("p_partkey") % 3 == 0, "Kőszeg — Žluťák!").otherwise("Zlu")
+    body, codes = search.entry([F.col("p_name"), F.col("p_brand"), F.col("p_type"), told], [F.concat(F.lit("LOT "), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))])
+    asked = {"code": "UPC code # 00001", "words": "Red brand 2", "blank": "  ", "mixed": "lot: 0123", "marks": "Kőszeg žluťák red", "accent": "SMÁLL"}
     found = [F.when(search.matches(F.col("body"), F.col("codes"), q), name) for name, raw in asked.items() if (q := search.parse_query(raw)) is not None]
     return p.select("p_partkey", body.alias("body"), codes.alias("codes")).select("p_partkey", F.explode(F.array_compact(F.array(*found))).alias("query"))
 
@@ -207,12 +208,20 @@ def x11_product_tokens(spark, sf):
 
 
 def _titles(spark, sf):
-    """Pairs of part titles, some of them one extended."""
+    """Pairs of part titles: one extended, updated or revised, an expansion, blank."""
     p = table(spark, sf, "part")
     a = F.initcap(F.concat_ws(" ", F.lit("Acme Recalls"), "p_name", F.lit("Because of Possible Health Risk")))
-    k = F.col("p_partkey")
-    b = F.when(k % 3 == 0, F.concat(a, F.lit(" - Revised"))).when(k % 3 == 1, F.concat(F.lit("Acme Expands Recall of "), F.col("p_name"), F.lit(" Widgets Due to Undeclared Milk"))).otherwise(F.lit(" "))
-    return p.select("p_partkey", a.alias("a"), b.alias("b"))
+    k = F.col("p_partkey") % 7
+    b = (
+        F.when(k == 0, F.concat(a, F.lit(" - Revised")))
+        .when(k == 1, F.concat(F.lit("Acme Expands Recall of "), F.col("p_name"), F.lit(" Widgets Due to Undeclared Milk")))
+        .when(k == 2, F.concat(F.lit("Updated release – "), a))
+        .when(k == 3, F.concat(F.lit(" UPDATE:  "), F.upper(a)))
+        .when(k == 4, F.concat(F.lit("Revised: "), a))
+        .when(k == 5, F.concat(F.lit("Updated — "), F.lit("Acme Recalls "), F.initcap("p_type")))
+        .otherwise(F.lit(" "))
+    )
+    return p.select("p_partkey", "p_name", a.alias("a"), b.alias("b"))
 
 
 def x12_titles(spark, sf):
@@ -227,9 +236,14 @@ def x13_upcs(spark, sf):
 
 
 def x14_expansion(spark, sf):
-    t = _titles(spark, sf)
-    body = F.when(F.col("p_partkey") % 5 == 0, "Acme is expanding its voluntary recall today.").when(F.col("p_partkey") % 5 == 1, F.concat(F.repeat(F.lit("word "), 130), F.lit("the recall was expanded")))
-    return t.select("p_partkey", signals.declares_expansion(F.col("b"), body).alias("expansion"), signals.expansion_product(F.col("b")).alias("product"))
+    t, k = _titles(spark, sf), F.col("p_partkey") % 5
+    body = (
+        F.when(k == 0, F.concat(F.lit("Acme is expanding its voluntary "), F.col("p_name"), F.lit(" recall today.")))
+        .when(k == 1, F.concat(F.repeat(F.lit("word "), 130), F.lit("the recall was expanded; this updated press release")))
+        .when(k == 2, F.concat(F.lit("This press release about "), F.col("p_name"), F.lit(" has been corrected.")))
+        .when(k == 3, F.concat(F.lit("Link to Updated Press Release. The recall was updated. If the recall is expanded, "), F.col("p_name")))
+    )
+    return t.select("p_partkey", signals.declares_expansion(F.col("b"), body).alias("expansion"), signals.expansion_product(F.col("b")).alias("product"), signals.declares_revision(body).alias("revision"))
 
 
 QUERIES = {
@@ -289,9 +303,10 @@ SELECT doc_id, md5(c) AS clean, CASE WHEN s = '' OR regexp_matches(s, '[.!?"”'
 SELECT p_partkey, a || '|' || b || '|' || a || p_size || CASE WHEN '0' || b <> a THEN '|0' || b ELSE '' END AS codes FROM c""",
     "x7_search": """WITH b AS (SELECT p_partkey, lpad(p_partkey::VARCHAR, 6, '0') AS code, trim(regexp_replace(lower(p_name || ' ' || p_brand || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')) AS body FROM part)
 SELECT p_partkey, 'code' AS query FROM b WHERE contains(code, '00001') UNION ALL SELECT p_partkey, 'words' FROM b WHERE contains(body, 'red') AND contains(body, 'brand') AND contains(body, '2')
-UNION ALL SELECT p_partkey, 'mixed' FROM b WHERE contains(code, '0123')""",
+UNION ALL SELECT p_partkey, 'mixed' FROM b WHERE contains(code, '0123') UNION ALL SELECT p_partkey, 'marks' FROM b WHERE p_partkey % 3 = 0 AND contains(body, 'red')
+UNION ALL SELECT p_partkey, 'accent' FROM b WHERE contains(body, 'small')""",
     "x11_product_tokens": """SELECT p_partkey, array_to_string(list_filter(string_split(lower(p_name || ' ' || p_type), ' '), lambda x, i: len(x) >= 4 AND x NOT IN ('small', 'brand') AND list_position(string_split(lower(p_name || ' ' || p_type), ' '), x) = i), '|') AS tokens FROM part""",
-    "x12_titles": "SELECT p_partkey, p_partkey % 3 = 0 AS relate FROM part",
+    "x12_titles": "SELECT p_partkey, p_partkey % 7 IN (0, 2, 3) AS relate FROM part",
     "x13_upcs": """SELECT p_partkey, array_to_string(list_sort(['012345' || lpad(p_partkey::VARCHAR, 5, '0') || '5', lpad(p_partkey::VARCHAR, 13, '9')]), '|') AS upcs FROM part""",
-    "x14_expansion": "SELECT p_partkey, p_partkey % 3 = 1 OR p_partkey % 5 = 0 AS expansion, CASE WHEN p_partkey % 3 = 1 THEN p_name || ' widgets' ELSE '' END AS product FROM part",
+    "x14_expansion": "SELECT p_partkey, p_partkey % 7 = 1 OR p_partkey % 5 = 0 AS expansion, CASE WHEN p_partkey % 7 = 1 THEN p_name || ' widgets' ELSE '' END AS product, p_partkey % 5 = 2 AS revision FROM part",
 }
