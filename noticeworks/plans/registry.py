@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("manifest", "feed", "reading", "sync", "decided", "versions", "matching", "transitions", "analytics", "notices")
+MODULES = ("manifest", "feed", "reading", "sync", "decided", "versions", "matching", "transitions", "analytics", "notices", "pages")
 
 
 def _modules() -> list:
