@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -14,27 +15,30 @@ from noticeworks.llm.common import small_batches, stage
 from noticeworks.llm.components import components
 from noticeworks.llm.hashing import U, mix
 
-#: Vectors of a shard, at most about; a task holds one shard and a slice of queries.
-SHARD_ROWS = 16_000
+#: Bytes of the vectors of a shard, at most about, and its vectors at most and, if there are as many, at least.
+SHARD_BYTES = 8 << 20
+SHARD_MOST, SHARD_LEAST = 16_000, 1_024
 SLICE_ROWS = 2_000
 #: Slices that ask one copy of a shard's graph, at most about.
 SLICES = 32
-#: Pairs that an audit holds; where there are more, brute force does not hold them.
-BULK = 1 << 21
 DEGREE = 16
+#: Beams of the build, and the first one of a search.
 BEAM = 64
-#: Queries of a slice that are held against brute force at a time, the true pairs outside the largest group that an
-#: audit must hold, and the recall that it must reach.
-AUDIT = 32
-AUDIT_PAIRS = 300
+FIRST_BEAM = 24
+#: The audit: rows of a shard that get a planted neighbour, its cosine, queries of a slice that are held against all
+#: rows of a shard, and the recall that both must reach.
+PLANTS = 64
+PLANTED = 0.95
+AUDIT = 24
 RECALL = 0.99
 
 
-def beam_search(x: np.ndarray, edges: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, edges: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int, count: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids, similarities), (queries, beam), best first: a best-first search of every query at once.
 
     `edges` has the neighbours of each row of `x`, -1 for none; `entry` the rows to start from, -1 for none. In a
-    step every open query expands its best few rows; it ends when all rows of its beam are expanded.
+    step every open query expands its best few rows; it ends when all rows of its beam are expanded. `count` gets the
+    similarities that were computed.
     """
     n, m = len(q), edges.shape[1]
     wide = max(4, beam // 16)
@@ -53,6 +57,8 @@ def beam_search(x: np.ndarray, edges: np.ndarray, q: np.ndarray, entry: np.ndarr
         r, c = np.nonzero(ok)
         got = safe[r, c]
         seen[live[r], got] = True
+        if count is not None:
+            count[0] += len(r)
         new = np.full(fresh.shape, -np.inf, dtype=np.float32)
         for a in range(0, len(r), 1 << 16):
             s = slice(a, a + (1 << 16))
@@ -163,13 +169,13 @@ def build(x: np.ndarray, seed: np.ndarray, degree: int = DEGREE, beam: int = BEA
     return layers
 
 
-def search(x: np.ndarray, layers: list[np.ndarray], level_top: np.ndarray, q: np.ndarray, own: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def search(x: np.ndarray, layers: list[np.ndarray], level_top: np.ndarray, q: np.ndarray, own: np.ndarray, beam: int, count: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Bottom-layer beams of queries; `own` is the query's row in this shard or -1, an entry of its own."""
     entry = np.broadcast_to(level_top.astype(np.int32), (len(q), len(level_top)))
     for k in range(len(layers) - 1, 0, -1):
-        ids, _ = beam_search(x, layers[k], q, entry, 8)
+        ids, _ = beam_search(x, layers[k], q, entry, 8, count)
         entry = np.where(ids >= 0, ids, entry[:, :1])
-    return beam_search(x, layers[0], q, np.concatenate([entry, own[:, None].astype(np.int32)], axis=1), min(beam, len(x)))
+    return beam_search(x, layers[0], q, np.concatenate([entry, own[:, None].astype(np.int32)], axis=1), min(beam, len(x)), count)
 
 
 def _exact(x: np.ndarray, q: np.ndarray, at: np.ndarray, low: np.float32) -> tuple[np.ndarray, np.ndarray]:
@@ -182,81 +188,125 @@ def _exact(x: np.ndarray, q: np.ndarray, at: np.ndarray, low: np.float32) -> tup
     return np.concatenate(qs), np.concatenate(rows)
 
 
-def _groups(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
-    """For each pair (a, b) of queries below `n` and rows below `m`, its connected group."""
-    query, row = np.arange(n), np.full(m, n)
-    while True:
-        np.minimum.at(row, b, query[a])
-        new = query.copy()
-        np.minimum.at(new, a, row[b])
-        if (new == query).all():
-            return query[a]
-        query = new
-
-
-def link_blocks(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, own: np.ndarray, least: float, report: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, row) pairs with a similarity near `least` or above, by the graph as far as its audit allows.
-
-    Some queries are held against brute force, themselves not counted: more and more of them, until they have
-    AUDIT_PAIRS true pairs outside the largest group of pairs. If that takes all queries, or BULK pairs, all are
-    compared by brute force. The mean recall of the audited queries of a group, averaged over groups, must reach
-    RECALL, as must the mean over queries; else all beams are doubled and searched again. When beams near the
-    shard's size still miss too much, all queries are compared with all rows. A beam that ends above the threshold is
-    doubled for its query, and a query whose beam nears the shard's size is compared with all rows. `report` gets
-    the audited pairs and how many of them the search found; pairs by brute force count in both.
+@dataclass
+class Graph:
+    """A shard: unit vectors, the planted ones last, the layers, the row that each plant stands beside, and the beams that passed."""
+
+    x: np.ndarray
+    layers: list[np.ndarray]
+    planted: np.ndarray
+    beams: dict[bool, int | None] = field(default_factory=dict)
+
+    @property
+    def rows(self) -> int:
+        return len(self.x) - len(self.planted)
+
+    def top(self) -> np.ndarray:
+        some = np.flatnonzero((self.layers[-1] >= 0).any(axis=1))[:8]
+        return some if len(some) else np.zeros(1, dtype=np.int64)
+
+
+@dataclass
+class Report:
+    """What the audits saw of the graph alone, how queries were answered, and the similarities that were computed."""
+
+    audited: int = 0
+    found: int = 0
+    by_graph: int = 0
+    by_brute: int = 0
+    compared: int = 0
+
+
+def plant(x: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(plants, rows): unit vectors with a cosine of PLANTED to rows of `x`, spread by `seed`; fixed for a shard."""
+    rows = np.argsort(mix(seed.view(U) ^ U(0x5BD1E995)), kind="stable")[:PLANTS]
+    if x.shape[1] < 2:
+        return x[:0], rows[:0]
+    noise = np.random.default_rng(7).standard_normal((len(rows), x.shape[1])).astype(np.float32)
+    noise -= (noise * x[rows]).sum(axis=1, keepdims=True) * x[rows]
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    return np.float32(PLANTED) * x[rows] + np.float32(math.sqrt(1 - PLANTED**2)) * noise, rows
+
+
+def _passing_beam(g: Graph, inside: bool, report: Report) -> int | None:
+    """The least beam, doubled from FIRST_BEAM up to the shard, with which the planted pairs are found; None if none does.
+
+    Queries from `inside` the shard start at their own row and must find its plant; others are the plants themselves, start
+    from the top and must find their row. Judged once for a shard and side.
+    """
+    if inside not in g.beams:
+        n = len(g.planted)
+        q = g.x[g.planted] if inside else g.x[g.rows :]
+        want = g.rows + np.arange(n) if inside else g.planted
+        own = g.planted if inside else np.full(n, -1)
+        beam, count, passed = FIRST_BEAM, [0], None
+        while n and passed is None:
+            ids, _ = search(g.x, g.layers, g.top(), q, own, beam, count)
+            hits = int((ids == want[:, None]).any(axis=1).sum())
+            if hits >= RECALL * n:
+                report.audited, report.found, passed = report.audited + n, report.found + hits, beam
+            elif beam >= len(g.x):
+                break
+            beam *= 2
+        report.compared += count[0]
+        g.beams[inside] = passed
+    return g.beams[inside]
+
+
+def link_blocks(g: Graph, q: np.ndarray, own: np.ndarray, least: float, report: Report) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, row) pairs with a similarity near `least` or above, through the graph.
+
+    The beam is the one that finds the shard's planted pairs (see `_passing_beam`). AUDIT queries, fixed by a hash of
+    their place, are also held against all rows: the mean share of their true links that the search finds must reach
+    RECALL, else all beams are doubled and all queries searched again, up to the shard's size. A beam that ends above
+    the threshold is doubled for its query; one that holds a quarter of the shard gives way to a comparison with all
+    rows. Only a slice whose audit passes at no beam is compared by brute force as a whole. `report` has the
+    audited pairs and what the graph found of them, the queries answered either way, and all similarities computed.
     """
     low = np.float32(least - 1e-4)
-    order = np.argsort(mix(np.arange(len(q), dtype=np.int64).view(U)), kind="stable")
+    rows = g.x[: g.rows]
 
     def brute(at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        report.by_brute += len(at)
+        report.compared += len(at) * len(rows)
         for s in range(0, len(at), 256):
-            a, b = _exact(x, q, at[s : s + 256], low)
-            report[:] = report[0] + len(a), report[1] + len(a)
-            yield a, b
+            yield _exact(rows, q, at[s : s + 256], low)
 
-    ta, tb, audited = order[:0], order[:0], 0
-    while True:
-        more = order[audited : max(AUDIT, 2 * audited)]
-        a, b = _exact(x, q, more, low)
-        ta, tb, audited = np.concatenate([ta, a]), np.concatenate([tb, b]), audited + len(more)
-        if audited == len(q) or len(ta) > BULK:
-            yield from brute(order)
-            return
-        other = own[ta] != tb
-        pa, pb = ta[other], tb[other]
-        group = _groups(pa, pb, len(q), len(x))
-        if len(group) and len(group) - np.bincount(group).max() >= AUDIT_PAIRS:
-            break
-    top = np.flatnonzero((layers[-1] >= 0).any(axis=1))[:8]
-    top = top if len(top) else np.zeros(1, dtype=np.int64)
-    true = np.bincount(pa, minlength=len(q))
+    order = np.argsort(mix(np.arange(len(q), dtype=np.int64).view(U)), kind="stable")
+    held = order[:AUDIT]
+    ta, tb = _exact(rows, q, held, low)
+    report.compared += len(held) * len(rows)
+    ta = ta[own[ta] != tb]
+    true = np.bincount(ta, minlength=len(q))
     counted = np.flatnonzero(true)
-    of = np.zeros(len(q), dtype=np.int64)
-    of[pa] = group
-    first = BEAM
-    while first <= len(x) // 8:
-        qs, rows = [], []
+    sides = [_passing_beam(g, side, report) for side in np.unique(own >= 0).tolist()]
+    first = None if None in sides else max(sides, default=FIRST_BEAM)
+    wide = max(FIRST_BEAM, len(g.x) // 4)
+    top, count = g.top(), [0]
+    while first is not None:
+        qs, found = [order[:0]], [order[:0]]
         todo, beam = np.arange(len(q)), first
-        while len(todo) and beam <= len(x) // 8:
-            ids, sims = search(x, layers, top, q[todo], own[todo], beam)
-            full = sims[:, -1] >= low
-            r, c = np.nonzero((sims >= low) & ~full[:, None])
+        while len(todo) and (beam <= wide or beam == first):
+            ids, sims = search(g.x, g.layers, top, q[todo], own[todo], beam, count)
+            full = (sims[:, -1] >= low) & (ids.shape[1] < len(g.x))
+            r, c = np.nonzero((sims >= low) & (ids < g.rows) & ~full[:, None])
             qs.append(todo[r])
-            rows.append(ids[r, c])
+            found.append(ids[r, c])
             todo, beam = todo[full], beam * 2
-        qa, ra = np.concatenate(qs), np.concatenate(rows)
+        qa, ra = np.concatenate(qs), np.concatenate(found)
         hits = np.bincount(qa[own[qa] != ra], minlength=len(q))
-        hits[todo] = true[todo]  # compared with all rows below
-        found = hits[counted]
-        part = np.minimum(found / true[counted], 1.0)
-        each = np.bincount(of[counted], part, minlength=len(q))
-        size = np.bincount(of[counted], minlength=len(q))
-        if part.mean() >= RECALL and (each[size > 0] / size[size > 0]).mean() >= RECALL:
-            report[:] = report[0] + int(true.sum()), report[1] + int(np.minimum(found, true[counted]).sum())
+        asked = counted[~np.isin(counted, todo)]  # the others are compared with all rows below
+        got = np.minimum(hits[asked], true[asked])
+        if not len(asked) or (got / true[asked]).mean() >= RECALL:
+            report.audited += int(true[asked].sum())
+            report.found += int(got.sum())
+            report.by_graph += len(q) - len(todo)
+            report.compared += count[0]
             yield qa, ra
             yield from brute(todo)
             return
-        first *= 2
+        first = None if first >= len(g.x) else first * 2
+    report.compared += count[0]
     yield from brute(order)
 
 
@@ -287,7 +337,9 @@ def _index(pdf: pd.DataFrame) -> pd.DataFrame:
     ids = pdf["id"].to_numpy()
     order = np.argsort(mix(ids.view(U)), kind="stable")
     ids, v = ids[order], np.stack(pdf["embedding"].to_numpy()[order]).astype(np.float64)
-    layers = build(_unit(v), ids)
+    x = _unit(v)
+    extra, planted = plant(x, ids)
+    layers = build(np.vstack([x, extra]), np.concatenate([ids, -1 - np.arange(len(extra))]))
     head = pdf.iloc[0]
     return pd.DataFrame(
         {
@@ -297,12 +349,15 @@ def _index(pdf: pd.DataFrame) -> pd.DataFrame:
             "ids": [ids.tobytes()],
             "vectors": [v.tobytes()],
             "weights": [pdf["n"].to_numpy(np.int64)[order].tobytes()],
+            "planted": [planted.astype(np.int64).tobytes()],
+            "plants": [extra.tobytes()],
             "layers": [[g.tobytes() for g in layers]],
         }
     )
 
 
-FOUND = "label long, a long, b long, links long, audited long, found long"
+FOUND = "label long, a long, b long, links long, audited long, found long, by_graph long, by_brute long, compared long"
+NONE = {"audited": 0, "found": 0, "by_graph": 0, "by_brute": 0, "compared": 0}
 
 
 def _ask(least: float):
@@ -310,14 +365,14 @@ def _ask(least: float):
     is linked, and what the audit saw. An index comes before the slices of queries that ask it."""
 
     def answer(label: int, index: tuple, qid: np.ndarray, qv: np.ndarray) -> Iterator[pd.DataFrame]:
-        ids, v, unit, weights, layers = index
+        ids, v, weights, graph = index
         at = np.argsort(ids)
         pos = np.minimum(np.searchsorted(ids[at], qid), len(ids) - 1)
         own = np.where(ids[at][pos] == qid, at[pos], -1)
         links = np.zeros(len(qid), dtype=np.int64)
         tree: tuple[np.ndarray, np.ndarray] = (ids[:0], ids[:0])
-        report = [0, 0]
-        for a, b in link_blocks(unit, layers, _unit(qv), own, least, report):
+        report = Report()
+        for a, b in link_blocks(graph, _unit(qv), own, least, report):
             keep = own[a] != b
             a, b = a[keep], b[keep]
             for s in range(0, len(a), 1 << 15):
@@ -328,9 +383,9 @@ def _ask(least: float):
                 tree = spanning(np.concatenate([tree[0], qid[i[ok]]]), np.concatenate([tree[1], ids[j[ok]]]))
         some = np.flatnonzero(links)
         none = pd.array([None], dtype="Int64")
-        yield pd.DataFrame({"label": label, "a": qid[some], "b": none.repeat(len(some)), "links": links[some], "audited": 0, "found": 0})
-        yield pd.DataFrame({"label": label, "a": tree[0], "b": tree[1], "links": 0, "audited": 0, "found": 0})
-        yield pd.DataFrame({"label": [label], "a": none, "b": none, "links": [0], "audited": [report[0]], "found": [report[1]]})
+        yield pd.DataFrame({"label": label, "a": qid[some], "b": none.repeat(len(some)), "links": links[some]} | NONE)
+        yield pd.DataFrame({"label": label, "a": tree[0], "b": tree[1], "links": 0} | NONE)
+        yield pd.DataFrame({"label": [label], "a": none, "b": none, "links": [0]} | {k: [n] for k, n in vars(report).items()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index: tuple = ()
@@ -341,8 +396,10 @@ def _ask(least: float):
                 if r.kind:
                     yield from answer(r.label, index, ids, v)
                 else:
-                    layers = [np.frombuffer(g, dtype=np.int32).reshape(len(ids), -1) for g in r.layers]
-                    index = ids, v, _unit(v), np.frombuffer(r.weights, dtype=np.int64), layers
+                    planted = np.frombuffer(r.planted, dtype=np.int64)
+                    x = np.vstack([_unit(v), np.frombuffer(r.plants, dtype=np.float32).reshape(len(planted), -1)]) if len(planted) else _unit(v)
+                    layers = [np.frombuffer(g, dtype=np.int32).reshape(len(x), -1) for g in r.layers]
+                    index = ids, v, np.frombuffer(r.weights, dtype=np.int64), Graph(x, layers, planted)
 
     return run
 
@@ -361,21 +418,24 @@ def _slices(rows: int):
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept, audited_recall) for each row of `vectors` (vec_id, embedding, label).
+def near_vectors(vectors: DataFrame, least: float = 0.93, shard_rows: int | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, audited_recall, graph_queries, brute_queries, compared) for each row of `vectors` (vec_id, embedding, label).
 
     Vectors with equal labels, not null, and a cosine of at least `least` in double precision are linked.
 
     Equal vectors of a label go on as one, with their number. A label's vectors are dealt by hash into shards of
-    about `shard_rows`; a task builds the graph of one shard. Every slice of SLICE_ROWS queries goes to each shard
+    about SHARD_BYTES, or `shard_rows`; a task builds the graph of one shard. Every slice of SLICE_ROWS queries goes to each shard
     of its label; a shard's slices are salted into groups of about SLICES, each with a copy of the graph and a task
     of its own, so a large label is many tasks and queries travel, not graphs. Found pairs are confirmed by their
     cosine in double precision. Pairs do not leave the task: it gives the number of links of each query, and edges
     that span what they link, at most one for each vector. Components are unions of these.
 
-    The search is approximate where links are many: a slice is searched again with wider beams until its audit (see
-    `link_blocks`) is passed, and compared with the whole shard if none passes or the audit lacks pairs.
-    audited_recall is the share of the label's audited pairs that the search found (null: no pair was audited).
+    The graph answers, with beams that are widened until audits pass (see `link_blocks`): each shard holds a few
+    planted neighbours of its rows, which must be found, and a few queries of each slice are held against all rows.
+    Brute force answers for a slice and shard that pass at no beam, and for a query whose links fill a quarter of the
+    shard. For the label of a row: audited_recall is the share of the audited pairs, planted ones included, that the graph
+    found by itself (null: no pair was audited), graph_queries and brute_queries count the questions (a query and a
+    shard) answered either way, compared the similarities computed for them and their audits.
     Null labels, null or zero vectors, and vectors with a null or non-finite component link with nothing, not even
     with their copies. Vectors of other lengths are compared with their like only. Null ids link with nothing and
     have a null component. Rows with one id are one node, whose links are those of its different vectors together.
@@ -391,14 +451,17 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, shard_rows: int = SHAR
         & F.exists("embedding", lambda e: F.coalesce(e, F.lit(0.0)) != 0)
     )
     rows = v.where(F.coalesce(good, F.lit(False)))
-    alike = rows.groupBy("label", "embedding").agg(F.count_distinct("vec_id").alias("n"))
-    alike = stage(alike.select(F.monotonically_increasing_id().alias("id"), "label", "embedding", "n", F.size("embedding").alias("dim")))
-    member = rows.join(alike.select(F.col("label").alias("l"), F.col("embedding").alias("e"), "id", "n"), (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")))
-    member = stage(member.select("vec_id", "label", "id", "n").distinct())
+    # a vector is told by 128 bits of hash, so that it is shuffled once
+    at = ["label", "h1", "h2"]
+    rows = rows.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")})
+    alike = rows.groupBy(*at).agg(F.any_value("embedding").alias("embedding"), F.count_distinct("vec_id").alias("n"))
+    alike = stage(alike.select(F.monotonically_increasing_id().alias("id"), *at, "embedding", "n", F.size("embedding").alias("dim")))
+    member = stage(rows.select("vec_id", *at).join(alike.select(*at, "id", "n"), at).select("vec_id", "label", "id", "n").distinct())
     sizes = alike.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("rows"))
-    sizes = stage(sizes.select("label", "dim", F.ceil(F.col("rows") / shard_rows).alias("k"), F.ceil(F.col("rows") / (SLICE_ROWS * SLICES)).alias("groups")))
+    most = F.lit(shard_rows) if shard_rows else F.least(F.lit(SHARD_MOST), F.greatest(F.lit(SHARD_LEAST), F.floor(SHARD_BYTES / 8 / F.col("dim"))))
+    sizes = stage(sizes.select("label", "dim", F.ceil(F.col("rows") / most).alias("k"), F.ceil(F.col("rows") / (SLICE_ROWS * SLICES)).alias("groups")))
     dealt = alike.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("k")))
-    schema = "label long, dim int, shard long, ids binary, vectors binary, weights binary, layers array<binary>"
+    schema = "label long, dim int, shard long, ids binary, vectors binary, weights binary, planted binary, plants binary, layers array<binary>"
     index = stage(dealt.select("label", "dim", "shard", "id", "embedding", "n").groupBy("label", "dim", "shard").applyInPandas(_index, schema), "snappy")
     slices = index.select("label", "dim", "shard", "ids", "vectors").mapInPandas(_slices(SLICE_ROWS), "label long, dim int, salt long, ids binary, vectors binary")
     asks = slices.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, ["label", "dim"]).withColumn("group", F.pmod("salt", F.col("groups")))
@@ -406,8 +469,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, shard_rows: int = SHAR
     graphs = index.join(sizes, ["label", "dim"]).withColumn("group", F.explode(F.expr("sequence(0L, groups - 1)")))
     at = ["label", "dim", "shard", "group"]
     none = lambda t: F.lit(None).cast(t)
-    both = graphs.select(*at, F.lit(0).alias("kind"), "ids", "vectors", "weights", "layers").union(
-        asks.select(*at, F.lit(1).alias("kind"), "ids", "vectors", none("binary"), none("array<binary>"))
+    both = graphs.select(*at, F.lit(0).alias("kind"), "ids", "vectors", "weights", "planted", "plants", "layers").union(
+        asks.select(*at, F.lit(1).alias("kind"), "ids", "vectors", none("binary"), none("binary"), none("binary"), none("array<binary>"))
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = stage(both.repartition(n, *at).sortWithinPartitions(*at, "kind").mapInPandas(_ask(least), FOUND))
@@ -420,10 +483,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, shard_rows: int = SHAR
     placed = stage(placed.select("vec_id", "label", F.coalesce("component", "id").alias("c"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     least_id = placed.groupBy("c").agg(F.min("vec_id").alias("component_id"))
     own = placed.join(least_id, "c").groupBy(F.col("vec_id").alias("o")).agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    recall = found.groupBy(F.col("label").alias("l")).agg(F.try_divide(F.sum("found").cast("double"), F.sum("audited")).alias("audited_recall"))
+    seen = ("graph_queries", "brute_queries", "compared")
+    sums = [F.sum(c).alias(n) for c, n in zip(("by_graph", "by_brute", "compared"), seen, strict=True)]
+    recall = found.groupBy(F.col("label").alias("l")).agg(F.try_divide(F.sum("found").cast("double"), F.sum("audited")).alias("audited_recall"), *sums)
     out = v.select("vec_id", "label").join(own, F.col("vec_id") == F.col("o"), "left").join(recall, F.col("label") == F.col("l"), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), "audited_recall")
-    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), "audited_recall")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), "audited_recall", *seen)
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), "audited_recall", *seen)
 
 
 def op2_vectors(spark, sf_dir: str) -> DataFrame:

@@ -204,10 +204,48 @@ def near(r, v, by=0.01):
 
 
 def found_and_true(x, layers, q, own):
-    pairs = {(i, j) for a, b in hnsw.link_blocks(x, layers, q, own, 0.93, [0, 0]) for i, j in zip(a.tolist(), b.tolist())}
+    """What a graph without plants of its own, but for those of rows that it has, gives, and the truth; and how."""
+    rows = np.arange(0, len(x), max(1, len(x) // 60))
+    extra = near(np.random.default_rng(1), x[rows])
+    edges = [np.vstack([g, np.full((len(extra), g.shape[1]), -1, dtype=np.int32)]) for g in layers]
+    report = hnsw.Report()
+    g = hnsw.Graph(np.vstack([x, extra]), edges, rows)
+    pairs = {(i, j) for a, b in hnsw.link_blocks(g, q, own, 0.93, report) for i, j in zip(a.tolist(), b.tolist())}
     return pairs, set(zip(*(i.tolist() for i in np.nonzero(q @ x.T >= np.float32(0.93)))))
 
 
+@pytest.mark.parametrize("copies", [0.0, 0.02, 0.1])
+def test_the_graph_answers(spark, copies):
+    """Rare links are the usual case: the graph must answer, with few comparisons and all links."""
+    r = np.random.default_rng(31)
+    n = 6000
+    x = unit(r, n, 64)
+    some = r.choice(n, int(n * copies), replace=False)
+    x[some] = near(r, x[(some + 1) % n])
+    df = spark.createDataFrame([(i, v.tolist(), 3) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    rows = hnsw.near_vectors(df).collect()
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(axis=1) - 1
+    got = np.array([g["n_links"] for g in sorted(rows, key=lambda g: g["vec_id"])])
+    first = rows[0]
+    print(copies, want.sum(), got.sum(), first)
+    assert np.minimum(got, want).sum() >= 0.9 * want.sum() and (got <= want).all() and (copies == 0 or want.sum() > 0)
+    assert first["graph_queries"] >= 0.99 * n and first["audited_recall"] >= 0.9 and first["compared"] < 0.2 * n * n
+    if copies < 0.1:
+        assert (got == want).all()
+
+
+def test_search_through_a_built_graph():
+    r = np.random.default_rng(5)
+    x = unit(r, 3000, 32)
+    layers = hnsw.build(x, np.arange(3000))
+    q = near(r, x[:200], 0.02)
+    count = [0]
+    ids, sims = hnsw.search(x, layers, hnsw.Graph(x, layers, np.arange(0)).top(), q, np.full(200, -1), 64, count)
+    best = (q @ x.T).argmax(axis=1)
+    assert (ids[:, 0] == best).mean() >= 0.97 and (np.diff(sims, axis=1) <= 0).all() and count[0] < 0.5 * 200 * 3000
+
+
 def test_links_of_rows_that_no_edge_reaches():
     r = np.random.default_rng(4)
     x = unit(r, 1500)
