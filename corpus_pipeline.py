@@ -5,13 +5,33 @@ Each stage takes (spark, docs, sf_dir), works on every row it is given and is wr
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeworks.llm import langid, minhash, mixing, packing, recompress
-from noticeworks.llm.common import stage
+from noticeworks.llm.common import drop_stage, stage, staging
+
+#: Tables that the last stage staged for its result.
+_LEFT: list[DataFrame] = []
+
+
+def _tidy(f):
+    """A stage that begins by deleting what the one before it staged: its result has been written by then, as `docs` is read from there."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_stage(*_LEFT)
+        with staging() as made:
+            out = f(spark, docs, sf_dir)
+        _LEFT[:] = made
+        return out
+
+    return run_stage
 
 
+@_tidy
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified: those without a letter (null and empty texts too), or farther from every language than texts of their length are, go.
 
@@ -20,6 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.select_known(docs, langid.fit(docs.select("doc_id", "text", "lang")))
 
 
+@_tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more).
 
@@ -28,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return minhash.one_of_each(docs, percent=80).select(*docs.columns)
 
 
+@_tidy
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words of repeated 35-word windows; n_chars follows the text.
 
@@ -39,6 +61,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@_tidy
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them.
 
@@ -49,6 +72,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.emit(mixing.mix(docs), docs.columns)
 
 
+@_tidy
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 1,024 tokens.
 
@@ -73,7 +97,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the documents of `sf_dir`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, f in STAGES[:-1]:
-        docs = stage(f(spark, docs, sf_dir))
+        read, docs = docs, stage(f(spark, docs, sf_dir))
+        drop_stage(read)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
