@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,9 +60,35 @@ def stage(df: DataFrame, codec: str = "zstd") -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._nw_path = path
+    for made in _OPEN:
+        made.append(out)
     return out
 
 
+#: Scopes of `staging` that are open, each with the tables staged in it.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def staging():
+    """A list of the tables that are staged in the block, for `drop_stage` once what is left needs none of them."""
+    made: list[DataFrame] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.pop()
+
+
+#: Rows of keys of 8 bytes that are broadcast at most; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def few(keys: DataFrame) -> bool:
+    """Whether `keys`, a staged table, is small enough to be broadcast."""
+    return keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+
+
 def drop_stage(*staged: DataFrame) -> None:
     """Delete staged tables once what was made from them is staged itself; a frame that is none is left alone."""
     for df in staged:

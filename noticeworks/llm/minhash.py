@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeworks.llm.common import small_batches, stage
+from noticeworks.llm.common import drop_stage, few, small_batches, stage, staging
 from noticeworks.llm.components import components
 from noticeworks.llm.hashing import Powers, U, Words, as_bytes, chunks, mix, salts
 
@@ -238,33 +238,8 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(row, doc_id, n_shingles, component_id, kept, first) for each row of `docs` (doc_id, text).
-
-    Rows are linked when their sets of `width`-word shingles have a Jaccard similarity of at least `percent`
-    per cent; component_id is the smallest doc_id that links reach, and kept marks its owner. `row` is the
-    `row_key` of (doc_id, text), and `first` is true for one of them in each component.
-
-    1. One pass makes a sketch a row: set size, a 128-bit fingerprint of the set, and band keys of its
-       one-permutation signature. Equal sets meet by fingerprint and go on as one representative.
-    2. In every bucket of two representatives or more one pivot, chosen by hash, is paired with each other member:
-       a star, never all pairs. Pairs whose set sizes rule the link out are left out, the others are confirmed on
-       their full sets, which only the members of such buckets have. Links become components.
-    3. Members of buckets that still hold two components get a longer signature under another permutation, in
-       `DEEP` bands, and stars again; up to `DEEP_ROUNDS` times, as long as links are found.
-    4. What is open then (texts that share passages and are no links, mostly) is audited exactly, so that no link
-       is lost: their rarest shingles become buckets, which every pair at the threshold shares (see
-       `rare_shingles` and `_Finder.audit`).
-
-    A pair at the threshold shares no bucket of step 2 with a chance of 3e-7 at 0.85 (6e-5 at 0.8), if its sets
-    are large against the signature, and none of step 3 with one of 2e-9 (8e-6).
-    Null, empty or blank text: no shingles, linked with nothing, kept and first. Fewer words than `width`: one
-    shingle. Each row is a document of its own: one id on several texts is compared text by text, null ids are
-    compared like others and count for no component_id (null if a component has no other); only rows equal in id
-    and text share a `row`. An empty table gives no rows.
-    """
-    small_batches(docs.sparkSession)
-    docs = docs.select(row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _placed(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of `docs` (row, doc_id, text), and (row, doc_id, c) of those with words, both staged."""
     # below this size two different sets cannot reach the similarity
     least = next(k for k in range(1, 1000) if 100 * k >= percent * (k + 1))
     sk = stage(docs.mapInPandas(_sketch(width, bands, rows, least), "row long, doc_id long, n long, fp1 long, fp2 long, bands array<long>"))
@@ -294,6 +269,39 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = 80, ba
     if left.limit(1).count():
         finder.audit(rare_shingles(sets.join(left.select("id"), "id", "left_semi"), percent))
     placed = stage(finder.placed(member.withColumnRenamed("rep", "id")).select("row", "doc_id", "c"))
+    return sk, placed
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(row, doc_id, n_shingles, component_id, kept, first) for each row of `docs` (doc_id, text).
+
+    Rows are linked when their sets of `width`-word shingles have a Jaccard similarity of at least `percent`
+    per cent; component_id is the smallest doc_id that links reach, and kept marks its owner. `row` is the
+    `row_key` of (doc_id, text), and `first` is true for one of them in each component.
+
+    1. One pass makes a sketch a row: set size, a 128-bit fingerprint of the set, and band keys of its
+       one-permutation signature. Equal sets meet by fingerprint and go on as one representative.
+    2. In every bucket of two representatives or more one pivot, chosen by hash, is paired with each other member:
+       a star, never all pairs. Pairs whose set sizes rule the link out are left out, the others are confirmed on
+       their full sets, which only the members of such buckets have. Links become components.
+    3. Members of buckets that still hold two components get a longer signature under another permutation, in
+       `DEEP` bands, and stars again; up to `DEEP_ROUNDS` times, as long as links are found.
+    4. What is open then (texts that share passages and are no links, mostly) is audited exactly, so that no link
+       is lost: their rarest shingles become buckets, which every pair at the threshold shares (see
+       `rare_shingles` and `_Finder.audit`).
+
+    A pair at the threshold shares no bucket of step 2 with a chance of 3e-7 at 0.85 (6e-5 at 0.8), if its sets
+    are large against the signature, and none of step 3 with one of 2e-9 (8e-6).
+    Null, empty or blank text: no shingles, linked with nothing, kept and first. Fewer words than `width`: one
+    shingle. Each row is a document of its own: one id on several texts is compared text by text, null ids are
+    compared like others and count for no component_id (null if a component has no other); only rows equal in id
+    and text share a `row`. An empty table gives no rows.
+    """
+    small_batches(docs.sparkSession)
+    docs = docs.select(row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with staging() as made:
+        sk, placed = _placed(docs, width, percent, bands, rows)
+    drop_stage(*[t for t in made if t is not sk and t is not placed])
     heads = placed.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("h"))
     own = placed.join(heads.select("c", "component_id", F.col("h.row").alias("_first")), "c").groupBy(F.col("row").alias("_row")).agg(F.min("component_id").alias("_c"), F.min("_first").alias("_first"))
     out = sk.select("row", "doc_id", F.col("n").alias("n_shingles")).join(own, F.col("row") == F.col("_row"), "left")
@@ -306,12 +314,15 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     The row stays whose doc_id is the smallest of its group (then the smallest row key); rows without a word are in
     no group and stay. Of rows equal in id and text one stays, the least by a hash of all columns that are no maps.
-    Only keys of rows that go, or that are repeated, are joined to the documents.
+    Only keys of rows that go, or that are repeated, are joined to the documents: by a broadcast if they are few
+    (see `few`), so that no text is shuffled then.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), percent=percent)
-    verdict = found.groupBy(F.col("row").alias("_nw_row")).agg(F.bool_or("first").alias("_nw_first"), ((F.count(F.lit(1)) > 1) & (F.max("n_shingles") > 0)).alias("_nw_many"))
-    verdict = stage(verdict.where("_nw_many or not _nw_first"))
-    joined = docs.withColumn("_nw_key", row_key("doc_id", "text")).join(verdict, F.col("_nw_key") == F.col("_nw_row"), "left")
+    with staging() as made:
+        found = near_duplicates(docs.select("doc_id", "text"), percent=percent)
+        verdict = found.groupBy(F.col("row").alias("_nw_row")).agg(F.bool_or("first").alias("_nw_first"), ((F.count(F.lit(1)) > 1) & (F.max("n_shingles") > 0)).alias("_nw_many"))
+        verdict = stage(verdict.where("_nw_many or not _nw_first"))
+    drop_stage(*[t for t in made if t is not verdict])
+    joined = docs.withColumn("_nw_key", row_key("doc_id", "text")).join(F.broadcast(verdict) if few(verdict) else verdict, F.col("_nw_key") == F.col("_nw_row"), "left")
     plain = joined.where("_nw_row is null").select(*docs.columns)
     flat = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     twice = joined.where("_nw_first and _nw_many").groupBy("_nw_key").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*flat)).alias("_nw_one"))

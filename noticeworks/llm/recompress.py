@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from noticeworks.llm.common import small_batches, stage
+from noticeworks.llm.common import few, small_batches, stage
 from noticeworks.llm.hashing import Powers, U, Words, as_bytes, chunks, mix, salts
 from noticeworks.llm.repeats import PACKED, Sender, among, gathered, key_set, repeated
 
@@ -246,7 +246,8 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, with_text: bool = False
        A Spark round tells which anchors occur twice anywhere.
     2. A second round does so for the windows that hold such an anchor, each by its name, which spells the window in
        symbols, and a check of its words, 128 bits in all.
-    3. Words covered by repeated windows go. Texts without a repeated anchor are finished after step 1.
+    3. Words covered by repeated windows go. Texts without a repeated anchor are finished after step 1; if the others are few
+       (see `few`), their keys are broadcast and only their texts are shuffled.
 
     Rows are known by a 64-bit hash of id and text, so that null ids, repeated rows (each an occurrence of its
     windows) and one id on several texts are kept apart. Null, empty or short texts have no window and stay as they
@@ -260,14 +261,21 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, with_text: bool = False
     docs = docs.select(F.xxhash64("doc_id", "text").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(k) for c, k in zip(carry, own, strict=True)], F.col("text").cast("string").alias("text"))
     base = [StructField(f.name, f.dataType) for f in docs.schema]
     more = lambda **kinds: [StructField(k, t()) for k, t in kinds.items()]
-    names = gathered(repeated(docs.select("id", "text").mapInPandas(_send_anchors(width, 4 * n), PACKED), n), n)
+    names = stage(gathered(repeated(docs.select("id", "text").mapInPandas(_send_anchors(width, 4 * n), PACKED), n), n))
     fields = StructType([*base, *more(ranges=BinaryType, n_words=LongType, kept_sha256=StringType)])
-    seen = stage(docs.join(names, "id", "left").mapInArrow(_candidates(width, with_text, own), fields))
+    find = lambda rows: rows.mapInArrow(_candidates(width, with_text, own), fields)
+    if few(names):  # only texts with a repeated anchor are shuffled and staged
+        ids = F.broadcast(names.select("id"))
+        seen = stage(find(docs.join(ids, "id", "left_semi").join(names, "id")))
+        plain = find(docs.join(ids, "id", "left_anti").withColumn("keys", F.lit(None).cast("binary")))
+    else:
+        seen = stage(find(docs.join(names, "id", "left")))
+        plain = seen.where("false")
     open_ = seen.where("ranges is not null")
     again = gathered(repeated(open_.select("id", "text", "ranges").mapInPandas(_send_windows(width, 4 * n), PACKED), n), n)
     fields = StructType([*base[1:-1], *more(n_words=LongType, n_removed=LongType, kept_sha256=StringType, text=StringType)])
     cut = open_.select("id", "doc_id", *own, "text", "ranges").join(again, "id", "left").mapInArrow(_remove(width, with_text, own), fields)
-    rest = seen.where("ranges is null").select("doc_id", *own, "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", "text")
+    rest = seen.where("ranges is null").union(plain).select("doc_id", *own, "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", "text")
     out = cut.union(rest)
     out = out.select("doc_id", *[F.col(k).alias(c) for c, k in zip(carry, own, strict=True)], "n_words", "n_removed", "kept_sha256", "text")
     return out if with_text else out.drop("text")
