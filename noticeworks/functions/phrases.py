@@ -36,3 +36,12 @@ def followed(text: Column, first: tuple[str, ...], then: tuple[str, ...], within
         return F.exists(F.slice(after, F.lit(2), F.size(after)), lambda rest: F.regexp_instr(rest, F.lit(begin)).between(1, within + 1))
 
     return F.exists(clauses, near)
+
+
+def chain(text: Column, *steps: tuple[str, ...] | int, open_end: bool = False) -> Column:
+    """Phrases in their order inside of one clause: tuples of wordings, between them the characters that may lie between at most."""
+    groups = [s for s in steps if not isinstance(s, int)]
+    pattern = any_phrase(groups[0])
+    for gap, group in zip([s for s in steps if isinstance(s, int)], groups[1:], strict=True):
+        pattern += rf"[^.]{{0,{gap}}}?" + any_phrase(group, open_end and group is groups[-1])
+    return F.coalesce(text.rlike("(?i)" + pattern), F.lit(False))
