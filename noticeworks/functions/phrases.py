@@ -45,3 +45,8 @@ def chain(text: Column, *steps: tuple[str, ...] | int, open_end: bool = False) -
     for gap, group in zip([s for s in steps if isinstance(s, int)], groups[1:], strict=True):
         pattern += rf"[^.]{{0,{gap}}}?" + any_phrase(group, open_end and group is groups[-1])
     return F.coalesce(text.rlike("(?i)" + pattern), F.lit(False))
+
+
+def beside(text: Column, first: tuple[str, ...], words: int, then: tuple[str, ...]) -> Column:
+    """A phrase of `then` at most `words` words behind one of `first`, nothing but white space between them."""
+    return F.coalesce(text.rlike("(?i)" + any_phrase(first) + rf"\s+(?:\w+\s+){{0,{words}}}?" + any_phrase(then)), F.lit(False))
