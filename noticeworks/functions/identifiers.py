@@ -22,13 +22,73 @@ def gtin_check_digit(body: Column) -> Column:
     return ((10 - total % 10) % 10).cast("int")
 
 
+#: Fixed value: digits of a GTIN.
+GTIN_DIGITS = (8, 12, 13, 14)
+
+
+def gtin(code: Column) -> Column:
+    """Struct (key, digits, ambiguous, reason) of a printed identifier.
+
+    Digits with blanks and hyphens, 8, 12, 13 or 14 of them, whose last one is the check digit, have a key of 14 digits; eight digits
+    are ambiguous. Others have a reason: not-a-digit-run, unsupported-length or check-digit.
+    """
+    t = F.trim(code)
+    digits = F.regexp_replace(t, r"[\s-]", "")
+    run = t.rlike(r"^[\d\s-]+$") & (digits != "")
+    fits = F.length(digits).isin(*GTIN_DIGITS)
+    checked = gtin_check_digit(F.substr(digits, F.lit(1), F.length(digits) - 1)) == F.right(digits, F.lit(1)).cast("int")
+    reason = F.when(~F.coalesce(run, F.lit(False)), "not-a-digit-run").when(~fits, "unsupported-length").when(F.when(run & fits, ~checked), "check-digit")
+    ok = reason.isNull()
+    return F.struct(F.when(ok, F.lpad(digits, 14, "0")).alias("key"), F.when(ok, digits).alias("digits"), (ok & (F.length(digits) == 8)).alias("ambiguous"), reason.alias("reason"))
+
+
 def gtin_key(code: Column) -> Column:
     """The 14-digit key of a valid 12, 13 or 14-digit GTIN; null for others, 8 digits included."""
-    digits = F.regexp_replace(code, r"[ -]", "")
-    valid = digits.rlike(r"^[0-9]{12,14}$") & (
-        gtin_check_digit(F.substr(digits, F.lit(1), F.length(digits) - 1)) == F.right(digits, F.lit(1)).cast("int")
-    )
-    return F.when(F.coalesce(valid, F.lit(False)), F.lpad(digits, 14, "0"))
+    g = gtin(code)
+    return F.when(~g["ambiguous"], g["key"])
+
+
+def exact_gtins(codes: Column) -> Column:
+    """The keys of an array of printed identifiers that can be looked up: valid, not ambiguous, once each, first seen first."""
+    return F.array_distinct(F.array_compact(F.transform(codes, gtin_key)))
+
+
+#: Forms of a printed date, as patterns and as formats; a code beside it, and what joins the two.
+PRINTED_DATES = (r"\d{1,2}\s+[A-Za-z]{3,9}\.?\s+\d{2,4}", r"[A-Za-z]{3,9}\.?\s+\d{1,2},?\s+\d{2,4}", r"\d{1,2}/\d{1,2}/\d{2,4}", r"\d{4}-\d{2}-\d{2}")
+DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "M/d/yy", "d MMM yyyy", "d MMMM yyyy", "d MMM yy", "MMM d yyyy", "MMMM d yyyy", "MMM d yy")
+PRINTED_CODE = r"[A-Z0-9][A-Z0-9-]{2,20}"
+JOINED = (r"\s+-\s*", r"\s*-\s+", r"\s*[–—]\s*", r"\s*\(\s*")
+
+
+def printed_date(c: Column) -> Column:
+    """The day that a printed date gives, in any of DATE_FORMATS; null for none, and for days that do not exist (I4)."""
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(c), "[.,]", " "), r"\s+", " "), r"(?i)\bsept\b", "Sep")
+    t = F.when(t.rlike("[A-Za-z]"), F.initcap(t)).otherwise(t)
+    year = lambda n: t.rlike(rf"(?:^|[^0-9])\d{{{n}}}$") | t.rlike(rf"^\d{{{n}}}-")
+    return F.coalesce(*[F.when(year(4 if "yyyy" in f else 2), F.try_to_date(t, f)) for f in DATE_FORMATS])
+
+
+def code_date_pairs(text: Column) -> Column:
+    """Structs (code, date) of the codes that stand right before a date, joined to it by a spaced hyphen, a dash or a bracket.
+
+    A hyphen without blanks is part of a code. Codes that are dates themselves, and dates that do not exist, make no pair; a code
+    counts once, with its first date, those joined by a dash before those in brackets.
+    """
+    date = "(?:" + "|".join(PRINTED_DATES) + ")"
+    found = []
+    for joins, close in ((JOINED[:3], ""), (JOINED[3:], r"\s*\)")):
+        pattern = rf"\b({PRINTED_CODE}?)(?:{'|'.join(joins)})({date}){close}"
+        codes, dates = (F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(k)) for k in (1, 2))
+        found.append(F.zip_with(codes, dates, lambda c, d: F.struct(c.alias("code"), d.alias("date"))))
+    real = F.filter(F.concat(*found), lambda p: ~p["code"].rlike(f"^{date}$") & printed_date(p["date"]).isNotNull())
+    return F.aggregate(real, F.array().cast("array<struct<code:string,date:string>>"), lambda acc, p: F.when(F.exists(acc, lambda x: x["code"] == p["code"]), acc).otherwise(F.concat(acc, F.array(p))))
+
+
+def aligned_pairs(codes: Column, dates: Column) -> Column:
+    """Structs (code, date) of two cells that list codes and their dates in the same order; lists of unequal length give none."""
+    c, d = split_identifiers(codes), F.filter(split_identifiers(dates), lambda x: printed_date(x).isNotNull())
+    same = (F.size(c) == F.size(d)) & (F.size(d) == F.size(split_identifiers(dates))) & (F.size(c) > 0)
+    return F.when(F.coalesce(same, F.lit(False)), F.zip_with(c, d, lambda x, y: F.struct(x.alias("code"), y.alias("date")))).otherwise(F.array().cast("array<struct<code:string,date:string>>"))
 
 
 def notice_date(c: Column) -> Column:

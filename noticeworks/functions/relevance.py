@@ -108,6 +108,17 @@ def resolve_illness(kinds: Column) -> Column:
     return F.when(F.coalesce(denied, F.lit(False)), "reported_unspecified").otherwise(F.coalesce(newest, F.lit("unknown")))
 
 
+def newest_illness(kind: Column, order: Column) -> tuple[Column, Column]:
+    """Two aggregates for `settled_illness`: the newest kind that says something, by `order`, and the number of reports (C11)."""
+    said = kind != "unknown"
+    return F.max_by(kind, F.when(said, order)), F.count_if(said & (kind != "explicit_none"))
+
+
+def settled_illness(newest: Column, reports: Column) -> Column:
+    """The status that `resolve_illness` gives, from the aggregates of `newest_illness`: nothing is listed (C11)."""
+    return F.when((newest == "explicit_none") & (reports > 0), "reported_unspecified").otherwise(F.coalesce(newest, F.lit("unknown")))
+
+
 def geographic(scope: Column, states: Column, chosen: Column) -> Column:
     """matches, does_not_match or unknown: nationwide matches all; an unknown scope or no choice is unknown (C17)."""
     hit = F.coalesce(F.arrays_overlap(states, chosen), F.lit(False))

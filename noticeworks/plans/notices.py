@@ -133,6 +133,27 @@ def i3_barcodes(spark, sf):
     return _codes(spark, sf).select("p_partkey", F.array_join(identifiers.barcodes(F.col("t")), "|").alias("codes"))
 
 
+def i2_gtins(spark, sf):
+    """The lookup keys of a part's printed identifiers, and why the first is none."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    whole = lambda n: F.concat(body := F.lpad(k.cast("string"), n - 1, "7"), identifiers.gtin_check_digit(body).cast("string"))
+    first = pick(k, whole(12), whole(8), F.concat(F.lit("L"), whole(12)), F.lpad(k.cast("string"), 10, "1"), F.concat(F.substring(whole(13), 1, 12), F.lit("x")), F.regexp_replace(whole(14), "^(.)(.{6})", " $1-$2 "))
+    codes = F.array(first, whole(13), F.concat(F.lit("0"), whole(13)), whole(8), F.lit(None).cast("string"), whole(14))
+    return p.select("p_partkey", F.array_join(identifiers.exact_gtins(codes), "|").alias("keys"), identifiers.gtin(first).alias("g")).select("p_partkey", "keys", "g.ambiguous", "g.reason")
+
+
+def i5_code_dates(spark, sf):
+    """Codes with their dates in one cell of a line item, and in two cells that list them."""
+    x = table(spark, sf, "lineitem")
+    code, other = F.concat(F.lit("L"), F.lpad(F.col("l_partkey").cast("string"), 5, "0")), F.concat(F.col("l_suppkey").cast("string"), F.lit("-A1"))
+    day, k = F.to_date("l_shipdate"), F.col("l_partkey")
+    iso, us, named = (F.date_format(day, f) for f in ("yyyy-MM-dd", "MM/dd/yyyy", "MMM d, yyyy"))
+    cell = pick(k, F.concat(code, F.lit(" - "), iso, F.lit("; "), code, F.lit(" – "), us), F.concat(F.lit("Lot "), code, F.lit(" ("), named, F.lit(") "), F.lit("B99"), F.lit(" — 13/45/2020")), F.concat(us, F.lit(" - "), iso, F.lit(" "), code, F.lit("-"), iso), None)
+    codes, dates = F.concat(code, F.lit("; "), other), F.when(k % 3 > 0, F.concat(us, F.lit(" and "), iso)).otherwise(us)
+    show = lambda pairs: F.array_join(F.transform(pairs, lambda p: F.concat(p["code"], F.lit("="), F.date_format(identifiers.printed_date(p["date"]), "yyyyMMdd"))), "|")
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", show(identifiers.code_date_pairs(cell)).alias("pairs"), show(identifiers.aligned_pairs(codes, dates)).alias("aligned"))
+
+
 def v16_same_event(spark, sf):
     """Records of one firm, with texts of their own, judged pair by pair."""
     o, k = table(spark, sf, "orders"), F.col("o_orderkey")
@@ -151,7 +172,7 @@ def v16_same_event(spark, sf):
     return pairs.select("id", "other", D.duplicate_verdict("signals").alias("verdict"))
 
 
-QUERIES = {f.__name__: f for f in (a18_facts, c22_next, p16_approved, v3_expansions, x20_states, x21_state, i11_order, i3_barcodes, v16_same_event)}
+QUERIES = {f.__name__: f for f in (a18_facts, c22_next, p16_approved, v3_expansions, x20_states, x21_state, i11_order, i3_barcodes, i2_gtins, i5_code_dates, v16_same_event)}
 
 PLACES_SQL = "WITH n AS (SELECT [" + ", ".join(f"'{geography.STATES[c]}'" for c in CODES_BY_NAME) + "] AS n), s AS (SELECT p_partkey, n[(p_partkey % 52) + 1] AS n0, n[((p_partkey * 7 + 3) % 52) + 1] AS n1, n[((p_partkey * 11 + 5) % 52) + 1] AS n2 FROM part, n)"
 
@@ -207,4 +228,14 @@ b AS (SELECT x.k AS id, y.k AS other, (x.k % 13 > 1) = (y.k % 13 > 1) AS hazard,
 SELECT id, other, CASE
   WHEN hazard AND (slug AND days <= 180 AND j >= 0.6 OR fda AND grown AND days <= 120 AND j >= 0.45 OR fda AND revised AND days <= 120 AND upc AND j >= 0.8) THEN 'deterministic'
   WHEN hazard AND days <= 180 AND (slug OR fda AND grown OR fda AND revised AND upc OR title AND j >= 0.6) THEN 'review' ELSE 'distinct' END AS verdict FROM b""",
+    "i2_gtins": """
+WITH d AS (SELECT p_partkey AS k, unnest([8, 12, 13, 14]) AS n FROM part), b AS (SELECT k, n, lpad(k::VARCHAR, n - 1, '7') AS b FROM d),
+w AS (SELECT k, n, b || ((10 - list_sum(list_transform(range(1, n), lambda i: substr(b, i::INT, 1)::INT * CASE WHEN (n - 1 - i) % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10)::INT AS w FROM b),
+p AS (SELECT k, max(w) FILTER (n = 8) AS w8, max(w) FILTER (n = 12) AS w12, max(w) FILTER (n = 13) AS w13, max(w) FILTER (n = 14) AS w14 FROM w GROUP BY k)
+SELECT k AS p_partkey, array_to_string(CASE k % 7 WHEN 0 THEN ['00' || w12] WHEN 5 THEN [w14] ELSE [] END || ['0' || w13] || CASE WHEN k % 7 = 5 THEN [] ELSE [w14] END, '|') AS keys, k % 7 = 1 AS ambiguous,
+  CASE k % 7 WHEN 2 THEN 'not-a-digit-run' WHEN 3 THEN 'unsupported-length' WHEN 4 THEN 'not-a-digit-run' END AS reason FROM p""".replace("k % 7", "k % 6"),
+    "i5_code_dates": """
+WITH x AS (SELECT *, 'L' || lpad(l_partkey::VARCHAR, 5, '0') AS code, strftime(l_shipdate, '%Y%m%d') AS d FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_partkey % 4 WHEN 0 THEN code || '=' || d WHEN 1 THEN code || '=' || d WHEN 2 THEN strftime(l_shipdate, '%Y') || '=' || d ELSE '' END AS pairs,
+  CASE WHEN l_partkey % 3 > 0 THEN code || '=' || d || '|' || l_suppkey || '-A1=' || d ELSE '' END AS aligned FROM x""",
 }

@@ -170,8 +170,9 @@ def c17_relevance(spark, sf):
 def c11_illness(spark, sf):
     e = table(spark, sf, "events")
     kind = F.when(F.col("event_type") == "error", "explicit_none").when(F.col("event_type") == "purchase", "reported_count").otherwise("unknown")
-    said = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", kind.alias("k"))), asc=False), lambda x: x["k"]).alias("k"))
-    return said.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), R.resolve_illness(F.col("k")).alias("status"))
+    newest, reports = R.newest_illness(kind, F.struct("ts", "event_id"))
+    said = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(newest.alias("newest"), reports.alias("reports"))
+    return said.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), R.settled_illness(F.col("newest"), F.col("reports")).alias("status"))
 
 
 QUERIES = {f.__name__: f for f in (k2_transition, k3_found, k5_upsert, k6_leases, k7_advance, k9_cascade, k10_unexpired, k12_cache, v2_material_changes, v23_impact_axes, v10_open_evidence, v15_match_verdict, v17_link_records, v19_keep_reviewed, v21_decisions, v24_enrich, a5_distinct_list, a12_gates, a14_applied_health, r4_horizon, c17_relevance, c11_illness)}
