@@ -69,7 +69,7 @@ def identifiers_in(rows: DataFrame, key: str, lines: str, owned: bool = True) ->
     words = F.split(F.lower(lead), r"\s+")
     product = lead.rlike("[A-Za-z]{3}") & (F.size(words) <= OWNER_WORDS) & ~F.exists(words, lambda w: w.isin(*NO_OWNER)) & ~F.forall(words, lambda w: w.isin(*FILLERS, "this", "these", "those", "an"))
     one = one.withColumn("owner", F.when(F.lit(owned) & product, lead))
-    each_ = one.select("_p", "key", "line", "owner", F.posexplode("x.pairs").alias("k", "pair")).withColumn("concept", concept_of(F.col("pair.label")))
+    each_ = one.select("_p", "key", "line", "owner", F.posexplode("x.pairs").alias("k", "pair")).withColumn("concept", concept_of(F.regexp_replace("pair.label", r"(?i)^(lot|batch)(?:e?s)\b", "$1")))
     vals = each_.select("_p", "key", "line", "owner", "k", "concept", F.col("pair.label").alias("label"), F.posexplode(_values(F.col("pair.rest"))).alias("n", "value"))
     code = F.when(F.col("concept") == "upc", barcode(F.col("value")))
     dated = F.col("concept").isin(*DATES)
