@@ -6,8 +6,9 @@ import re
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 #: The named entities that are decoded.
 ENTITIES = {
@@ -138,6 +139,28 @@ def fnv1a(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(F.aggregate(units, F.lit(2166136261).cast("long"), step)), 8, "0"))
 
 
+def in_key_order(c: Column, kind: DataType) -> Column:
+    """`c`, of type `kind`, with the fields of all structs inside of it, and the entries of maps, in the order of their names."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: (f.name.lower(), f.name))
+        return F.when(c.isNotNull(), F.struct(*[in_key_order(c[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: in_key_order(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.struct(e["key"].alias("key"), in_key_order(e["value"], kind.valueType).alias("value"))))
+    return c
+
+
+def canonical_json(rows: DataFrame, column: str) -> Column:
+    """JSON of a struct column of `rows` with all keys in order, nulls kept."""
+    return F.to_json(in_key_order(F.col(column), rows.schema[column].dataType), {"ignoreNullFields": "false"})
+
+
+def content_hash(rows: DataFrame, column: str) -> Column:
+    """The sha256 of `canonical_json` in hex."""
+    return F.sha2(canonical_json(rows, column), 256)
+
+
 def canonical_url(c: Column) -> Column:
     """Host in lower case without `www.`, path without query, fragment and a final slash."""
     bare = F.regexp_replace(F.regexp_replace(c, r"^[a-zA-Z]+://", ""), r"[?#].*$", "")

@@ -166,9 +166,12 @@ def x15_fnv(spark, sf):
 
 
 def x16_content_hash(spark, sf):
-    n = table(spark, sf, "nation")
-    body = F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("nationKey"), F.col("n_regionkey").alias("regionKey")), {"ignoreNullFields": "false"})
-    return n.select("n_nationkey", F.sha2(body, 256).alias("hash"))
+    """The hash of a customer as a nested document whose keys stand in no order."""
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    firm = F.struct(F.col("c_name").alias("name"), F.when(k % 3 > 0, F.col("c_nationkey")).alias("Home"))
+    tags = F.when(k % 4 > 0, F.array(F.struct(F.lit("x").alias("z"), k.alias("a")), F.struct(F.lit(None).cast("string").alias("z"), F.lit(1).cast("long").alias("a"))))
+    doc = c.select("c_custkey", F.struct(F.when(k % 5 > 0, firm).alias("firm"), tags.alias("Tags"), F.create_map(F.lit("q"), k, F.lit("b"), F.lit(2).cast("long")).alias("map")).alias("d"))
+    return doc.select("c_custkey", text.content_hash(doc, "d").alias("hash"))
 
 
 QUERIES = {f.__name__: f for f in (a1_k_anonymity, a3_run_health, a6_export, a7_row_counts, a9_histograms, a10_evaluation, a10_per_class, a11_folds, a11_cross_validation, a19_unfindable, a13_evidence_age, a16_review_buckets, a17_violations, a17_severities, r8_watchdog, r9_inactive, u1_union_ids, i1_gtin, x2_strip_html, x9_firms, x15_fnv, x16_content_hash)}
@@ -238,5 +241,7 @@ WITH b AS (SELECT p_partkey, lpad(p_partkey::VARCHAR, 11, '0') AS b FROM part),
 d AS (SELECT *, (10 - list_sum([substr(b, i::INT, 1)::INT * CASE WHEN (11 - i) % 2 = 0 THEN 3 ELSE 1 END FOR i IN range(1, 12)]) % 10) % 10 AS c FROM b)
 SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 OR c = 7 THEN lpad(b || c::INT::VARCHAR, 14, '0') END AS gtin FROM d""",
     "x9_firms": "SELECT s_suppkey, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) || ' foods' AS firm FROM supplier",
-    "x16_content_hash": """SELECT n_nationkey, sha256('{"name":"' || n_name || '","nationKey":' || n_nationkey || ',"regionKey":' || n_regionkey || '}') AS hash FROM nation""",
+    "x16_content_hash": """
+SELECT c_custkey, sha256('{"firm":' || CASE WHEN c_custkey % 5 > 0 THEN '{"Home":' || CASE WHEN c_custkey % 3 > 0 THEN c_nationkey::VARCHAR ELSE 'null' END || ',"name":"' || c_name || '"}' ELSE 'null' END
+  || ',"map":{"b":2,"q":' || c_custkey || '},"Tags":' || CASE WHEN c_custkey % 4 > 0 THEN '[{"a":' || c_custkey || ',"z":"x"},{"a":1,"z":null}]' ELSE 'null' END || '}') AS hash FROM customer""",
 }

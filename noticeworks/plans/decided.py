@@ -98,15 +98,17 @@ def a15_job_health(spark, sf):
 
 
 def j13_candidates(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 50 = 0")
-    said = F.concat_ws(" ", F.lit("notice of"), F.concat(F.lit("supplier"), (F.col("o_custkey") % 100).cast("string")), F.lit("foods ring bolt"))
-    notices = o.select(F.col("o_orderkey").alias("notice_id"), F.to_date("o_orderdate").alias("notice_date"), said.alias("text"), F.array(F.lit("ring"), pick(F.col("o_custkey"), "bolt", "widget")).alias("products"))
-    cases = table(spark, sf, "orders").where("o_orderkey % 20 = 1").select(F.col("o_orderkey").alias("case_id"), F.to_date("o_orderdate").alias("published"), F.concat(F.lit("supplier"), (F.col("o_custkey") % 100).cast("string"), F.lit(" foods")).alias("firm"), F.array(pick(F.col("o_orderkey"), "widget", "ring", "nut")).alias("products"))
+    """Even orders as notices that name a supplier, odd ones as cases of one."""
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    firm = F.concat(F.lit("supplier"), F.col("o_custkey").cast("string"), F.when(F.col("o_custkey") % 2 == 0, " foods").otherwise(""))
+    said = F.concat_ws(" ", F.lit("notice of"), firm, F.lit("foods ring bolt"))
+    notices = o.where(k % 2 == 0).select(k.alias("notice_id"), F.to_date("o_orderdate").alias("notice_date"), said.alias("text"), F.array(F.lit("ring"), pick(F.col("o_custkey"), "bolt", "widget")).alias("products"))
+    cases = o.where(k % 2 == 1).select(k.alias("case_id"), F.to_date("o_orderdate").alias("published"), firm.alias("firm"), F.array(pick(k, "widget", "ring", "nut")).alias("products"))
     return D.agency_candidates(notices, cases)
 
 
 def w6_merged(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 400")
+    e = table(spark, sf, "events")
     one = e.where("event_type = 'click'").select(F.to_date("ts").alias("day"), (F.col("event_id") % 7).alias("rank"), F.lit("case").alias("side"))
     two = e.where("event_type = 'view'").select(F.to_date("ts").alias("day"), (F.col("event_id") % 7).alias("rank"), F.lit("notice").alias("side"))
     both = D.merge_sections(one, two, [F.desc("day"), F.desc("rank")]).limit(50)
@@ -193,11 +195,11 @@ g AS (SELECT user_id, ok, last, count(*) FILTER (ok IS NULL OR ts > ok) AS a, co
 f AS (SELECT *, CASE WHEN ok IS NULL THEN 'never' WHEN h > 72 THEN 'stale' WHEN h > 30 THEN 'warning' ELSE 'fresh' END AS freshness FROM g)
 SELECT user_id, CASE WHEN freshness IN ('never', 'stale') THEN 'UNHEALTHY' WHEN freshness = 'warning' OR last IN ('failed', 'partial') THEN 'degraded' ELSE 'healthy' END AS status, freshness, a AS attempts_since, s AS skips_since FROM f""",
     "j13_candidates": f"""
-WITH n AS (SELECT o_orderkey AS notice_id, o_orderdate::DATE AS d, o_custkey % 100 AS f, ['ring', {_turn('o_custkey', 'bolt', 'widget')}] AS p FROM orders WHERE o_orderkey % 50 = 0),
-c AS (SELECT o_orderkey AS case_id, o_orderdate::DATE AS d, o_custkey % 100 AS f, {_turn('o_orderkey', 'widget', 'ring', 'nut')} AS p FROM orders WHERE o_orderkey % 20 = 1)
+WITH n AS (SELECT o_orderkey AS notice_id, o_orderdate::DATE AS d, o_custkey AS f, ['ring', {_turn('o_custkey', 'bolt', 'widget')}] AS p FROM orders WHERE o_orderkey % 2 = 0),
+c AS (SELECT o_orderkey AS case_id, o_orderdate::DATE AS d, o_custkey AS f, {_turn('o_orderkey', 'widget', 'ring', 'nut')} AS p FROM orders WHERE o_orderkey % 2 = 1)
 SELECT notice_id, case_id, 1::INTEGER AS shared FROM n JOIN c ON n.f = c.f AND abs(date_diff('day', n.d, c.d)) <= 45 AND list_contains(n.p, c.p)""",
     "w6_merged": """
-WITH u AS (SELECT ts::DATE AS d, event_id % 7 AS rank, CASE event_type WHEN 'click' THEN 'case' ELSE 'notice' END AS side FROM events WHERE event_id < 400 AND event_type IN ('click', 'view') ORDER BY d DESC, rank DESC, side LIMIT 50)
+WITH u AS (SELECT ts::DATE AS d, event_id % 7 AS rank, CASE event_type WHEN 'click' THEN 'case' ELSE 'notice' END AS side FROM events WHERE event_type IN ('click', 'view') ORDER BY d DESC, rank DESC, side LIMIT 50)
 SELECT strftime(d, '%Y-%m-%d') AS day, rank, side, count(*) AS n FROM u GROUP BY ALL""",
     "p13_report": f"""
 WITH c AS (SELECT c_custkey AS k, {_turn('c_custkey', 'nationwide', 'states', 'unknown', 'states')} AS scope, CASE WHEN c_custkey % 7 <> 0 THEN [{_turn('c_custkey', 'OH', 'IA')}, 'TX'] END AS states,

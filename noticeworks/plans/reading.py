@@ -181,7 +181,7 @@ def c19_sections(spark, sf):
 
 
 def x4_display(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 200), r"\s", " ").alias("t")).where("doc_id < 400")
+    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"\s", " ").alias("t"))
     raw = F.concat(F.col("t"), F.lit("  , and .. so "))
     return d.select("doc_id", F.md5(X.clean_display(raw)).alias("clean"), X.ensure_sentence(F.substring("t", 1, 20)).alias("sentence"))
 
@@ -296,7 +296,7 @@ SELECT doc_id, language FROM d WHERE language IS NULL OR language IN ('', 'Engli
     "c19_sections": """WITH g AS (SELECT user_id, max(ts::DATE) AS day, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'purchase') AS o FROM events GROUP BY user_id)
 SELECT user_id, strftime(day, '%Y-%m-%d') AS day, CASE WHEN day >= DATE '2024-01-30' THEN 'recent' ELSE 'older_active' END AS section,
   CASE WHEN e <= 12 THEN 'none' WHEN day >= DATE '2024-01-30' OR o > 18 THEN 'affects' ELSE 'older' END AS affects_me FROM g""",
-    "x4_display": r"""WITH d AS (SELECT doc_id, regexp_replace(substr(text, 1, 200), '[\t\n\v\f\r ]', ' ', 'g') AS t FROM documents WHERE doc_id < 400),
+    "x4_display": r"""WITH d AS (SELECT doc_id, regexp_replace(text, '[\t\n\v\f\r ]', ' ', 'g') AS t FROM documents),
 s AS (SELECT doc_id, trim(substr(t, 1, 20)) AS s, trim(regexp_replace(regexp_replace(regexp_replace(t || '  , and .. so ', '[ ]+', ' ', 'g'), ' +([.,;:!?])', '\1', 'g'), '\.{2,}', '.', 'g')) AS c FROM d)
 SELECT doc_id, md5(c) AS clean, CASE WHEN s = '' OR regexp_matches(s, '[.!?"”'')\]]$') THEN s ELSE s || '.' END AS sentence FROM s""",
     "x6_codes": """WITH c AS (SELECT p_partkey, lpad(p_partkey::VARCHAR, 5, '0') AS a, lpad(p_partkey::VARCHAR, 4, '7') AS b, p_size FROM part)
