@@ -25,6 +25,57 @@ def case_transition(cases: DataFrame, proposals: DataFrame, key: str, token: str
     return j.select(F.col(f"n.{key}"), outcome.alias("outcome"), *value)
 
 
+def case_writes(cases: DataFrame, products: DataFrame, events: DataFrame, records: DataFrame, proposals: DataFrame) -> dict[str, DataFrame]:
+    """What an atomic transition writes: `cases`, `products`, `events` and `records` after it, and the `outcomes` (K2).
+
+    proposals: case_id, expected, projection, last_changed_at, and arrays `products` (native_id, name), `events` (dedup_key, kind),
+    `markers` (record_id, state, content_hash, seq). It applies where the case's last_changed_at is `expected` (null never is), else it is
+    a conflict and writes nothing. The case's products are replaced, numbered from 0. Events whose key the ledger has, or an
+    earlier event has, are not inserted; outcomes list those that are. A marker updates its record if that is the case's and has
+    no later sequence applied; of several the latest. One proposal a case; a null array is empty.
+    """
+    stored = cases.select("case_id", F.col("last_changed_at").alias("_at"))
+    j = proposals.join(stored, "case_id", "left").withColumn("_ok", F.coalesce(F.col("_at") == F.col("expected"), F.lit(False)))
+    done = j.where("_ok")
+    new = done.select("case_id", F.col("projection").alias("_p"), F.col("last_changed_at").alias("_l"))
+    after = cases.join(new, "case_id", "left").select("case_id", F.when(F.col("_l").isNotNull(), F.col("_p")).otherwise(F.col("projection")).alias("projection"), F.coalesce("_l", "last_changed_at").alias("last_changed_at"))
+    fresh = done.select("case_id", F.posexplode("products").alias("ordinal", "x")).select("case_id", "ordinal", "x.native_id", "x.name")
+    kept = products.join(done.select("case_id"), "case_id", "left_anti").select("case_id", "ordinal", "native_id", "name")
+    told = done.select("case_id", F.posexplode("events").alias("pos", "x")).select("case_id", "pos", "x.dedup_key", "x.kind")
+    first = told.groupBy("dedup_key").agg(F.min(F.struct("case_id", "pos", "kind")).alias("f")).select("dedup_key", "f.case_id", "f.kind")
+    added = first.join(events.select("dedup_key"), "dedup_key", "left_anti").select("case_id", "dedup_key", "kind")
+    marks = done.select("case_id", F.posexplode("markers").alias("pos", "x")).select("case_id", "pos", "x.*")
+    own = marks.withColumnRenamed("record_id", "id").join(records.select("id", "case_id", F.col("applied_seq").alias("_seq")), ["id", "case_id"])
+    last = own.where(F.col("_seq").isNull() | (F.col("_seq") <= F.col("seq"))).groupBy("id").agg(F.max(F.struct("seq", "pos", "state", "content_hash")).alias("m"))
+    marked = records.join(last, "id", "left").select("id", "case_id", *[F.coalesce(f"m.{n}", c).alias(c) for n, c in (("state", "apply_state"), ("content_hash", "applied_hash"), ("seq", "applied_seq"))])
+    keys = added.groupBy("case_id").agg(F.array_sort(F.collect_set("dedup_key")).alias("inserted"))
+    outcomes = j.select("case_id", F.when(F.col("_ok"), "applied").otherwise("conflict").alias("status")).join(keys, "case_id", "left")
+    return {
+        "cases": after,
+        "products": kept.unionByName(fresh),
+        "events": events.select("case_id", "dedup_key", "kind").unionByName(added),
+        "records": marked,
+        "outcomes": outcomes.select("case_id", "status", F.coalesce("inserted", F.array().cast("array<string>")).alias("inserted")),
+    }
+
+
+def founding_rows(records: DataFrame, incoming: DataFrame, natural: list[str], order: str) -> dict[str, DataFrame]:
+    """The rows that founding writes, all of them for a founded key and none for another: `cases`, `records`, `snapshots`, `products`, `events` (K3).
+
+    `incoming` has the natural key, `order`, projection, content_hash and an array `products` (native_id, name). A case's id is the hash of its
+    natural key, so that a repeated run founds the same one; its first event is `initial`, with a key of its own.
+    """
+    new = found(records, incoming, natural, order).where("outcome = 'founded'").select(*natural, order)
+    rows = incoming.join(new, [*natural, order]).withColumn("case_id", F.md5(F.to_json(F.struct(*natural), {"ignoreNullFields": "false"})))
+    return {
+        "cases": rows.select("case_id", "projection"),
+        "records": rows.select(*natural, "case_id", "content_hash", F.lit("applied").alias("apply_state")),
+        "snapshots": rows.select("case_id", F.lit(1).alias("seq"), "content_hash"),
+        "products": rows.select("case_id", F.posexplode("products").alias("ordinal", "x")).select("case_id", "ordinal", "x.native_id", "x.name"),
+        "events": rows.select("case_id", F.lit("initial").alias("kind"), F.concat(F.lit("initial:"), "case_id").alias("dedup_key")),
+    }
+
+
 def found(records: DataFrame, incoming: DataFrame, natural: list[str], order: str) -> DataFrame:
     """`natural` keys and `order` of incoming rows with outcome: founded, or record_exists where the ledger or an earlier incoming row has the key (K3)."""
     first = incoming.groupBy(*natural).agg(F.min(order).alias("_first"))

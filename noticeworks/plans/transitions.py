@@ -29,6 +29,51 @@ def k3_found(spark, sf):
     return T.found(records, e, ["user_id", "event_type"], "event_id")
 
 
+def _writes(spark, sf):
+    """Customers as cases with an order's items as products; every third order proposes a change, some with a stale token."""
+    c, o, k = table(spark, sf, "customer"), table(spark, sf, "orders"), F.col("o_orderkey")
+    cases = c.select(F.col("c_custkey").alias("case_id"), F.col("c_mktsegment").alias("projection"), F.col("c_nationkey").cast("long").alias("last_changed_at"))
+    one = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+    had = one.select(F.col("o_custkey").alias("case_id"), F.explode(F.sequence(F.lit(0), (k % 3).cast("int"))).alias("ordinal"), k.cast("string").alias("native_id"), F.lit("old").alias("name"))
+    ledger = one.where(k % 5 == 0).select(F.col("o_custkey").alias("case_id"), F.concat(F.lit("e"), (k % 40).cast("string")).alias("dedup_key"), F.lit("initial").alias("kind")).groupBy("dedup_key").agg(F.min("case_id").alias("case_id"), F.first("kind").alias("kind"))
+    records = one.select(k.alias("id"), F.col("o_custkey").alias("case_id"), F.lit("pending").alias("apply_state"), F.lit("h0").alias("applied_hash"), F.when(k % 4 > 0, k % 7).alias("applied_seq"))
+    x = one.join(c, F.col("o_custkey") == F.col("c_custkey")).where(k % 3 < 2)
+    item = lambda n, name: F.struct(n.cast("string").alias("native_id"), F.lit(name).alias("name"))
+    mark = lambda record, seq: F.struct(record.alias("record_id"), F.lit("applied").alias("state"), F.concat(F.lit("h"), seq.cast("string")).alias("content_hash"), seq.alias("seq"))
+    proposals = x.select(
+        F.col("o_custkey").alias("case_id"),
+        F.when(k % 3 == 0, F.col("c_nationkey").cast("long")).otherwise(F.lit(-1).cast("long")).alias("expected"),
+        F.concat("c_mktsegment", F.lit("!")).alias("projection"),
+        (F.col("c_nationkey") + 100).cast("long").alias("last_changed_at"),
+        F.when(k % 2 == 0, F.array(item(k, "a"), item(k + 1, "b"))).alias("products"),
+        F.array(F.struct(F.concat(F.lit("e"), (k % 40).cast("string")).alias("dedup_key"), F.lit("update").alias("kind")), F.struct(F.concat(F.lit("u"), k.cast("string")).alias("dedup_key"), F.lit("update").alias("kind"))).alias("events"),
+        F.array(mark(k, F.lit(3).cast("long")), mark(k, F.lit(2).cast("long")), mark(k + 1, F.lit(9).cast("long"))).alias("markers"),
+    )
+    return T.case_writes(cases, had, ledger, records, proposals)
+
+
+def k2_products(spark, sf):
+    return _writes(spark, sf)["products"]
+
+
+def k2_records(spark, sf):
+    return _writes(spark, sf)["records"]
+
+
+def k2_outcomes(spark, sf):
+    w = _writes(spark, sf)
+    return w["outcomes"].join(w["cases"], "case_id").select("case_id", "status", "projection", F.array_join("inserted", "|").alias("inserted"))
+
+
+def k3_founding(spark, sf):
+    """Founded cases of suppliers, one row for each product with its case's event."""
+    s = table(spark, sf, "supplier")
+    incoming = s.select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("at"), F.col("s_name").alias("projection"), F.md5("s_name").alias("content_hash"), F.array(F.struct(F.col("s_suppkey").cast("string").alias("native_id"), F.lit("x").alias("name")), F.struct(F.lit("0").alias("native_id"), F.col("s_name").alias("name"))).alias("products"))
+    w = T.founding_rows(table(spark, sf, "nation").where("n_nationkey % 4 = 1").select(F.col("n_nationkey").alias("nation")), incoming, ["nation"], "at")
+    rows = w["products"].join(w["cases"], "case_id").join(w["events"].select("case_id", F.col("kind")), "case_id").join(w["records"].select("case_id", "nation"), "case_id").join(w["snapshots"].select("case_id", "content_hash"), "case_id")
+    return rows.select("nation", "ordinal", "native_id", "name", "projection", "kind", "content_hash")
+
+
 def k5_upsert(spark, sf):
     return T.upsert(_customers(spark, sf), _changed(spark, sf), "c_custkey", ["c_nationkey", "c_mktsegment"])
 
@@ -175,7 +220,7 @@ def c11_illness(spark, sf):
     return said.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), R.settled_illness(F.col("newest"), F.col("reports")).alias("status"))
 
 
-QUERIES = {f.__name__: f for f in (k2_transition, k3_found, k5_upsert, k6_leases, k7_advance, k9_cascade, k10_unexpired, k12_cache, v2_material_changes, v23_impact_axes, v10_open_evidence, v15_match_verdict, v17_link_records, v19_keep_reviewed, v21_decisions, v24_enrich, a5_distinct_list, a12_gates, a14_applied_health, r4_horizon, c17_relevance, c11_illness)}
+QUERIES = {f.__name__: f for f in (k2_transition, k2_products, k2_records, k2_outcomes, k3_found, k3_founding, k5_upsert, k6_leases, k7_advance, k9_cascade, k10_unexpired, k12_cache, v2_material_changes, v23_impact_axes, v10_open_evidence, v15_match_verdict, v17_link_records, v19_keep_reviewed, v21_decisions, v24_enrich, a5_distinct_list, a12_gates, a14_applied_health, r4_horizon, c17_relevance, c11_illness)}
 
 CHANGED = "WITH n AS (SELECT c_custkey + 10 AS c_custkey, c_nationkey, c_mktsegment FROM customer) "
 SIDES = """
@@ -188,7 +233,21 @@ WITH g AS (SELECT l_orderkey, bool_or(l_linestatus = 'F') AS known,
   max(l_returnflag) FILTER (l_linestatus = 'F') AS bn, max(l_returnflag) AS an FROM lineitem GROUP BY l_orderkey)
 """
 
+WRITES = """
+WITH o AS (SELECT o_custkey AS c, min(o_orderkey) AS k FROM orders GROUP BY 1), x AS (SELECT o.*, c_nationkey AS nat, c_mktsegment AS seg FROM o JOIN customer ON c = c_custkey WHERE k % 3 < 2), d AS (SELECT * FROM x WHERE k % 3 = 0),
+l AS (SELECT DISTINCT 'e' || k % 40 AS key FROM o WHERE k % 5 = 0),
+e AS (SELECT c, 'e' || k % 40 AS key FROM d UNION ALL SELECT c, 'u' || k FROM d), f AS (SELECT key, min(c) AS c FROM e WHERE key NOT IN (SELECT key FROM l) GROUP BY key)"""
+
 ORACLES = {
+    "k2_products": WRITES + """ SELECT o.c AS case_id, unnest(range(0, k % 3 + 1))::INTEGER AS ordinal, k::VARCHAR AS native_id, 'old' AS name FROM o WHERE c NOT IN (SELECT c FROM d)
+UNION ALL SELECT c, unnest([0, 1])::INTEGER, unnest([k::VARCHAR, (k + 1)::VARCHAR]), unnest(['a', 'b']) FROM d WHERE k % 2 = 0""",
+    "k2_records": WRITES + """, m AS (SELECT o.*, CASE WHEN k % 4 > 0 THEN k % 7 END AS seq, CASE WHEN o.c IN (SELECT c FROM d) THEN CASE WHEN k % 4 = 0 OR k % 7 <= 3 THEN 3 END END AS new FROM o)
+SELECT k AS id, c AS case_id, CASE WHEN new IS NULL THEN 'pending' ELSE 'applied' END AS apply_state, CASE WHEN new IS NULL THEN 'h0' ELSE 'h' || new END AS applied_hash, coalesce(new, seq)::BIGINT AS applied_seq FROM m""",
+    "k2_outcomes": WRITES + """ SELECT x.c AS case_id, CASE WHEN k % 3 = 0 THEN 'applied' ELSE 'conflict' END AS status, seg || CASE WHEN k % 3 = 0 THEN '!' ELSE '' END AS projection,
+  coalesce((SELECT string_agg(key, '|' ORDER BY key) FROM f WHERE f.c = x.c), '') AS inserted FROM x""",
+    "k3_founding": """
+WITH s AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier), f AS (SELECT * FROM s WHERE r = 1 AND s_nationkey % 4 <> 1)
+SELECT s_nationkey AS nation, unnest([0, 1])::INTEGER AS ordinal, unnest([s_suppkey::VARCHAR, '0']) AS native_id, unnest(['x', s_name]) AS name, s_name AS projection, 'initial' AS kind, md5(s_name) AS content_hash FROM f""",
     "k2_transition": CHANGED
     + """SELECT n.c_custkey, CASE WHEN s.c_custkey IS NULL THEN 'missing' WHEN n.c_nationkey IS DISTINCT FROM s.c_nationkey THEN 'conflict'
   WHEN n.c_mktsegment IS NOT DISTINCT FROM s.c_mktsegment THEN 'unchanged' ELSE 'applied' END AS outcome,
