@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("manifest", "feed", "reading", "sync", "decided", "versions", "matching", "transitions", "analytics", "notices", "pages", "food", "illness", "hazard", "prose", "distribution", "layout", "retailers", "case_facts")
+MODULES = ("manifest", "feed", "reading", "sync", "decided", "versions", "matching", "transitions", "analytics", "notices", "pages", "food", "illness", "hazard", "prose", "distribution", "layout", "retailers", "case_facts", "audit")
 
 
 def _modules() -> list:
