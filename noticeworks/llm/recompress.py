@@ -272,7 +272,8 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, with_text: bool = False
         seen = stage(find(docs.join(names, "id", "left")))
         plain = seen.where("false")
     open_ = seen.where("ranges is not null")
-    again = gathered(repeated(open_.select("id", "text", "ranges").mapInPandas(_send_windows(width, 4 * n), PACKED), n), n)
+    # staged, so that the shuffle of the windows is gone before the texts are shuffled again
+    again = stage(gathered(repeated(open_.select("id", "text", "ranges").mapInPandas(_send_windows(width, 4 * n), PACKED), n), n))
     fields = StructType([*base[1:-1], *more(n_words=LongType, n_removed=LongType, kept_sha256=StringType, text=StringType)])
     cut = open_.select("id", "doc_id", *own, "text", "ranges").join(again, "id", "left").mapInArrow(_remove(width, with_text, own), fields)
     rest = seen.where("ranges is null").union(plain).select("doc_id", *own, "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", "text")
