@@ -143,7 +143,7 @@ def test_minhash_open_buckets(spark):
 
 def test_registered():
     assert set(queries.ORACLES) <= set(queries.QUERIES) and all(isinstance(s, str) for s in queries.ORACLES.values())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_packing(docs, corpus):
