@@ -30,3 +30,11 @@ def test_same_event_of_keys_over_five_digits(spark, tmp_path):
     o = spark.read.parquet(f"{SF}/orders.parquet")
     o.withColumn("o_custkey", F.col("o_custkey") + 899_900).write.parquet(f"{tmp_path}/orders.parquet")
     same_as_sql(spark, tmp_path, "v16_same_event", "orders")
+
+
+def test_same_event_reads_texts_once_a_record(spark):
+    """No text is read above the join, where a record stands once for each of its pairs."""
+    df = registry.queries()["v16_same_event"](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join Inner")]
+    assert "regexp" not in above.lower() and "rlike" not in above.lower()
