@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeworks.functions.phrases import any_phrase, chain, each, says
-from noticeworks.functions.text import sentences
+from noticeworks.functions.text import _once, sentences
 
 DISEASES = ("salmonellosis", "listeriosis", "botulism", "infant botulism")
 ILL = ("illness", "illnesses", "sickness", "sicknesses", "sickened", "ill")
@@ -71,15 +71,14 @@ def _shape(shape: str) -> str:
 
 def figures(sentence: Column, shapes: tuple[str, ...]) -> Column:
     """The distinct numbers of a sentence that count what `shapes` say; years are none, nor what is disowned."""
-    tokens = F.regexp_extract_all(F.lower(sentence), F.lit(TOKEN), F.lit(0))
+    all_tokens = F.regexp_extract_all(F.lower(sentence), F.lit(TOKEN), F.lit(0))
     words = F.create_map(*[F.lit(x) for w, n in NUMBERS.items() for x in (w, n)])
 
     def number(t: Column) -> Column:
         digits = F.when(t.rlike(r"^\d{1,4}(?:,\d{3})?$") & ~(t.rlike(r"^\d{4}$") & t.between("1900", "2100")), F.replace(t, F.lit(","), F.lit("")).cast("int"))
         return F.coalesce(F.try_element_at(words, t), F.when(digits > 0, digits))
 
-    def counted(t: Column, i: Column) -> Column:
-        rest = F.regexp_replace(F.array_join(F.slice(tokens, i + 2, 30), " "), r"^\( \d+ \) ", "")
+    def counts(rest: Column) -> Column:
         hit = F.lit(False)
         for s in shapes:
             hit = hit | rest.rlike(_shape(s))
@@ -87,9 +86,17 @@ def figures(sentence: Column, shapes: tuple[str, ...]) -> Column:
         for s in DISOWNED[:4]:
             own = own | rest.rlike(_shape(s))
         harmed = rest.rlike("^(?:[a-z0-9-]+ ){0,4}(?:was|were|has been|have been) (?:hospitali[sz]ed|died)") if shapes is COUNTS_ILLNESS else F.lit(False)
-        return F.when(hit & ~own & ~harmed, number(t))
+        return hit & ~own & ~harmed
 
-    return F.array_distinct(F.array_compact(F.transform(tokens, counted)))
+    def counted(tokens: Column) -> Column:
+        def of(t: Column, i: Column) -> Column:
+            rest = F.regexp_replace(F.array_join(F.slice(tokens, i + 2, 30), " "), r"^\( \d+ \) ", "")
+            return F.when(number(t).isNotNull(), F.when(_once(rest, counts), number(t)))
+
+        return F.array_distinct(F.array_compact(F.transform(tokens, of)))
+
+    # what is named more than once is computed once: the tokens, and the words behind a number
+    return _once(all_tokens, counted)
 
 
 def no_report(s: Column) -> Column:
@@ -116,15 +123,15 @@ def _joined(s: Column) -> Column:
 
 def _affirmed(s: Column, words: tuple[str, ...]) -> Column:
     """A mention of the harm that is neither what could happen nor denied."""
-    low = F.lower(s)
-    parts = F.split(low, any_phrase(words))
-    before = lambda k: F.substring_index(F.substring_index(F.array_join(F.slice(parts, F.lit(1), k + 1), " "), ".", -1), ";", -1)
+    pattern = any_phrase(words)
     tail = lambda c, n: F.right(c, F.lit(n))
 
-    def real(k: Column) -> Column:
-        return ~chain(tail(before(k), 140), MODALS, 30, LEADS) & ~says(tail(before(k), 43), ("no", "not", "never", "neither", "nor", "without"))
+    def mentioned(parts: Column) -> Column:
+        before = lambda k: F.substring_index(F.substring_index(F.array_join(F.slice(parts, F.lit(1), k + 1), " "), ".", -1), ";", -1)
+        real = lambda b: ~chain(tail(b, 140), MODALS, 30, LEADS) & ~says(tail(b, 43), ("no", "not", "never", "neither", "nor", "without"))
+        return F.exists(F.sequence(F.lit(0), F.size(parts) - 2), lambda k: _once(before(k), real))
 
-    some = F.when(F.size(parts) > 1, F.exists(F.sequence(F.lit(0), F.size(parts) - 2), real)).otherwise(F.lit(False))
+    some = F.when(F.lower(s).rlike(pattern), _once(F.split(F.lower(s), pattern), mentioned)).otherwise(F.lit(False))
     return some & ~says(s, ("in case of", "in cases of", "in severe cases", "in rare cases"))
 
 
@@ -141,24 +148,27 @@ def _framed(text: Column) -> Column:
     return F.aggregate(sentences(F.coalesce(text, F.lit(""))), empty, step)
 
 
-def illness_status(notices: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kind, illnesses, approximate, statements, hospitalizations, deaths) for each row of `notices`.
+def _seen(x: Column) -> Column:
+    """A framed sentence, whether it is read, and whether it says that no link was shown."""
+    c = x["s"]
+    read = (says(c, HARM) | says(c, ("hospitaliz", "hospitalis"), open_end=True)) & ~no_report(c)
+    unlinked = chain(c, NOT_SHOWN, 60, LINKS) | says(c, each("no", ("", "direct", "confirmed", "established"), "link"))
+    low = F.lower(c)
+    linked = F.contains(low, F.lit("link")) | F.contains(low, F.lit("associat")) | F.contains(low, F.lit("connection"))
+    return F.struct(c.alias("s"), x["frame"].alias("frame"), read.alias("read"), F.when(linked, unlinked).otherwise(F.lit(False)).alias("unlinked"))
 
-    kind is reported_count, reported_unspecified, explicit_none or unknown; hospitalizations and deaths are structs of kind, count and
-    approximate, and never explicit_none. A sentence is read if it speaks of harm and is no advice, education or discovery. It asserts
-    illness by a figure or in words, unless it denies it, shares its figure with another harm, says only that there are no
-    more, or that no link was shown. It is about another product if it, or the clause that it goes on from, speaks of a supplier
-    or hedges the link, or counts a country's cases, or the notice says that no link was shown; but not if people are
-    said to have eaten the product or the sentence draws the link itself. One distinct figure is a count, several are none.
-    Denials count wherever they stand, if nothing is asserted. Silence, null and empty texts are unknown. Rows may repeat.
-    """
-    one = notices.select(F.monotonically_increasing_id().alias("_p"), F.col(key).alias("key"), _framed(F.col(text)).alias("x"))
-    s = one.select("_p", F.posexplode("x").alias("n", "x")).select("_p", "n", "x.s", "x.frame")
-    c = F.col("s")
+
+def _counted(x: Column) -> Column:
+    """The figure of illnesses of a sentence that is read, and what it denies."""
+    c = x["s"]
     plain = F.regexp_replace(c, "(?i)" + any_phrase(QUALIFIED), "qualified")
-    s = s.withColumn("figures", figures(c, COUNTS_ILLNESS)).withColumn("unlinked", chain(c, NOT_SHOWN, 60, LINKS) | says(c, each("no", ("", "direct", "confirmed", "established"), "link")))
-    s = s.withColumn("qualified", chain(c, QUALIFIED, 60, ("illness", "illnesses", "sick", "case-patient", "case-patients")))
-    s = s.withColumn("denied", chain(plain, DENYING, 80, ILL)).withColumn("one", F.size("figures") == 1).withColumn("shared", _joined(c) & F.col("one"))
+    qualified = chain(c, QUALIFIED, 60, ("illness", "illnesses", "sick", "case-patient", "case-patients"))
+    return F.struct(c.alias("s"), x["frame"].alias("frame"), x["unlinked"].alias("unlinked"), figures(c, COUNTS_ILLNESS).alias("figures"), qualified.alias("qualified"), chain(plain, DENYING, 80, ILL).alias("denied"))
+
+
+def _judged(x: Column) -> Column:
+    """What a sentence says of illness: whether it asserts or denies it, and of which product."""
+    c, f, one = x["s"], x["frame"], F.size(x["figures"]) == 1
     in_words = (
         chain(c, (*CASES, "sick people"), 60, BEEN)
         | chain(c, ("several", "multiple", "numerous"), 24, ("illness", "illnesses"))
@@ -167,20 +177,42 @@ def illness_status(notices: DataFrame, key: str, text: str) -> DataFrame:
         | chain(c, ("receive", "receives", "received", "there have been", "there has been"), 40, ("report of", "reports of"), 30, ("illness", "illnesses", "sick"))
         | chain(c, tuple(PEOPLE), 60, DISEASES, 120, each(("have", "has"), "been", ("reported", "confirmed", "identified")))
     )
-    silent = F.col("shared") | F.col("unlinked")
-    s = s.withColumn("asserts", ~silent & ~(F.col("qualified") & ~F.col("one")) & ~F.col("denied") & (F.col("one") | in_words))
-    s = s.withColumn("denies", F.col("denied") & ~F.col("qualified") & ~silent)
-    s = s.withColumn("sure", chain(c, tuple(PEOPLE), 80, ATE) | chain(c, TIES, 80, OWN) | says(c, each("consumption of", ("these", "this", "the recalled", "the affected"))))
-    f = F.col("frame")
+    silent = x["unlinked"] | (one & _joined(c))
     elsewhere = says(c, ("nationwide", "nationally")) | says(f, SUPPLIERS) | chain(f, ("may contain",), 80, ("recalled",)) | says(f, HEDGES)
-    s = s.withColumn("ours", says(c, ("exposure to",)) | ~elsewhere)
-    s = s.withColumn("read", ~no_report(c) & (says(c, HARM) | says(c, ("hospitaliz", "hospitalis"), open_end=True)))
-    s = s.withColumn("about", approximate(c))
-    for name, words, shapes in (("h", HOSPITAL, COUNTS_HOSPITAL), ("d", DEATH, COUNTS_DEATH)):
-        s = s.withColumn(f"{name}_said", _affirmed(c, words)).withColumn(f"{name}_figures", figures(c, shapes))
-    rows = F.struct("n", "s", "read", "asserts", "denies", "sure", "ours", "figures", "about", "h_said", "h_figures", "d_said", "d_figures")
-    by = s.groupBy("_p").agg(F.array_sort(F.collect_list(rows)).alias("all"), F.bool_or("unlinked").alias("unlinked"))
-    by = one.select("_p", "key").join(by, "_p", "left").withColumn("all", F.filter(F.coalesce("all", F.filter(F.array(F.lit(None).cast(by.schema["all"].dataType.elementType)), lambda x: x.isNotNull())), lambda x: x["read"]))
+    parts = {
+        "s": c,
+        "asserts": ~x["denied"] & ~(x["qualified"] & ~one) & ~silent & (one | in_words),
+        "denies": x["denied"] & ~x["qualified"] & ~silent,
+        "sure": chain(c, tuple(PEOPLE), 80, ATE) | chain(c, TIES, 80, OWN) | says(c, each("consumption of", ("these", "this", "the recalled", "the affected"))),
+        "ours": says(c, ("exposure to",)) | ~elsewhere,
+        "figures": x["figures"],
+        "about": approximate(c),
+        "h_said": _affirmed(c, HOSPITAL),
+        "d_said": _affirmed(c, DEATH),
+    }
+    return F.struct(*[v.alias(k) for k, v in parts.items()])
+
+
+def _harmed(x: Column) -> Column:
+    """The figures of hospitalisations and deaths of a sentence that affirms them."""
+    held = [x[k].alias(k) for k in ("s", "asserts", "denies", "sure", "ours", "figures", "about", "h_said", "d_said")]
+    return F.struct(*held, *[F.when(x[f"{k}_said"], figures(x["s"], shapes)).alias(f"{k}_figures") for k, shapes in (("h", COUNTS_HOSPITAL), ("d", COUNTS_DEATH))])
+
+
+def illness_status(notices: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kind, illnesses, approximate, statements, hospitalizations, deaths) for each row of `notices` (C10), with its columns `keep`.
+
+    kind is reported_count, reported_unspecified, explicit_none or unknown; hospitalizations and deaths are structs of kind, count and
+    approximate, and never explicit_none. A sentence is read if it speaks of harm and is no advice, education or discovery. It asserts
+    illness by a figure or in words, unless it denies it, shares its figure with another harm, says only that there are no
+    more, or that no link was shown. It is about another product if it, or the clause that it goes on from, speaks of a supplier
+    or hedges the link, or counts a country's cases, or the notice says that no link was shown; but not if people are
+    said to have eaten the product or the sentence draws the link itself. One distinct figure is a count, several are none.
+    Denials count wherever they stand, if nothing is asserted. Silence, null and empty texts are unknown. Rows may repeat.
+    """
+    # a notice is read inside of its row, in steps: what is unread is not looked at again, and no step computes a part twice
+    by = notices.select(*keep, F.col(key).alias("key"), F.transform(_framed(F.col(text)), _seen).alias("x"))
+    by = by.select(*keep, "key", F.exists("x", lambda x: x["unlinked"]).alias("unlinked"), F.transform(F.transform(F.transform(F.filter("x", lambda x: x["read"]), _counted), _judged), _harmed).alias("all"))
     own = lambda x: x["sure"] | (~F.col("unlinked") & x["ours"])
     by = by.withColumn("own", F.filter("all", own)).withColumn("asserted", F.filter("own", lambda x: x["asserts"])).withColumn("denials", F.filter("all", lambda x: x["denies"]))
     single = lambda rows, name: F.array_distinct(F.flatten(F.transform(rows, lambda x: x[name])))
@@ -198,7 +230,7 @@ def illness_status(notices: DataFrame, key: str, text: str) -> DataFrame:
     kind = F.when(some, F.when(count.isNull(), "reported_unspecified").otherwise("reported_count")).when(none, "explicit_none").otherwise("unknown")
     texts = lambda rows, n: F.slice(F.transform(rows, lambda x: x["s"]), 1, n)
     statements = F.when(some, texts(F.col("asserted"), 3)).otherwise(texts(F.col("denials"), 2))
-    return by.select("key", kind.alias("kind"), count.alias("illnesses"), (count.isNotNull() & F.exists("asserted", lambda x: x["about"])).alias("approximate"), statements.alias("statements"), harm("h").alias("hospitalizations"), harm("d").alias("deaths"))
+    return by.select(*keep, "key", kind.alias("kind"), count.alias("illnesses"), (count.isNotNull() & F.exists("asserted", lambda x: x["about"])).alias("approximate"), statements.alias("statements"), harm("h").alias("hospitalizations"), harm("d").alias("deaths"))
 
 
 NONE_BEGINS = ("there have been no", "there has been no", *each("no", ("", "other", "additional", "further"), ("", "confirmed"), ("report", "reports", "illness", "illnesses", "adverse reaction", "adverse reactions", "injuries")), "not received any", "not aware of any")

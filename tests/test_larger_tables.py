@@ -38,3 +38,11 @@ def test_same_event_reads_texts_once_a_record(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Join Inner")]
     assert "regexp" not in above.lower() and "rlike" not in above.lower()
+
+
+@pytest.mark.parametrize("name", ["c10_illness_status", "c10_case_status"])
+def test_illness_is_read_inside_of_its_row(spark, name):
+    """Sentences are no rows that are shuffled and joined back, and a small file is read by all cores."""
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    assert "Repartition " in plan
