@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from noticeworks.functions import illness
 from noticeworks.plans.decided import pick
-from noticeworks.session import table
+from noticeworks.session import spread, table
 
 
 def _notices(spark, sf):
     """A notice an order: one of several statements with numbers of the order, among sentences that say nothing of illness."""
-    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    o, k = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")), F.col("o_orderkey")
     n, m = (k % 11 + 1).cast("string"), (k % 5 + 20).cast("string")
     say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     said = pick(
@@ -42,9 +42,8 @@ def c9_illness_report(spark, sf):
 
 def c10_case_status(spark, sf):
     """The status of a customer from the notices of its orders."""
-    n = _notices(spark, sf)
-    s = illness.illness_status(n, "o_orderkey", "text").withColumnRenamed("key", "o_orderkey")
-    found = illness.case_status(s.join(n.select("o_orderkey", "o_custkey", "day"), "o_orderkey"), "o_custkey", [F.desc("day"), F.desc("o_orderkey")])
+    s = illness.illness_status(_notices(spark, sf), "o_orderkey", "text", ("o_custkey", "day")).withColumnRenamed("key", "o_orderkey")
+    found = illness.case_status(s, "o_custkey", [F.desc("day"), F.desc("o_orderkey")])
     return found.select("o_custkey", "kind", "illnesses", F.col("hospitalizations.count").alias("hospitalized"), F.col("deaths.count").alias("died"))
 
 
