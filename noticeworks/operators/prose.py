@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeworks.functions.concepts import concept_of
 from noticeworks.functions.identifiers import barcode, printed_date, split_identifiers
 from noticeworks.functions.phrases import any_phrase, each, says
-from noticeworks.functions.text import sentences, strip_html
+from noticeworks.functions.text import _once, sentences, strip_html
 
 #: Labels of identifiers, in any case; their concepts are those of table headers.
 LABELS = (
@@ -36,23 +36,62 @@ def list_items(html: Column) -> Column:
     return F.filter(F.transform(inner, lambda p: F.trim(F.regexp_replace(strip_html(p), r"\s+", " "))), lambda x: x != "")
 
 
+#: A label in a line, and what stands for it while the line is cut.
+LABEL = "(?i)" + any_phrase([x for x in LABELS if x not in BARE_PRODUCTION]) + r"(?:\(s\)|s)?(?![\w-])"
+CUT = "\u0001"
+
+
 def _labelled(line: Column) -> Column:
-    """(label, rest) of each label of a line with the text up to the next one, and the text before the first."""
-    pattern = "(?i)" + any_phrase([x for x in LABELS if x not in BARE_PRODUCTION]) + r"(?:\(s\)|s)?(?![\w-])"
-    labels = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
-    rests = F.split(line, pattern)
-    pairs = F.zip_with(labels, F.slice(rests, F.lit(2), F.size(rests)), lambda x, r: F.struct(x.alias("label"), r.alias("rest")))
-    return F.struct(F.trim(rests[0]).alias("before"), pairs.alias("pairs"))
+    """(label, rest) of each label of a line with the text up to the next one, and the text before the first; null without a label."""
+    # cut at one character: a split compiles its pattern for each line
+    rests = F.when(F.contains(line, F.lit(CUT)), F.split(line, LABEL)).otherwise(F.split(F.regexp_replace(line, LABEL, CUT), CUT))
+    pairs = lambda labels, r: F.zip_with(labels, F.slice(r, F.lit(2), F.size(r)), lambda x, rest: F.struct(x.alias("label"), rest.alias("rest")))
+    cut = lambda labels: F.when(F.size(labels) > 0, _once(rests, lambda r: F.struct(F.trim(r[0]).alias("before"), pairs(labels, r).alias("pairs"))))
+    return _once(F.regexp_extract_all(line, F.lit(LABEL), F.lit(0)), cut)
 
 
 def _values(rest: Column) -> Column:
     """The values that stand right behind a label: after fillers, up to a sign or word that ends them."""
     t = F.regexp_replace(rest, r"^[\s:#=–—\"”’'.-]*(?:(?:" + "|".join(FILLERS) + r")\b[\s:#=-]*)*", "")
     t = F.regexp_extract(t, r"^(?:[^;():\n.]|\.(?!\s|$))*", 0)
-    t = F.get(F.split(t, r"(?i)\b(?:" + "|".join(ENDS) + r")\b", 2), 0)
+    t = F.regexp_replace(t, r"(?i)\b(?:" + "|".join(ENDS) + r")\b[\s\S]*\z", "")
     return F.filter(F.transform(split_identifiers(F.regexp_replace(t, r"(?<=[A-Za-z]{3} \d{1,2}), (?=\d{4})", " ")), lambda v: F.rtrim(v, F.lit(" ,.-"))), lambda v: v != "")
 
 
+def _owner(before: Column) -> Column:
+    """The text before the first label of a line, if it reads as a product; else null."""
+    lead = F.regexp_replace(before, r"[\s:;,(–—|-]+$|^[\s•*–—-]+", "")
+
+    def product(lead: Column) -> Column:
+        named = lambda words: (F.size(words) <= OWNER_WORDS) & ~F.exists(words, lambda w: w.isin(*NO_OWNER)) & ~F.forall(words, lambda w: w.isin(*FILLERS, "this", "these", "those", "an"))
+        return F.when(lead.rlike("[A-Za-z]{3}") & _once(F.split(F.lower(lead), r"\s+"), named), lead)
+
+    return _once(lead, product)
+
+
+def _read(x: Column, line: Column, owned: bool) -> Column:
+    """The values of a labelled line that count, in order, each with its place, owner and paired date."""
+    concept = lambda p: concept_of(F.regexp_replace(p["label"], r"(?i)^(lot|batch)(?:e?s)\b", "$1"))
+    each_ = F.transform(x["pairs"], lambda p, k: F.struct(k.alias("k"), p["label"].alias("label"), concept(p).alias("concept"), _values(p["rest"]).alias("values")))
+    some = F.filter(each_, lambda p: F.size(p["values"]) > 0)
+    coded = lambda p, v: F.when(p["concept"] == "upc", barcode(v))
+    found = F.flatten(F.transform(some, lambda p: F.transform(p["values"], lambda v, n: F.struct(p["k"].alias("k"), n.alias("n"), p["label"].alias("label"), p["concept"].alias("concept"), v.alias("value"), coded(p, v).alias("code")))))
+    dated = lambda v: v["concept"].isin(*DATES)
+    day = lambda v: ~dated(v) | v["value"].rlike(r"^\d{1,2}/\d{4}$") | printed_date(v["value"]).isNotNull()
+    fits = F.filter(found, lambda v: v["value"].rlike(r"\d") & (F.size(F.split(v["value"], " ")) <= VALUE_WORDS) & day(v))
+    uncoded = lambda v: (v["concept"] == "upc") & v["code"].isNull()
+    owner = _owner(x["before"]) if owned else F.lit(None).cast("string")
+
+    def placed(vals: Column, owner: Column) -> Column:
+        days = F.filter(vals, dated)
+        only = F.when(F.size(days) == 1, F.get(days, 0)["value"])
+        concept = lambda v: F.when(uncoded(v), "product_code").otherwise(v["concept"])
+        make = lambda v, only: F.struct(owner.alias("owner"), concept(v).alias("concept"), F.coalesce(v["code"], v["value"]).alias("value"), line.alias("line"), v["k"].alias("k"), v["n"].alias("n"), v["label"].alias("label"), F.when(concept(v).isin(*CODES), only).alias("paired_date"))
+        return _once(only, lambda only: F.transform(vals, lambda v: make(v, only)))
+
+    return _once(fits, lambda vals: _once(owner, lambda owner: placed(vals, owner)))
+
+
 def identifiers_in(rows: DataFrame, key: str, lines: str, owned: bool = True) -> DataFrame:
     """(key, line, place, owner, concept, label, value, paired_date) for the labelled identifiers of `rows` (key, array of lines).
 
@@ -61,27 +100,16 @@ def identifiers_in(rows: DataFrame, key: str, lines: str, owned: bool = True) ->
     before the first label owns the values if it reads as a product; else, and without `owned`, they belong to the notice (null).
     One date in a line is paired with its codes. Lines about another firm's recall say nothing. The same value of a concept and owner
     counts once in a notice, at its first place. Null lines are none; repeated keys are rows of their own.
+    A notice is read inside of its row, without a shuffle; its values are sorted, not compared pair by pair.
     """
-    one = rows.select(F.monotonically_increasing_id().alias("_p"), F.col(key).alias("key"), F.coalesce(lines, F.array().cast("array<string>")).alias("lines"))
-    one = one.select("_p", "key", F.posexplode("lines").alias("line", "text"))
-    one = one.where(~says(F.col("text"), ELSEWHERE)).withColumn("x", _labelled(F.col("text"))).where(F.size("x.pairs") > 0)
-    lead = F.regexp_replace(F.col("x.before"), r"[\s:;,(–—|-]+$|^[\s•*–—-]+", "")
-    words = F.split(F.lower(lead), r"\s+")
-    product = lead.rlike("[A-Za-z]{3}") & (F.size(words) <= OWNER_WORDS) & ~F.exists(words, lambda w: w.isin(*NO_OWNER)) & ~F.forall(words, lambda w: w.isin(*FILLERS, "this", "these", "those", "an"))
-    one = one.withColumn("owner", F.when(F.lit(owned) & product, lead))
-    each_ = one.select("_p", "key", "line", "owner", F.posexplode("x.pairs").alias("k", "pair")).withColumn("concept", concept_of(F.regexp_replace("pair.label", r"(?i)^(lot|batch)(?:e?s)\b", "$1")))
-    vals = each_.select("_p", "key", "line", "owner", "k", "concept", F.col("pair.label").alias("label"), F.posexplode(_values(F.col("pair.rest"))).alias("n", "value"))
-    code = F.when(F.col("concept") == "upc", barcode(F.col("value")))
-    dated = F.col("concept").isin(*DATES)
-    fits = F.col("value").rlike(r"\d") & (F.size(F.split("value", " ")) <= VALUE_WORDS) & (~dated | printed_date(F.col("value")).isNotNull() | F.col("value").rlike(r"^\d{1,2}/\d{4}$"))
-    vals = vals.where(fits).withColumn("concept", F.when((F.col("concept") == "upc") & code.isNull(), "product_code").otherwise(F.col("concept"))).withColumn("value", F.coalesce(code, F.col("value")))
-    line = Window.partitionBy("_p", "line")
-    only = F.when(F.count_if(F.col("concept").isin(*DATES)).over(line) == 1, F.max(F.when(F.col("concept").isin(*DATES), F.col("value"))).over(line))
-    vals = vals.withColumn("paired_date", F.when(F.col("concept").isin(*CODES), only))
-    first = Window.partitionBy("_p", "owner", "concept", "value").orderBy("line", "k", "n")
-    vals = vals.withColumn("_f", F.row_number().over(first)).where("_f = 1")
-    place = F.row_number().over(Window.partitionBy("_p").orderBy("line", "k", "n"))
-    return vals.select("key", "line", place.alias("place"), "owner", "concept", "label", "value", "paired_date")
+    scanned = F.transform(F.coalesce(lines, F.array().cast("array<string>")), lambda t, i: F.struct(i.alias("line"), F.when(~says(t, ELSEWHERE), _labelled(t)).alias("x")))
+    found = F.flatten(F.transform(F.filter(scanned, lambda s: s["x"].isNotNull()), lambda s: _read(s["x"], s["line"], owned)))
+    same = lambda a, b: a["owner"].eqNullSafe(b["owner"]) & (a["concept"] == b["concept"]) & (a["value"] == b["value"])
+    first = _once(F.array_sort(found), lambda vals: F.filter(vals, lambda v, i: (i == 0) | ~same(v, F.get(vals, i - 1))))
+    names = ("line", "k", "n", "owner", "concept", "label", "value", "paired_date")
+    ordered = F.array_sort(F.transform(first, lambda v: F.struct(*[v[n].alias(n) for n in names])))
+    vals = rows.select(F.col(key).alias("key"), F.posexplode(ordered).alias("place", "v"))
+    return vals.select("key", "v.line", (F.col("place") + 1).alias("place"), *[f"v.{n}" for n in names[3:]])
 
 
 def prose_identifiers(notices: DataFrame, key: str, text: str) -> DataFrame:

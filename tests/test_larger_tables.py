@@ -46,3 +46,24 @@ def test_illness_is_read_inside_of_its_row(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
     assert "Repartition " in plan
+
+
+def plan_of(spark, name):
+    return registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+@pytest.mark.parametrize("name", ["x27_prose", "x26_lists"])
+def test_identifiers_are_read_inside_of_their_row(spark, name):
+    """Values meet in their notice without windows, and a label is looked for by one pattern and cut by one."""
+    plan = plan_of(spark, name)
+    assert "window [" not in plan
+
+
+def test_gtins_compute_no_part_twice(spark):
+    plan = plan_of(spark, "i2_gtins")
+    assert plan.count("aggregate(") < 30 and "repartition " in plan
+
+
+def test_code_dates_scan_a_cell_once_a_form(spark):
+    plan = plan_of(spark, "i5_code_dates")
+    assert plan.count("regexp_extract_all(") == 2 and "repartition " in plan
