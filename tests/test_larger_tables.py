@@ -67,3 +67,9 @@ def test_gtins_compute_no_part_twice(spark):
 def test_code_dates_scan_a_cell_once_a_form(spark):
     plan = plan_of(spark, "i5_code_dates")
     assert plan.count("regexp_extract_all(") == 2 and "repartition " in plan
+
+
+def test_tables_are_read_once(spark):
+    """The facts of upright and turned tables, and what defers to images, come from one reading of the pages."""
+    plan = plan_of(spark, "x25_table_facts")
+    assert plan.count("relation [") == 1 and "union" not in plan and "join" not in plan
