@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from noticeworks.functions.text import SPACE
+from noticeworks.functions.text import SPACE, _once
 
 #: Postal codes and the names of the states.
 STATES = dict(
@@ -102,7 +102,13 @@ def states_in(text: Column) -> Column:
     "Washington, D.C." are read whole. A code is a token of two capitals that stands behind a comma, in a list of codes
     that are all states, or alone behind a word of place; before a capitalised word it is a direction or a name.
     """
-    t = F.regexp_extract_all(F.regexp_replace(text, SPACE, " "), F.lit(r"D\. ?C\.?(?![A-Za-z])|[A-Za-z]+|[0-9]+|[^A-Za-z0-9 ]"), F.lit(0))
+    tokens = F.regexp_extract_all(F.regexp_replace(text, SPACE, " "), F.lit(r"D\. ?C\.?(?![A-Za-z])|[A-Za-z]+|[0-9]+|[^A-Za-z0-9 ]"), F.lit(0))
+    # the tokens are made once; each step names them for every token
+    return _once(tokens, _states_of)
+
+
+def _states_of(t: Column) -> Column:
+    """`states_in` of the tokens of a text."""
     names = F.create_map(*[F.lit(x) for n in STATES.values() for x in (n, n)])
     at = F.sequence(F.lit(0), F.size(t) - 1)
     tok = lambda i: F.coalesce(F.get(t, i), F.lit(""))
@@ -113,7 +119,8 @@ def states_in(text: Column) -> Column:
     none = F.array().cast("array<string>")
 
     def longest(i: Column) -> Column:
-        return F.when(F.try_element_at(names, joined(i, 3)).isNotNull(), 3).when(F.try_element_at(names, joined(i, 2)).isNotNull(), 2).when(F.try_element_at(names, tok(i)).isNotNull(), 1).otherwise(0)
+        # a name begins with a capital
+        return F.when(~tok(i).rlike("^[A-Z]"), 0).when(F.try_element_at(names, joined(i, 3)).isNotNull(), 3).when(F.try_element_at(names, joined(i, 2)).isNotNull(), 2).when(F.try_element_at(names, tok(i)).isNotNull(), 1).otherwise(0)
 
     def named(i: Column) -> Column:
         held = (F.when(i >= 1, longest(i - 1)).otherwise(0) > 1) | (F.when(i >= 2, longest(i - 2)).otherwise(0) > 2)
@@ -121,7 +128,7 @@ def states_in(text: Column) -> Column:
         capital_city = (tok(i) == "Washington") & F.regexp_replace(after, "[. ]", "").isin("DC")
         pair = tok(i).isin(*SIDES) & (tok(i + 1) == "and") & tok(i + 2).isin(*SIDES) & tok(i + 3).isin(*SHARED)
         both = F.array(F.concat_ws(" ", tok(i), tok(i + 3)), F.concat_ws(" ", tok(i + 2), tok(i + 3)))
-        one = F.when((longest(i) > 0) & ~held, F.array(F.try_element_at(names, joined(i, longest(i)))))
+        one = _once(longest(i), lambda n: F.when((n > 0) & ~held, F.array(F.try_element_at(names, joined(i, n)))))
         return F.when(capital_city, F.array(F.lit("District of Columbia"))).when(pair, both).otherwise(F.coalesce(one, none))
 
     def linked(i: Column) -> Column:
@@ -146,5 +153,6 @@ def states_in(text: Column) -> Column:
         return F.when(F.size(run) > 1, F.when(F.forall(found, lambda x: x.isNotNull()), found).otherwise(none)).otherwise(alone)
 
     address = F.transform(F.filter(at, lambda i: code(i) & (tok(i - 1) == ",") & ~capital(i + 1)), state)
-    found = F.concat(F.flatten(F.transform(at, named)), F.flatten(F.transform(runs, of_run)), F.array_compact(address))
+    some = F.when(F.exists(t, lambda x: x.rlike("^[A-Z]{2}$")), F.concat(F.flatten(F.transform(runs, of_run)), F.array_compact(address))).otherwise(none)
+    found = F.concat(F.flatten(F.transform(at, named)), some)
     return F.when(F.size(t) == 0, none).otherwise(F.array_sort(F.array_distinct(found)))

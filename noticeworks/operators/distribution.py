@@ -69,17 +69,19 @@ def distribution_prose(notices: DataFrame, key: str, text: str) -> DataFrame:
     names states and says nothing else. `nationwide` is the first sentence that says so. Null and silent texts have none.
     """
     one = notices.select(F.monotonically_increasing_id().alias("_p"), F.col(key).alias("key"), F.split(F.coalesce(F.col(text), F.lit("")), r"\n+").alias("lines"))
-    units = one.select("_p", F.posexplode("lines").alias("line", "t")).select("_p", "line", F.posexplode(sentences(F.col("t"))).alias("n", "s"))
+    # a silent text keeps its row, so that nothing is joined back
+    units = one.select("_p", "key", F.posexplode("lines").alias("line", "t")).select("_p", "key", "line", F.posexplode_outer(sentences(F.col("t"))).alias("n", "s"))
     s = F.col("s")
     units = units.withColumn("negated", says(s, NEGATED))
     vetoed = says(s, (*SHELVES, *CONTACT, *INVESTIGATION, *ACTION)) | s.rlike(r"(?i)@|\b\d{3}-\d{3}-\d{4}\b|\baisle\s+\d")
     units = units.withColumn("vetoed", vetoed).withColumn("primary", affirms(s) & ~F.col("vetoed") & ~F.col("negated"))
+    units = units.withColumn("halves", F.split(s, "(?i)" + any_phrase(EXCEPT), 2))
+    first, behind = F.get("halves", 0), F.get("halves", 1)
+    units = units.withColumn("named", states_in(destinations(first))).withColumn("other", F.when(F.col("negated"), states_in(s)).otherwise(F.coalesce(states_in(behind), F.array().cast("array<string>"))))
+    units = units.withColumn("heads", F.col("primary") & (says(s, ("the following",)) | s.rlike(r":\s*$"))).withColumn("everywhere", says(first, NATIONWIDE)).withColumn("store", says(s, COHORT)).drop("halves").repartition("_p")
     told = F.bool_or("primary").over(Window.partitionBy("_p", "line"))
-    units = units.withColumn("cohort", says(s, COHORT) & told & ~F.col("vetoed") & ~F.col("negated") & ~F.col("primary"))
-    halves = F.split(s, "(?i)" + any_phrase(EXCEPT), 2)
-    units = units.withColumn("named", states_in(destinations(halves[0]))).withColumn("other", F.when(F.col("negated"), states_in(s)).otherwise(F.coalesce(states_in(F.get(halves, 1)), F.array().cast("array<string>"))))
-    units = units.withColumn("heads", F.col("primary") & (says(s, ("the following",)) | s.rlike(r":\s*$"))).withColumn("everywhere", says(halves[0], NATIONWIDE))
-    by = units.groupBy("_p").agg(F.array_sort(F.collect_list(F.struct("line", "n", "s", "negated", "vetoed", "primary", "cohort", "named", "other", "heads", "everywhere"))).alias("u"))
+    units = units.withColumn("cohort", F.col("store") & told & ~F.col("vetoed") & ~F.col("negated") & ~F.col("primary"))
+    by = units.groupBy("_p").agg(F.first("key").alias("key"), F.array_sort(F.collect_list(F.when(s.isNotNull(), F.struct("line", "n", "s", "negated", "vetoed", "primary", "cohort", "named", "other", "heads", "everywhere")))).alias("u"))
     none = F.array().cast("array<string>")
     names = ("states", "excluded", "sentences", "nationwide", "open")
     make = lambda a, **new: F.struct(*[new.get(n, a[n]).alias(n) for n in names])
@@ -99,8 +101,7 @@ def distribution_prose(notices: DataFrame, key: str, text: str) -> DataFrame:
         return F.when(u["negated"], make(a, excluded=F.concat(a["excluded"], u["other"]), open=F.lit(0))).when(u["vetoed"], shut).when(speaks | listed, taken).otherwise(shut)
 
     start = F.struct(none.alias("states"), none.alias("excluded"), none.alias("sentences"), F.lit(None).cast("string").alias("nationwide"), F.lit(0).alias("open"))
-    read = by.select("_p", F.aggregate("u", start, step).alias("r"))
-    out = one.select("_p", "key").join(read, "_p", "left")
+    out = by.select("key", F.aggregate("u", start, step).alias("r"))
     tidy = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, none)))
     return out.select("key", tidy(F.col("r.states")).alias("states"), tidy(F.col("r.excluded")).alias("excluded"), F.coalesce("r.sentences", none).alias("sentences"), F.col("r.nationwide").alias("nationwide"))
 

@@ -72,4 +72,10 @@ def test_code_dates_scan_a_cell_once_a_form(spark):
 def test_tables_are_read_once(spark):
     """The facts of upright and turned tables, and what defers to images, come from one reading of the pages."""
     plan = plan_of(spark, "x25_table_facts")
-    assert plan.count("relation [") == 1 and "union" not in plan and "join" not in plan
+    assert plan.count("relation ") == 1 and "\nunion" not in plan and "join left" not in plan
+
+
+@pytest.mark.parametrize("name", ["c12_prose", "c12_geography"])
+def test_tokens_of_a_sentence_are_made_once(spark, name):
+    plan = plan_of(spark, name)
+    assert plan.count("regexp_extract_all(") < 10 and "join left" not in plan and "repartition " in plan
