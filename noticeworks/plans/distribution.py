@@ -8,12 +8,12 @@ from noticeworks.functions import geography as G
 from noticeworks.operators import distribution as D
 from noticeworks.plans.decided import pick
 from noticeworks.plans.notices import CODES_BY_NAME, PLACES_SQL, _nth
-from noticeworks.session import table
+from noticeworks.session import spread, table
 
 
 def _notices(spark, sf):
     """A notice a part with three states in one of the wordings of announcements."""
-    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    p, k = spread(table(spark, sf, "part").select("p_partkey", "p_name")), F.col("p_partkey")
     names = [G.STATES[c] for c in CODES_BY_NAME]
     a, b, c = _nth(names, k), _nth(names, k * 7 + 3), _nth(names, k * 11 + 5)
     say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
